@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable, lookup_join
+
 # Sketch error is 1/ACCURACY of the group size; the bracket leaves four times that.
 ACCURACY = 10_000
 SLACK = 4.0 / ACCURACY
@@ -64,7 +66,7 @@ def exact_quantiles(
             for i, p in enumerate(probs)
         ],
     )
-    joined = source.join(brackets, list(keys)) if keys else source.crossJoin(F.broadcast(brackets))
+    joined = lookup_join(source, durable(brackets), list(keys))
 
     def slot(i: int) -> Column:
         value, n = F.col(f"_c{i}"), F.col(f"_n{i}")

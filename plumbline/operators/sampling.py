@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable, lookup_join
+
 _SPACE_BITS = 32
 _BUCKET_BITS = 12
 
@@ -49,10 +51,7 @@ def decimate(
     cut = counts.groupBy(*keys).agg(
         F.min(F.when(F.col("_cum") >= max_rows, F.struct("_bucket", (F.col("_cum") - F.col("_n")).alias("_before")))).alias("_cut")
     )
-    if keys:
-        marked = keyed.join(cut, list(keys))
-    else:
-        marked = keyed.crossJoin(F.broadcast(cut))
+    marked = lookup_join(keyed, durable(cut), list(keys))
     whole = marked.where(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut._bucket")))
     ranked = Window.partitionBy(*keys).orderBy("_draw", *identity)
     partial = (

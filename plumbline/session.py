@@ -48,3 +48,24 @@ def durable(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A broadcast side is built only below this row count; rows of such tables are a few
+# hundred bytes, so the side stays within tens of megabytes.
+BROADCAST_ROWS = 100_000
+
+
+def lookup_join(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", *, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Equi-join a table with few rows per key onto a large one.
+
+    The small side is counted first and broadcast only when it fits; otherwise this is a
+    shuffled join whose hot keys adaptive execution may split. `small` should be cheap
+    to count, for example the result of `durable`.
+    """
+    from pyspark.sql import functions as F
+
+    if small.limit(max_rows + 1).count() <= max_rows:
+        small = F.broadcast(small)
+    return big.join(small, keys, how)
