@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..session import durable
+from ..session import durable, fits_broadcast
 from .boxes import oriented_boxes
 from .islands import dominant_run, value_runs
 from .quantiles import exact_quantiles, finite
@@ -41,14 +41,20 @@ def _usable(points: DataFrame) -> DataFrame:
 
 
 def _pixels_in_boxes(points: DataFrame, boxes: DataFrame, carry: Sequence[str]) -> DataFrame:
-    """Range join pixels to boxes on the frame and image tile, then by exact bounds."""
+    """Range join pixels to boxes.
+
+    Few boxes are broadcast by frame. Otherwise both sides meet on frame and image tile,
+    which spreads the pixels of one frame over several partitions; a box is copied to
+    the tiles it touches, a pixel is never copied.
+    """
+    pixels, wanted = _usable(points), boxes.select(*DETECTION, *SEARCH, *carry)
+    if fits_broadcast(wanted):
+        return pixels.join(F.broadcast(wanted), list(FRAME)).where(g.in_box("u", "v", SEARCH))
     tile = lambda c: F.floor(c / TILE).cast("int")
-    tiled = (
-        boxes.select(*DETECTION, *SEARCH, *carry)
-        .withColumn("_tv", F.explode(F.sequence(tile(F.col("sy0")), tile(F.col("sy1") - 1))))
-        .withColumn("_tu", F.explode(F.sequence(tile(F.col("sx0")), tile(F.col("sx1") - 1))))
-    )
-    pixels = _usable(points).withColumn("_tv", tile(F.col("v"))).withColumn("_tu", tile(F.col("u")))
+    tiled = wanted.withColumn(
+        "_tv", F.explode(F.sequence(tile(F.col("sy0")), tile(F.col("sy1") - 1)))
+    ).withColumn("_tu", F.explode(F.sequence(tile(F.col("sx0")), tile(F.col("sx1") - 1))))
+    pixels = pixels.withColumn("_tv", tile(F.col("v"))).withColumn("_tu", tile(F.col("u")))
     return pixels.join(tiled, [*FRAME, "_tv", "_tu"]).where(g.in_box("u", "v", SEARCH))
 
 
@@ -107,7 +113,8 @@ def lift(
     # The chosen depth range rides along with the box, so no pixel is shuffled by detection.
     members = pixels(kept, ["eye", "lo", "hi"]).where(F.col("depth").between(F.col("lo"), F.col("hi")))
     centroids = exact_quantiles(
-        members, DETECTION, {"cx": ("x", 0.5), "cy": ("y", 0.5), "cz": ("z", 0.5)}
+        members, DETECTION, {"cx": ("x", 0.5), "cy": ("y", 0.5), "cz": ("z", 0.5)},
+        largest=kept.agg(F.max("n_points")).first()[0] or 0,
     )
     result = kept.join(centroids, list(DETECTION)).withColumn("centroid", F.array("cx", "cy", "cz"))
     columns = [

@@ -1,7 +1,8 @@
 """Exact grouped quantiles without gathering a group in one task.
 
-`percentile` keeps every distinct value of a group in a single buffer. Instead, a
-mergeable sketch first brackets each wanted rank, then only the values inside the
+`percentile` keeps every distinct value of a group in a single buffer, so it is used only
+after the largest group has been counted and found small. For larger groups a mergeable
+sketch first brackets each wanted rank, then only the values inside the
 bracket are counted (everything below collapses to one map-side counter), and the
 exact order statistics are read from that narrow band. Both passes combine on the
 map side, so the rows of a hot group never travel.
@@ -20,6 +21,9 @@ from ..session import durable, lookup_join
 ACCURACY = 10_000
 SLACK = 4.0 / ACCURACY
 
+# Groups up to this many rows may be held by the one-pass built-in (tens of megabytes).
+SMALL_GROUP = 1_000_000
+
 
 def finite(*cols: Column) -> Column:
     """True where every column is a finite number (neither null, NaN nor infinite)."""
@@ -35,13 +39,14 @@ def exact_quantiles(
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
     *,
-    bounded_groups: bool = False,
+    largest: int | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per key with linearly interpolated quantiles.
 
     `wanted` maps output name to `(column, p)`. Non-finite values are ignored, as
-    they stand for missing geometry. `bounded_groups` is for callers that know a
-    group fits in memory; it uses the one-pass built-in.
+    they stand for missing geometry. `largest` is the row count of the largest group
+    where the caller has it already; otherwise it is counted here.
     """
     names = list(wanted)
     source = df.select(
@@ -52,7 +57,10 @@ def exact_quantiles(
         ],
     )
     probs = [p for _, p in wanted.values()]
-    if bounded_groups:
+    if largest is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.agg(F.max("n")).first()[0] or 0
+    if largest <= small_group:
         return source.groupBy(*keys).agg(
             *[F.expr(f"percentile(_c{i}, {p!r}D)").alias(n) for i, (n, p) in enumerate(zip(names, probs))]
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,17 +56,16 @@ def durable(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def lookup_join(
-    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", *, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Count a per-key table, stopping early, to decide whether it may be broadcast."""
+    return small.limit(max_rows + 1).count() <= max_rows
+
+
+def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join a table with few rows per key onto a large one.
 
     The small side is counted first and broadcast only when it fits; otherwise this is a
     shuffled join whose hot keys adaptive execution may split. `small` should be cheap
     to count, for example the result of `durable`.
     """
-    from pyspark.sql import functions as F
-
-    if small.limit(max_rows + 1).count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, keys, how)
+    return big.join(F.broadcast(small) if fits_broadcast(small) else small, keys, how)
