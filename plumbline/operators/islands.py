@@ -15,10 +15,13 @@ def _cells(value: Column, gap: Column) -> Column:
 
 
 def value_runs(
-    df: DataFrame, keys: Sequence[str], value: str, gap: float | Column, *, extra: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], value: str, gap: float | Column, *, by_cell: bool = False
 ) -> DataFrame:
     """Runs per key as `(keys, run, lo, hi, n)`; a new run starts where the step > gap.
 
+    With `by_cell` the rows are the counted cells `(keys, _cell, run)` themselves, which
+    rows can be joined to.
+
     Rows are reduced to per-cell counts before the shuffle, so the ordered part works
     on at most `range / (gap / 2)` rows per key instead of on every row.
     """
@@ -35,9 +38,11 @@ def value_runs(
     starts = F.coalesce(
         ((F.col("lo") - F.lag("hi").over(order)) > F.col("_g")).cast("int"), F.lit(0)
     )
+    numbered = cells.withColumn("_new", starts).withColumn("run", F.sum("_new").over(order))
+    if by_cell:
+        return numbered.select(*keys, "_cell", "run")
     return (
-        cells.withColumn("_new", starts)
-        .withColumn("run", F.sum("_new").over(order))
+        numbered
         .groupBy(*keys, "run")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     )

@@ -1,6 +1,6 @@
 """Registered queries over the supplied benchmark tables."""
 
-from . import lifting  # noqa: F401
+from . import fusing, lifting  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

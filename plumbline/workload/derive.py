@@ -66,7 +66,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation per order; a customer is a room."""
+    """One observation per order; ten customers share a room."""
     o = table(spark, sf_dir, "orders")
     names = F.array(*[F.lit(n) for n in LABELS])
     turn = F.pmod("o_orderkey", F.lit(2)) == 1
@@ -85,7 +85,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.25) + F.pmod("o_orderkey", F.lit(6)) * 0.05,
     )
     return o.select(
-        F.col("o_custkey").alias("room"),
+        F.floor(F.col("o_custkey") / 10).alias("room"),
         F.col("o_orderkey").alias("id"),
         F.pmod("o_orderkey", F.lit(8)).cast("int").alias("frame_idx"),
         names[F.pmod(F.floor(F.col("o_orderkey") / 3), F.lit(len(LABELS))).cast("int")].alias("label"),
@@ -148,7 +148,7 @@ detections AS (
   FROM supplier, range(1, {FRAMES + 1}) t(f), range(0, 2) s(d))""",
     "observations": f"""
 observations AS (
-  SELECT o_custkey AS room, o_orderkey AS id, CAST(o_orderkey % 8 AS INTEGER) AS frame_idx,
+  SELECT o_custkey // 10 AS room, o_orderkey AS id, CAST(o_orderkey % 8 AS INTEGER) AS frame_idx,
          ({_LABEL_LIST})[1 + CAST((o_orderkey // 3) % {len(LABELS)} AS INTEGER)] AS label,
          CAST(0.3 AS DOUBLE) + (o_orderkey % 60) / CAST(100 AS DOUBLE) AS vlm_confidence,
          floor(o_totalprice / CAST(60000 AS DOUBLE)) * CAST(0.9 AS DOUBLE) + (o_orderkey % 11) * CAST(0.04 AS DOUBLE) AS cx,
