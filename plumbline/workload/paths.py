@@ -208,7 +208,7 @@ def decimate_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH v AS (
   SELECT vec_id, label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings)
-SELECT label, vec_id, round(least(greatest(list_sum(list_transform(range(1, 65), i -> CAST(embedding[i] AS DOUBLE) * CAST(prev[i] AS DOUBLE))), -1), 1), 6) AS correlation
+SELECT label, vec_id, round(least(greatest(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(prev AS DOUBLE[])), -1), 1), 6) AS correlation
 FROM v WHERE prev IS NOT NULL""")
 def neighbour_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of every vector with the one before it under its label."""
