@@ -332,12 +332,12 @@ def plan_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = fp.on_plane(d.points(spark, sf_dir), 1)
     plan = durable(fp.plan_transforms(placed, size=200))
     t = F.col("transform")
-    u, v = g.world_to_pixel(t, F.col("a"), F.col("b"))
-    px = lookup_join(placed, plan, ["room"]).select("room", "a", "b", "transform", u.alias("u"), v.alias("v"))
+    u, v = g.world_to_pixel(t, F.col("plan_a"), F.col("plan_b"))
+    px = lookup_join(placed, plan, ["room"]).select("room", "plan_a", "plan_b", "transform", u.alias("u"), v.alias("v"))
     back = g.pixel_to_world(t, F.col("u"), F.col("v"))
     return px.groupBy("room").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(back[0] - F.col("a"))), 6).alias("off_a"),
-        F.round(F.max(F.abs(back[1] - F.col("b"))), 6).alias("off_b"),
+        F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(back[0] - F.col("plan_a"))), 6).alias("off_a"),
+        F.round(F.max(F.abs(back[1] - F.col("plan_b"))), 6).alias("off_b"),
         F.round(F.min("u"), 4).alias("min_u"), F.round(F.max("v"), 4).alias("max_v"),
     )
 
@@ -365,8 +365,8 @@ corners AS (
          CASE WHEN turned THEN cx + sz * e2 ELSE cx + sx * e0 END AS px,
          CASE WHEN turned THEN cz - sx * e0 ELSE cz + sz * e2 END AS pz
   FROM observations, (VALUES (-0.5), (0.5)) a(sx), (VALUES (-0.5), (0.5)) b(sy), (VALUES (-0.5), (0.5)) c(sz))
-SELECT room, id AS object_id, trim(label) AS label, corner, round((px - a0) * scale, 3) AS u,
-       round(height - 1 - (pz - b0) * scale, 3) AS v
+SELECT room, id AS object_id, trim(label) AS label, corner, round(round((px - a0) * scale, 4), 3) AS u,
+       round(round(height - 1 - (pz - b0) * scale, 4), 3) AS v
 FROM corners JOIN plan USING (room)"""
 
 
