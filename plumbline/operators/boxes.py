@@ -1,4 +1,4 @@
-"""Principal-axis boxes and envelope comparisons."""
+"""Principal-axis boxes."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import geometry as g
 from ..session import durable, lookup_join
 
 _PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
@@ -87,45 +86,3 @@ def oriented_boxes(
         F.when(enough, nested).otherwise(identity).alias("R"),
     )
     return full.select(*keys, "n", "mean", box.alias("obb"))
-
-
-def nearest_boxes(
-    probes: DataFrame,
-    targets: DataFrame,
-    keys: Sequence[str],
-    radius: float,
-    *,
-    probe_id: str = "id",
-    target_id: str = "target_id",
-) -> DataFrame:
-    """Nearest target centre within `radius` of each probe centre, by key.
-
-    Both tables carry `keys`, an id, `center` and `envelope`. Space is cut into cells of
-    the radius; a target is copied to its 27 neighbouring cells, a probe stays in its
-    own, so every probe meets only targets of its surroundings. Ties go to the lowest
-    target id. Probes with no target in reach are dropped.
-    """
-    cell = lambda c, i: F.floor(c[i] / radius).cast("bigint")
-    shifts = [F.lit(d) for d in (-1, 0, 1)]
-    spread = targets.select(
-        *keys, F.col(target_id), F.col("center").alias("_tc"), F.col("envelope").alias("_te")
-    )
-    for axis in range(3):
-        spread = spread.withColumn(
-            f"_k{axis}", F.explode(F.transform(F.array(*shifts), lambda d, a=axis: cell(F.col("_tc"), a) + d))
-        )
-    placed = probes.select(
-        *keys, F.col(probe_id), F.col("center").alias("_pc"), F.col("envelope").alias("_pe"),
-        *[cell(F.col("center"), a).alias(f"_k{a}") for a in range(3)],
-    )
-    met = placed.join(spread, [*keys, "_k0", "_k1", "_k2"]).withColumn(
-        "_d", g.distance3(g.vec("_pc"), g.vec("_tc"))
-    )
-    best = F.min_by(
-        F.struct(F.col(target_id), F.col("_d").alias("distance"), g.envelope_iou("_pe", "_te").alias("iou")),
-        F.struct(F.col("_d"), F.col(target_id)),
-    )
-    return (
-        met.where(F.col("_d") <= radius).groupBy(*keys, probe_id).agg(best.alias("_b"))
-        .select(*keys, probe_id, "_b.*")
-    )

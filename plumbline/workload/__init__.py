@@ -1,6 +1,6 @@
 """Registered queries over the supplied benchmark tables."""
 
-from . import fusing, lifting, paths, upright  # noqa: F401
+from . import fusing, lifting, naming, paths, upright  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

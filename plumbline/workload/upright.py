@@ -365,8 +365,8 @@ corners AS (
          CASE WHEN turned THEN cx + sz * e2 ELSE cx + sx * e0 END AS px,
          CASE WHEN turned THEN cz - sx * e0 ELSE cz + sz * e2 END AS pz
   FROM observations, (VALUES (-0.5), (0.5)) a(sx), (VALUES (-0.5), (0.5)) b(sy), (VALUES (-0.5), (0.5)) c(sz))
-SELECT room, id AS object_id, trim(label) AS label, corner, round(round((px - a0) * scale, 4), 3) AS u,
-       round(round(height - 1 - (pz - b0) * scale, 4), 3) AS v
+SELECT room, id AS object_id, trim(label) AS label, corner, round((px - a0) * scale, 4) AS u,
+       round(height - 1 - (pz - b0) * scale, 4) AS v
 FROM corners JOIN plan USING (room)"""
 
 
@@ -374,7 +374,7 @@ FROM corners JOIN plan USING (room)"""
 def footprint_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects, plan = _boxes(spark, sf_dir)
     return fp.footprint_corners(objects, plan, 1).select(
-        "room", "object_id", "label", "corner", F.round("u", 3).alias("u"), F.round("v", 3).alias("v")
+        "room", "object_id", "label", "corner", "u", "v"
     )
 
 
