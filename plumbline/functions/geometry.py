@@ -136,21 +136,23 @@ def envelope_iou(a: Column | str, b: Column | str) -> Column:
     return F.when((overlap > 0) & (union > 0), overlap / union).otherwise(F.lit(0.0))
 
 
-def corners(obb: Column | str) -> Column:
-    """The eight corners as an array of `(x, y, z)` structs."""
+def corner_signs() -> Column:
+    """The eight sign combinations of a box as an array of `(sx, sy, sz)` structs."""
+    half = (-0.5, 0.5)
+    return F.array(*[
+        F.struct(F.lit(x).alias("sx"), F.lit(y).alias("sy"), F.lit(z).alias("sz"))
+        for x in half for y in half for z in half
+    ])
+
+
+def corner(obb: Column | str, signs: Column) -> list[Column]:
+    """World position of the corner of a box picked by one sign combination."""
     obb = as_col(obb)
-    center, extent, rot = obb["center"], obb["extent"], obb["R"]
-    made = []
-    for sx in (-0.5, 0.5):
-        for sy in (-0.5, 0.5):
-            for sz in (-0.5, 0.5):
-                local = [F.lit(sx) * extent[0], F.lit(sy) * extent[1], F.lit(sz) * extent[2]]
-                point = [
-                    center[i] + (rot[i][0] * local[0] + rot[i][1] * local[1] + rot[i][2] * local[2])
-                    for i in range(3)
-                ]
-                made.append(F.struct(*[p.alias(n) for p, n in zip(point, "xyz")]))
-    return F.array(*made)
+    local = [signs[s] * obb["extent"][j] for j, s in enumerate(("sx", "sy", "sz"))]
+    rot = obb["R"]
+    return [
+        obb["center"][i] + (rot[i][0] * local[0] + rot[i][1] * local[1] + rot[i][2] * local[2]) for i in range(3)
+    ]
 
 
 # --- rotations and rigid transforms ---------------------------------------------
