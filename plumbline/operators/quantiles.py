@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..session import durable, lookup_join
 
 # Sketch error is 1/ACCURACY of the group size; the bracket leaves four times that.
+# Groups under five times ACCURACY are too small for it and are counted value by value.
 ACCURACY = 10_000
-SLACK = 4.0 / ACCURACY
 
 # Groups up to this many rows may be held by the one-pass built-in (tens of megabytes).
 SMALL_GROUP = 1_000_000
@@ -41,6 +41,7 @@ def exact_quantiles(
     *,
     largest: int | None = None,
     small_group: int = SMALL_GROUP,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per key with linearly interpolated quantiles.
 
@@ -69,7 +70,7 @@ def exact_quantiles(
         *[F.count(f"_c{i}").alias(f"_n{i}") for i in range(len(names))],
         *[
             F.percentile_approx(
-                f"_c{i}", [max(0.0, p - SLACK), min(1.0, p + SLACK)], ACCURACY
+                f"_c{i}", [max(0.0, p - 4.0 / accuracy), min(1.0, p + 4.0 / accuracy)], accuracy
             ).alias(f"_b{i}")
             for i, p in enumerate(probs)
         ],
@@ -78,39 +79,41 @@ def exact_quantiles(
 
     def slot(i: int) -> Column:
         value, n = F.col(f"_c{i}"), F.col(f"_n{i}")
-        low, high = F.col(f"_b{i}")[0], F.col(f"_b{i}")[1]
+        wide = n > 5 * accuracy
+        low = F.when(wide, F.col(f"_b{i}")[0]).otherwise(F.lit(float("-inf")))
+        high = F.when(wide, F.col(f"_b{i}")[1]).otherwise(F.lit(float("inf")))
         return F.when(
             value <= high,
             F.struct(
-                F.lit(i).alias("slot"),
-                F.when(value >= low, value).alias("v"),
-                (F.lit(probs[i]) * (n - 1)).alias("h"),
+                F.lit(i).alias("_slot"),
+                F.when(value >= low, value).alias("_v"),
+                (F.lit(probs[i]) * (n - 1)).alias("_h"),
             ),
         )
 
     counted = (
-        joined.select(*keys, F.explode(F.array(*[slot(i) for i in range(len(names))])).alias("s"))
-        .where(F.col("s").isNotNull())
-        .groupBy(*keys, F.col("s.slot").alias("slot"), F.col("s.v").alias("v"), F.col("s.h").alias("h"))
-        .agg(F.count(F.lit(1)).alias("k"))
+        joined.select(*keys, F.explode(F.array(*[slot(i) for i in range(len(names))])).alias("_s"))
+        .where(F.col("_s").isNotNull())
+        .groupBy(*keys, F.col("_s._slot").alias("_slot"), F.col("_s._v").alias("_v"), F.col("_s._h").alias("_h"))
+        .agg(F.count(F.lit(1)).alias("_k"))
     )
     order = (
-        Window.partitionBy(*keys, "slot").orderBy(F.col("v").asc_nulls_first())
+        Window.partitionBy(*keys, "_slot").orderBy(F.col("_v").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counted.withColumn("cum", F.sum("k").over(order))
-    picked = ranked.groupBy(*keys, "slot").agg(
-        F.max("h").alias("h"),
-        F.max(F.when(F.col("v").isNull(), F.col("k")).otherwise(0)).alias("below"),
-        F.max("cum").alias("covered"),
-        F.min(F.when(F.col("cum") > F.floor("h"), F.col("v"))).alias("v0"),
-        F.min(F.when(F.col("cum") > F.ceil("h"), F.col("v"))).alias("v1"),
+    ranked = counted.withColumn("_cum", F.sum("_k").over(order))
+    picked = ranked.groupBy(*keys, "_slot").agg(
+        F.max("_h").alias("_h"),
+        F.max(F.when(F.col("_v").isNull(), F.col("_k")).otherwise(0)).alias("_below"),
+        F.max("_cum").alias("_covered"),
+        F.min(F.when(F.col("_cum") > F.floor("_h"), F.col("_v"))).alias("_v0"),
+        F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col("_v"))).alias("_v1"),
     )
     value = F.when(
-        (F.col("below") > F.floor("h")) | (F.col("covered") <= F.ceil("h")),
+        (F.col("_below") > F.floor("_h")) | (F.col("_covered") <= F.ceil("_h")),
         F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-    ).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("h") - F.floor("h")))
-    per_slot = picked.select(*keys, "slot", value.alias("q"))
+    ).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_h") - F.floor("_h")))
+    per_slot = picked.select(*keys, "_slot", value.alias("_q"))
     return per_slot.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
+        *[F.max(F.when(F.col("_slot") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
     )

@@ -240,7 +240,7 @@ def hot_group_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of seven groups that hold all rows, forced through the bracketed path."""
     pts = d.points(spark, sf_dir)
     wanted = {"mx": ("x", 0.5), "mz": ("z", 0.5), "q01": ("z", 0.01), "q85": ("z", 0.85)}
-    found = exact_quantiles(pts, ["frame_idx"], wanted, small_group=1_000)
+    found = exact_quantiles(pts, ["frame_idx"], wanted, small_group=1_000, accuracy=1_000)
     n = pts.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"))
     return n.join(found, "frame_idx").select("frame_idx", "n", *[F.round(c, 8).alias(c) for c in wanted])
 
