@@ -20,7 +20,7 @@ def read_trajectories(spark: SparkSession, paths: str | list[str], *, min_fields
     `index` is the line number, so skipped malformed lines leave gaps. With
     `min_fields=4` the quaternion may be missing.
     """
-    whole = spark.read.option("wholetext", True).text(paths).select(
+    whole = spark.read.text(paths, wholetext=True).select(
         F.regexp_replace("value", r"^\s+|\s+$", "").alias("body"), F.input_file_name().alias("path")
     )
     lines = whole.select(room_of_path().alias("room"), F.posexplode(F.split("body", r"\r?\n")).alias("index", "line"))
