@@ -18,6 +18,8 @@ ROOM = ["room"]
 # Rooms up to this many rows are chosen by one streaming task each; larger ones in
 # rounds, each a distributed search for the next pick of every such room.
 STREAM_ROWS = 50_000
+# Thumbnails are several kilobytes each, so far fewer of them may be broadcast.
+THUMB_ROWS = 2_000
 
 
 def _room_sizes(frames: DataFrame) -> DataFrame:
@@ -107,7 +109,8 @@ def _pick_in_rounds(candidates: DataFrame, n_frames: int, limit: float) -> DataF
         if state is None:
             pool = candidates
         else:
-            pool = lookup_join(candidates, state.select("room", F.col("bucket").alias("_b"), F.col("thumb").alias("_t")), ROOM)
+            after = state.select("room", F.col("bucket").alias("_b"), F.col("thumb").alias("_t"))
+            pool = lookup_join(candidates, after, ROOM, max_rows=THUMB_ROWS)
             pool = pool.where((F.col("bucket") > F.col("_b")) & (correlation("thumb", "_t") <= limit))
         state = durable(
             pool.groupBy("room").agg(F.min_by(F.struct("bucket", "idx", "thumb"), order).alias("_p")).select("room", "_p.*")

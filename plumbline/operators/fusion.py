@@ -22,7 +22,7 @@ from ..functions import geometry as g
 from ..functions import labels as lab
 from ..functions import scores
 from ..functions.text import object_id
-from ..session import durable, lookup_join
+from ..session import BROADCAST_ROWS, durable, lookup_join
 from .boxes import fitted_extent, moment_aggregates, span_aggregates, with_axes
 from .islands import _cells, value_runs
 from .quantiles import exact_quantiles
@@ -59,15 +59,13 @@ def _with_blocks(flat: DataFrame, floor: float, scale: float, split_above: int)
     `split_above` sightings are they cut further at the gaps of each axis.
     """
     keys = ["room", "label_class"]
-    reach = durable(
-        flat.groupBy(*keys).agg(
-            F.greatest(F.lit(float(floor)), F.lit(float(scale)) * F.max("diag")).alias("_reach"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-    )
     none = [F.lit(0).cast("bigint").alias(f"_b{axis}") for axis in "xyz"]
-    if (reach.agg(F.max("_n")).first()[0] or 0) <= split_above:
+    sizes = flat.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("diag").alias("_diag"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= split_above:
         return flat.select("*", *none)
+    reach = durable(
+        sizes.select(*keys, "_n", F.greatest(F.lit(float(floor)), F.lit(float(scale)) * F.col("_diag")).alias("_reach"))
+    )
     base = lookup_join(flat, reach, keys)
     large = durable(base.where(F.col("_n") > split_above))
     out = large
@@ -257,8 +255,10 @@ def fuse(
             )
         )
     )
-    largest = basics.agg(F.max("n_observations")).first()[0] or 0
-    located = lookup_join(members.select(*OBJECT, *_CENTER), basics.select(*OBJECT, "mean", "axes"), OBJECT)
+    count, largest = basics.agg(F.count(F.lit(1)), F.coalesce(F.max("n_observations"), F.lit(0))).first()
+    shape = basics.select(*OBJECT, "mean", "axes")
+    shape = F.broadcast(shape) if count <= BROADCAST_ROWS else shape
+    located = members.select(*OBJECT, *_CENTER).join(shape, OBJECT)
     offset = g.distance3([F.col(c) for c in _CENTER], g.vec("mean"))
     shapes = located.groupBy(*OBJECT).agg(F.avg(offset).alias("spread"), *span_aggregates(_CENTER))
     centroids = exact_quantiles(
@@ -285,7 +285,10 @@ def fuse(
             F.col("seed_frame").alias("_o2"), F.col("seed").alias("_o3"),
         )
     )
-    numbered = row_numbers(durable(built), ROOM, ["_o0", "_o1", "_o2", "_o3"], name="position")
+    # Chunks of equal size and similar support follow the numbering order and stay small
+    # even where a room has countless objects seen once.
+    chunk = F.struct(F.col("_o0").alias("a"), F.floor(F.col("_o1") / 64).alias("b"))
+    numbered = row_numbers(durable(built), ROOM, ["_o0", "_o1", "_o2", "_o3"], name="position", chunk=chunk)
     objects = numbered.withColumn("object_id", object_id("position")).where(
         (F.col("confidence") >= min_confidence) & (F.col("n_observations") >= min_observations)
     )

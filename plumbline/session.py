@@ -61,11 +61,13 @@ def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return small.limit(max_rows + 1).count() <= max_rows
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def lookup_join(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", *, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Equi-join a table with few rows per key onto a large one.
 
     The small side is counted first and broadcast only when it fits; otherwise this is a
     shuffled join whose hot keys adaptive execution may split. `small` should be cheap
-    to count, for example the result of `durable`.
+    to count, for example the result of `durable`; wide rows need a lower `max_rows`.
     """
-    return big.join(F.broadcast(small) if fits_broadcast(small) else small, keys, how)
+    return big.join(F.broadcast(small) if fits_broadcast(small, max_rows) else small, keys, how)

@@ -175,7 +175,7 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH images AS (SELECT p_brand AS room, p_partkey AS idx, p_size % 3 AS h, CAST(p_retailprice AS BIGINT) % 2 AS w FROM part),
+WITH images AS (SELECT p_type AS room, p_partkey AS idx, p_size % 3 AS h, CAST(p_retailprice AS BIGINT) % 2 AS w FROM part),
 counts AS (SELECT room, h, w, count(*) AS n, min(idx) AS f FROM images GROUP BY ALL),
 majority AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY room ORDER BY n DESC, f) = 1)
 SELECT i.room, i.h, i.w, i.idx AS source_idx,
@@ -183,7 +183,7 @@ SELECT i.room, i.h, i.w, i.idx AS source_idx,
 FROM images i JOIN majority m ON i.room = m.room AND i.h = m.h AND i.w = m.w""")
 def uniform_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = d.table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("room"), F.col("p_partkey").alias("idx"), F.pmod("p_size", F.lit(3)).alias("h"),
+        F.col("p_type").alias("room"), F.col("p_partkey").alias("idx"), F.pmod("p_size", F.lit(3)).alias("h"),
         F.pmod(F.rint("p_retailprice").cast("bigint"), F.lit(2)).alias("w"),
     )
     return guards.uniform_shape(images, allow_mixed=True).select("room", "h", "w", "source_idx", "idx")
