@@ -360,3 +360,58 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # One row each.
     return frames.join(F.broadcast(words), F.lit(True))
+
+
+@query("""
+WITH b AS (
+  SELECT vec_id, CASE WHEN vec_id % 17 = 3 THEN CAST('nan' AS DOUBLE) WHEN vec_id % 5 = 0 THEN CAST(1e-7 AS DOUBLE) ELSE abs(CAST(embedding[1] AS DOUBLE)) END AS a,
+         CASE WHEN vec_id % 5 = 0 THEN CAST(1e-7 AS DOUBLE) ELSE abs(CAST(embedding[2] AS DOUBLE)) END AS b,
+         CASE WHEN vec_id % 10 = 0 THEN CAST(1e-7 AS DOUBLE) ELSE abs(CAST(embedding[3] AS DOUBLE)) END AS c
+  FROM embeddings)
+SELECT vec_id, round(sqrt(a * a + b * b + c * c), 6) AS diagonal FROM b
+WHERE isfinite(a) AND isfinite(b) AND isfinite(c) AND NOT (a <= 1e-6 AND b <= 1e-6 AND c <= 1e-6)""")
+def drawable_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiny = F.lit(1e-7)
+    part = lambda i, k: F.when(F.pmod("vec_id", F.lit(k)) == 0, tiny).otherwise(F.abs(F.col("embedding")[i].cast("double")))
+    first = F.when(F.pmod("vec_id", F.lit(17)) == 3, F.lit(float("nan"))).otherwise(part(0, 5))
+    sized = d.table(spark, sf_dir, "embeddings").select("vec_id", F.array(first, part(1, 5), part(2, 10)).alias("extent"))
+    return sized.where(rooms.drawable(F.col("extent"))).select("vec_id", F.round(g.diagonal("extent"), 6).alias("diagonal"))
+
+
+@query("""
+SELECT o_orderkey, printf('%-18s conf=%.2f seen=%dx at [%.2f, %.2f, %.2f]', lower(o_orderpriority), sqrt((o_orderkey % 97) / CAST(97 AS DOUBLE)),
+         o_orderkey % 9, sqrt(o_orderkey % 89 + CAST(0.3 AS DOUBLE)), CAST(0 AS DOUBLE), -sqrt(o_orderkey % 13 + CAST(0.7 AS DOUBLE))) AS line
+FROM orders""")
+def object_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = d.table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    at = F.array(
+        F.sqrt(F.pmod(key, F.lit(89)) + F.lit(0.3)), F.lit(0.0), -F.sqrt(F.pmod(key, F.lit(13)) + F.lit(0.7))
+    )
+    line = text.object_line(F.lower("o_orderpriority"), F.sqrt(F.pmod(key, F.lit(97)) / F.lit(97.0)), F.pmod(key, F.lit(9)), at)
+    return o.select("o_orderkey", line.alias("line"))
+
+
+@query(d.with_tables("points", "cameras") + """
+SELECT p.room, c.frame_idx * 10 + c.room % 3 AS frame_id, count(*) AS n
+FROM points p JOIN cameras c USING (room, frame_idx) GROUP BY ALL""")
+def frame_id_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points counted by the id of the extracted frame, reached through the cameras."""
+    cams = d.cameras(spark, sf_dir).withColumn("frame_id", F.col("frame_idx") * 10 + F.pmod("room", F.lit(3)))
+    linked = rooms.through_frame_ids(d.points(spark, sf_dir).select("room", "frame_idx"), cams)
+    return linked.groupBy("room", "frame_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS fx, CAST(CASE WHEN vec_id % 2 = 0 THEN embedding[1] ELSE embedding[2] END AS DOUBLE) AS fy,
+       CAST(embedding[3] AS DOUBLE) AS px, CAST(embedding[4] AS DOUBLE) AS py, CAST(1 AS DOUBLE) AS corner
+FROM embeddings""")
+def intrinsics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pinhole matrices; every second frame has a single focal length for both axes."""
+    e = F.col("embedding")
+    focals = F.when(F.pmod("vec_id", F.lit(2)) == 0, F.array(e[0])).otherwise(F.array(e[0], e[1]))
+    made = d.table(spark, sf_dir, "embeddings").select("vec_id", g.intrinsics(focals, F.array(e[2], e[3])).alias("K"))
+    k = F.col("K")
+    return made.select(
+        "vec_id", k[0].alias("fx"), k[4].alias("fy"), k[2].alias("px"), k[5].alias("py"), k[8].alias("corner")
+    )

@@ -239,3 +239,14 @@ def rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.first("factor"), 9).alias("factor"), F.round(F.max("x"), 6).alias("max_x"),
         F.round(F.max("y"), 6).alias("max_y"), F.count(F.lit(1)).alias("n"),
     )
+
+
+@query(_FRAMES_SQL + """,
+spare AS (
+  SELECT f.room, f.idx, row_number() OVER (PARTITION BY f.room ORDER BY f.idx) - 1 AS pos
+  FROM frames f ANTI JOIN picked p ON f.room = p.room AND f.idx = p.idx)
+SELECT room, CAST(idx AS BIGINT) AS idx FROM picked UNION SELECT room, CAST(idx AS BIGINT) FROM spare WHERE pos % 3 = 0""")
+def frame_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen frames topped up with every third spare one."""
+    chosen = window_sharpest(spark, sf_dir).select("room", "idx")
+    return chosen.unionByName(spare_frames(spark, sf_dir).select("room", "idx")).distinct()
