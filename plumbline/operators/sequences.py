@@ -1,7 +1,8 @@
 """Ordered operators (previous row, row number, running last) that survive a hot key.
 
-A plain `Window.partitionBy(key).orderBy(...)` puts a whole key into one task. Here
-every key is cut into chunks that are contiguous in the order, the window runs per
+A plain `Window.partitionBy(key).orderBy(...)` puts a whole key into one task, so it is
+used only after the largest key has been counted and found small. Otherwise, or where
+the caller names a chunk column, every key is cut into chunks that are contiguous in the order, the window runs per
 `(key, chunk)`, and one summary row per chunk carries the state across chunk borders.
 Only the summaries - a few rows per key - are ever windowed by key alone.
 """
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 
+# Keys up to this many rows are sorted by one task each.
+SMALL_GROUP = 2_000_000
+
 
 def _split_tree(order: Column, splits: list[Column], base: int) -> Column:
     if not splits:
@@ -45,6 +49,13 @@ def with_chunks(
     return df.withColumn(CHUNK, _split_tree(F.struct(*order), literals, 0))
 
 
+def _all_small(df: DataFrame, keys: Sequence[str], chunk: Column | None, limit: int) -> bool:
+    if chunk is not None:
+        return False
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (counts.agg(F.max("_n")).first()[0] or 0) <= limit
+
+
 def _prepare(df: DataFrame, order: Sequence[str], chunk: Column | None) -> DataFrame:
     return with_chunks(df, order) if chunk is None else df.withColumn(CHUNK, chunk)
 
@@ -61,8 +72,11 @@ def previous_row(
     *,
     name: str = "prev",
     chunk: Column | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Add struct `name` holding `payload` of the preceding row of the same key."""
+    if _all_small(df, keys, chunk, small_group):
+        return df.withColumn(name, F.lag(F.struct(*payload)).over(Window.partitionBy(*keys).orderBy(*order)))
     base = _prepare(df, order, chunk)
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
@@ -88,8 +102,12 @@ def row_numbers(
     name: str = "idx",
     start: int = 0,
     chunk: Column | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Add contiguous BIGINT positions along `order` within each key."""
+    if _all_small(df, keys, chunk, small_group):
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, (number - 1 + F.lit(start)).cast("bigint"))
     base = _prepare(df, order, chunk)
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -115,8 +133,12 @@ def running_last(
     *,
     name: str,
     chunk: Column | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Add `name`: the latest non-null `value` up to and including each row."""
+    if _all_small(df, keys, chunk, small_group):
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.last(F.col(value), ignorenulls=True).over(upto))
     base = _prepare(df, order, chunk)
     inside = (
         Window.partitionBy(*keys, CHUNK).orderBy(*order)

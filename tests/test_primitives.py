@@ -17,19 +17,22 @@ def rows(spark):
     return pdf.sort_values(["k", "o"]).reset_index(drop=True), df
 
 
-@pytest.mark.parametrize("by_sample", [True, False])
-def test_sequences_match_plain_windows(rows, by_sample):
+@pytest.mark.parametrize("how", ["plain", "sampled chunks", "given chunks"])
+def test_sequences_match_a_sorted_scan(rows, how):
     pdf, df = rows
-    chunk = None if by_sample else F.floor(F.col("o") / 97).cast("int")
-    got = sequences.previous_row(df, ["k"], ["o"], ["x"], chunk=chunk).select("k", "o", "prev.x").toPandas()
+    options = {
+        "plain": {}, "sampled chunks": {"small_group": 10},
+        "given chunks": {"chunk": F.floor(F.col("o") / 97).cast("int")},
+    }[how]
+    got = sequences.previous_row(df, ["k"], ["o"], ["x"], **options).select("k", "o", "prev.x").toPandas()
     got = got.sort_values(["k", "o"]).reset_index(drop=True)
     want = pdf.groupby("k")["x"].shift(1)
     assert np.allclose(got["x"].to_numpy(float), want.to_numpy(float), equal_nan=True)
 
-    got = sequences.row_numbers(df, ["k"], ["o"], chunk=chunk).toPandas().sort_values(["k", "o"])
+    got = sequences.row_numbers(df, ["k"], ["o"], **options).toPandas().sort_values(["k", "o"])
     assert got["idx"].tolist() == pdf.groupby("k").cumcount().tolist()
 
-    got = sequences.running_last(df, ["k"], ["o"], "mark", name="last", chunk=chunk).toPandas().sort_values(["k", "o"])
+    got = sequences.running_last(df, ["k"], ["o"], "mark", name="last", **options).toPandas().sort_values(["k", "o"])
     assert np.allclose(got["last"].to_numpy(float), pdf.groupby("k")["mark"].ffill().to_numpy(float), equal_nan=True)
 
 
