@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.imaging import correlation
-from ..session import durable, lookup_join
+from ..session import durable, lookup_join, spread
 from .quantiles import exact_quantiles, finite
 
 ROOM = ["room"]
@@ -93,7 +93,7 @@ def _stream_picks(n_frames: int, limit: float):
 def _pick_streaming(candidates: DataFrame, n_frames: int, limit: float) -> DataFrame:
     types = dict(candidates.dtypes)
     ordered = (
-        candidates.withColumn("_rank", -F.col("sharpness")).repartition("room")
+        spread(candidates.withColumn("_rank", -F.col("sharpness")), "room")
         .sortWithinPartitions("room", "bucket", "_rank", "idx")
     )
     return ordered.select("room", "bucket", "idx", "thumb").mapInPandas(
@@ -214,8 +214,9 @@ def covering_frames(cameras: DataFrame, budget: int, *, stream_rows: int = STREA
     those taken (lowest index on ties). Rooms within the budget keep every frame; rooms
     with a non-finite position are strided evenly. Frame numbers run 0..n-1.
     """
-    centers = cameras.select(
-        "room", "frame_idx", *[c.cast("double").alias(n) for c, n in zip(g.camera_center("pose"), "xyz")]
+    # One short row per frame, read by every branch and round below.
+    centers = durable(
+        cameras.select("room", "frame_idx", *[c.cast("double").alias(n) for c, n in zip(g.camera_center("pose"), "xyz")])
     )
     types = dict(centers.dtypes)
     ok = finite(F.col("x"), F.col("y"), F.col("z"))
@@ -229,14 +230,14 @@ def covering_frames(cameras: DataFrame, budget: int, *, stream_rows: int = STREA
         (F.col("_n") > budget) & ~F.col("_ok")
         & (F.col("frame_idx") % stride == 0) & (F.col("frame_idx") / stride < budget)
     )
-    spread = marked.where((F.col("_n") > budget) & F.col("_ok"))
+    roaming = marked.where((F.col("_n") > budget) & F.col("_ok"))
     out = whole.unionByName(strided).select("room", "frame_idx")
-    small = spread.where(F.col("_n") <= stream_rows).select("room", "frame_idx", "x", "y", "z")
+    small = roaming.where(F.col("_n") <= stream_rows).select("room", "frame_idx", "x", "y", "z")
     out = out.unionByName(
-        small.groupBy("room").applyInPandas(_cover_room(budget), f"room {types['room']}, frame_idx {types['frame_idx']}")
+        spread(small, "room").groupBy("room").applyInPandas(_cover_room(budget), f"room {types['room']}, frame_idx {types['frame_idx']}")
     )
     if not sizes.where((F.col("_n") > stream_rows) & (F.col("_n") > budget) & F.col("_ok")).isEmpty():
-        large = spread.where(F.col("_n") > stream_rows).select("room", "frame_idx", "x", "y", "z")
+        large = roaming.where(F.col("_n") > stream_rows).select("room", "frame_idx", "x", "y", "z")
         out = out.unionByName(_cover_in_rounds(large, budget))
     return out
 

@@ -22,7 +22,7 @@ from ..functions import geometry as g
 from ..functions import labels as lab
 from ..functions import scores
 from ..functions.text import object_id
-from ..session import BROADCAST_ROWS, durable, lookup_join
+from ..session import BROADCAST_ROWS, durable, lookup_join, spread
 from .boxes import fitted_extent, moment_aggregates, span_aggregates, with_axes
 from .islands import _cells, value_runs
 from .quantiles import exact_quantiles
@@ -194,8 +194,7 @@ def _assign(
 ) -> DataFrame:
     blocked = _with_blocks(flat, floor, scale, split_above)
     ordered = (
-        blocked.withColumn("_rank", -F.col("n_points"))
-        .repartition(*_BLOCK)
+        spread(blocked.withColumn("_rank", -F.col("n_points")), *_BLOCK)
         .sortWithinPartitions(*_BLOCK, "_rank", "frame_idx", "id")
     )
     room_type = dict(flat.dtypes)["room"]

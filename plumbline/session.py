@@ -71,3 +71,12 @@ def lookup_join(
     to count, for example the result of `durable`; wide rows need a lower `max_rows`.
     """
     return big.join(F.broadcast(small) if fits_broadcast(small, max_rows) else small, keys, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by `keys` into the session's full number of shuffle partitions.
+
+    Ahead of Python kernels: adaptive execution would merge partitions that are small in
+    bytes, although the work per row is large.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
