@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators.boxes import oriented_boxes
+from ..operators.boxes import moment_aggregates, oriented_boxes
 from ..operators.islands import dominant_run, value_runs
 from ..operators.lift import BOX, SEARCH, detection_boxes, lift
 from ..operators.quantiles import finite
@@ -140,3 +140,19 @@ def finite_confident(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("label")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 6).alias("min_x"), F.round(F.max("x"), 6).alias("max_x"))
     )
+
+
+@query(d.with_tables("points") + """
+SELECT room, count(*) AS n, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(z), 6) AS mz,
+       round(covar_pop(x, x), 6) AS xx, round(covar_pop(x, y), 6) AS xy, round(covar_pop(x, z), 6) AS xz,
+       round(covar_pop(y, y), 6) AS yy, round(covar_pop(y, z), 6) AS yz, round(covar_pop(z, z), 6) AS zz
+FROM points WHERE conf GROUP BY room""")
+def box_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mergeable first pass of the principal-axis boxes."""
+    pts = d.points(spark, sf_dir).where("conf")
+    stats = pts.groupBy("room").agg(F.count(F.lit(1)).alias("n"), *moment_aggregates(("x", "y", "z")))
+    names = {"c00": "xx", "c01": "xy", "c02": "xz", "c11": "yy", "c12": "yz", "c22": "zz"}
+    return stats.select(
+        "room", "n", *[F.round(F.col("mean")[i], 6).alias(f"m{c}") for i, c in enumerate("xyz")],
+        *[F.round(c, 6).alias(n) for c, n in names.items()],
+    )
