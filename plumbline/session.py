@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,27 +30,55 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+def scratch_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables of this application.
+
+    It lies in the shared folder named by `spark.checkpoint.dir`. Only a local master may
+    do without that setting; it then gets a temporary folder of its own.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        configured = tempfile.mkdtemp(prefix="plumbline-scratch-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return f"{configured.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder once and read it from there.
+    """Write `df` as Parquet to the scratch folder once and read it from there.
 
-    Used where a result is small relative to its inputs and feeds several later
-    jobs. The files survive executor loss, so nothing upstream is recomputed.
+    Used where a result is small relative to its inputs and feeds several later jobs. The
+    files survive executor loss, so nothing upstream is recomputed; later reads prune
+    columns. `discard` removes a table early; the rest goes when the process ends.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files behind a table that `durable` returned and nothing reads any more."""
+    for path in [p for p in _written if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in df.inputFiles()[:1])]:
+        _remove(path, _written.pop(path))
+
+
+@atexit.register
+def _clear_scratch() -> None:
+    for path, spark in list(_written.items()):
+        if spark.sparkContext._jsc is not None:
+            _remove(path, spark)
+    _written.clear()
 
 
 # A broadcast side is built only below this row count; rows of such tables are a few
