@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, simhash_bk, sql
+from . import adaptive_quality, kk_packing, simhash_bk, sql, water_filling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +44,14 @@ def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+@_query(sql.water_filling())
+def op9_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = water_filling.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@_query()
+def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kk_packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -85,3 +85,36 @@ def judged(table: str) -> str:
 def adaptive_quality() -> str:
     return f"""WITH {judged('documents')}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"""
+
+
+def water_filling() -> str:
+    return """
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'))::BIGINT AS size,
+               ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS u
+        FROM documents
+    ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+    ), r AS (
+        SELECT *, 3 * source_size AS cap,
+               CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+        FROM s
+    ), ordered AS (SELECT *, row_number() OVER (ORDER BY cap::DOUBLE / w, source NULLS LAST) AS j FROM r
+    ), levels AS (
+        SELECT j, w, cap, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+               / (sum(w) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+        FROM ordered
+    ), t AS (
+        SELECT source, source_size,
+               least(cap::DOUBLE, w * (SELECT arg_min(level, j) FROM levels WHERE w * level <= cap)) AS target
+        FROM r
+    ), spec AS (
+        SELECT *, least(floor(target / greatest(source_size, 1))::BIGINT, 3) AS whole FROM t
+    ), placed AS (
+        SELECT d.doc_id, d.size, source_size, target, whole, floor(target - whole * source_size)::BIGINT AS rest,
+               coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY u, doc_id, d.size
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
+        FROM sized d JOIN spec s ON d.source IS NOT DISTINCT FROM s.source
+    )
+    SELECT doc_id, size, source_size, target,
+           (size * whole + greatest(0, least(size, rest - reached)))::BIGINT AS taken
+    FROM placed"""
