@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, kk_packing, simhash_bk, sql, water_filling
+from . import adaptive_quality, kk_packing, simhash_bk, sql, suffix_dedup, water_filling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,3 +55,9 @@ def op9_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_packing.pack(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query()
+def op6_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.withColumnRenamed("id", "doc_id").drop("kept_text")
