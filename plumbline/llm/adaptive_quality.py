@@ -26,6 +26,8 @@ RULES: dict[str, tuple[str, bool, int]] = {
     "repeat_rate": ("n_repeat_words * 1000 div n_words", False, 180),
     "word_length": ("word_chars * 100 div n_words", True, 200),
 }
+# The groups of each level, finest first.
+LEVELS: dict[str, list[str]] = {"own": ["lang", "source"], "lang": ["lang"], "all": []}
 IQR_FENCE = 3
 LEAST_GROUP = 200
 
@@ -62,14 +64,19 @@ def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 (acc, i) -> struct(acc.covered + least(5L, i - acc.last) AS covered, cast(i AS bigint) AS last),
                 acc -> acc.covered)
         END"""
-    return hashes.withColumns({
+    measures = {
+        "n_words": F.col("n_words"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": (F.length(F.coalesce(F.col(text_col), F.lit("")))
                       - F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SYMBOLS, ""))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.expr(repeat_words),
-    }).drop("_words", "_lines", "_hash")
+    }
+    # As the output of a generator the measures are taken once per row; a filter on plain
+    # columns would be pushed below them and repeat the splitting within every lambda.
+    row = F.struct(*[c.alias(n) for n, c in measures.items()])
+    return hashes.select(*docs.columns, F.inline(F.array(row)))
 
 
 def base_failed() -> Column:
@@ -105,19 +112,16 @@ def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def thresholds(measured: DataFrame) -> dict[str, DataFrame]:
-    """Fences at three levels: by `lang` and `source`, by `lang`, and over all documents."""
+    """Fences at three levels: by `lang` and `source`, by `lang`, and over all documents.
+
+    One row per group. They are written, so that joins know how small they are.
+    """
     usable = measured.where(~F.col("base_failed"))
     values = ", ".join(f"'{name}', {formula}" for name, (formula, _, _) in RULES.items())
     long = usable.select("lang", "source", F.expr(f"stack({len(RULES)}, {values}) AS (rule, value)"))
     fine = durable(sketch(long, ["rule", "lang", "source"], "value"))
-    levels = {
-        "own": quartiles(fine, ["rule", "lang", "source"]),
-        "lang": quartiles(merged(fine, ["rule", "lang"]), ["rule", "lang"]),
-        "all": quartiles(merged(fine, ["rule"]), ["rule"]),
-    }
-    keys = {"own": ["lang", "source"], "lang": ["lang"], "all": []}
     fences = {}
-    for level, table in levels.items():
+    for level, by in LEVELS.items():
         parts = []
         for name, (_, has_low, slack) in RULES.items():
             reach = F.greatest(F.lit(IQR_FENCE) * (F.col("q3") - F.col("q1")), F.lit(slack))
@@ -125,19 +129,18 @@ def thresholds(measured: DataFrame) -> dict[str, DataFrame]:
             parts.append(F.max(F.when(mine, F.col("q3") + reach)).alias(f"{level}_{name}_high"))
             if has_low:
                 parts.append(F.max(F.when(mine, F.col("q1") - reach)).alias(f"{level}_{name}_low"))
-        by = keys[level]
-        fences[level] = table.groupBy(*by).agg(*parts) if by else table.agg(*parts)
+        table = quartiles(fine if level == "own" else merged(fine, ["rule", *by]), ["rule", *by])
+        fences[level] = durable(table.groupBy(*by).agg(*parts) if by else table.agg(*parts))
     return fences
 
 
-def judge(measured: DataFrame) -> DataFrame:
+def judge(measured: DataFrame, fences: dict[str, DataFrame]) -> DataFrame:
     """Add `kept`: not failed by the base rule and within every fence that applies.
 
     `measured` has `lang`, `source`, `base_failed` and the measures. Null languages and
     sources are groups of their own. Where no group reaches LEAST_GROUP documents there is
     no fence, and the base rule alone decides.
     """
-    fences = thresholds(measured)
     own, lang = fences["own"], fences["lang"]
     joined = (
         measured.alias("m")
@@ -149,11 +152,9 @@ def judge(measured: DataFrame) -> DataFrame:
     passed = ~F.col("base_failed")
     for name, (formula, has_low, _) in RULES.items():
         value = F.expr(f"CASE WHEN base_failed THEN 0L ELSE {formula} END")
-        high = F.coalesce(*[F.col(f"{level}_{name}_high") for level in ("own", "lang", "all")])
-        passed &= F.coalesce(value <= high, F.lit(True))
+        passed &= F.coalesce(value <= F.coalesce(*[F.col(f"{x}_{name}_high") for x in LEVELS]), F.lit(True))
         if has_low:
-            low = F.coalesce(*[F.col(f"{level}_{name}_low") for level in ("own", "lang", "all")])
-            passed &= F.coalesce(value >= low, F.lit(True))
+            passed &= F.coalesce(value >= F.coalesce(*[F.col(f"{x}_{name}_low") for x in LEVELS]), F.lit(True))
     return joined.select("m.*", passed.alias("kept"))
 
 
@@ -166,7 +167,20 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty result.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), "lang", "source")
+    measured = durable(text_measures(narrow, "_text").drop("_text").withColumn("base_failed", base_failed()))
+    return judge(measured, thresholds(measured))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that `quality` keeps, with all their columns.
+
+    Measures are taken twice, for the thresholds and for the filter: that costs a second
+    pass over the texts but moves none of them.
+    """
     measured = durable(
-        text_measures(narrow, "_text").drop("_text").withColumn("base_failed", base_failed())
+        text_measures(docs.select(F.col(text_col).alias("_text"), "lang", "source"), "_text").drop("_text")
+        .withColumn("base_failed", base_failed())
     )
-    return judge(measured)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), "lang", "source")
+    again = text_measures(rows, "_text").withColumn("base_failed", base_failed())
+    return judge(again, thresholds(measured)).where("kept").select("_row.*")

@@ -60,4 +60,4 @@ def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op6_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
-    return kept.withColumnRenamed("id", "doc_id").drop("kept_text")
+    return kept.withColumnRenamed("id", "doc_id").drop("kept_text", "carry")

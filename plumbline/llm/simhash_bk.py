@@ -209,3 +209,13 @@ def near_duplicates(
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = placed.join(named, "component").select("fp", "component_id")
     return prints.join(labels, "fp").select("id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without near-duplicates: of every group the smallest id stays.
+
+    Rows that repeat the id that stays are one document and all stay, as do rows without id.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    dropped = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")

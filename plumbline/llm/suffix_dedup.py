@@ -381,14 +381,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _marks(tuple(np.concatenate(c) for c in zip(*gone)), (_NONE,) * 5)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`id`, `key`, `text` (bytes): keys order documents as their ids do and tell unequal rows apart.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """`id`, `key`, `text` (bytes), `carry` (the columns to pass on): keys order documents as their ids do and tell unequal rows apart.
 
     The id is its own key where ids are all present and distinct. Otherwise rows are ranked by
     id, nulls last, then by a hash of the text; equal rows share a key.
     """
     plain = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+        F.struct(*carry, F.lit(None).cast("boolean").alias("_")).alias("carry"),
     )
     odd = plain.groupBy("id").count().where(F.col("id").isNull() | (F.col("count") > 1))
     if odd.isEmpty():
@@ -399,14 +400,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .withColumn("key", F.monotonically_increasing_id())
     )
     same = hashed["id"].eqNullSafe(ranks["id"]) & (hashed["hash"] == ranks["hash"])
-    return hashed.join(ranks, same).select(hashed["id"], "key", "text")
+    return hashed.join(ranks, same).select(hashed["id"], "key", "text", "carry")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id`, `key`, `text` (bytes) and `marks` (arrays of span lists) of every document."""
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """`id`, `text` (bytes), `carry` and `marks` (arrays of span lists) of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, carry)
     anchors = keyed.select("key", "text").mapInArrow(_anchor_rows(parts), ANCHOR_ROWS)
     marks = durable(anchors.repartition(parts, "bucket").mapInArrow(_resolve, MARKS))
     dealt = keyed.repartition(parts, "key")
@@ -417,7 +418,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         marks.unionByName(late).where(F.col("spans").isNotNull())
         .groupBy("key").agg(F.collect_list("spans").alias("marks"))
     )
-    return dealt.join(spans.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "marks")
+    return dealt.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "carry", "marks")
 
 
 def _merged(marks: list[bytes] | None) -> np.ndarray:
@@ -452,9 +453,12 @@ def _whole_characters(text: bytes, runs: np.ndarray) -> np.ndarray:
     return np.array(shrunk, np.int64).reshape(-1, 2)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`, `kept_text` for every row.
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """`id`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`, `kept_text`, `carry` for every row.
 
+    `carry` is a struct of the columns named, as they were.
     The counts and the digest are of bytes; `kept_text` drops only characters all of whose
     bytes are removed. Strings are judged on the input, not on what is left. A null text is
     empty, and texts below LENGTH bytes are kept whole. Rows of a repeated id with different
@@ -474,8 +478,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.record_batch({
                 "id": batch["id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
-                "kept_text": pa.array(kept, pa.string()),
+                "kept_text": pa.array(kept, pa.string()), "carry": batch["carry"],
             })
 
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return repeated_spans(docs, id_col, text_col).select("id", "text", "marks").mapInArrow(run, schema)
+    found = repeated_spans(docs, id_col, text_col, list(carry))
+    schema = (
+        "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, "
+        f"carry {found.schema['carry'].dataType.simpleString()}"
+    )
+    return found.mapInArrow(run, schema)

@@ -110,3 +110,27 @@ def mix(
         "id", "source", "size", "source_size", "target", F.col("whole").cast("long").alias("whole"), "extra",
         (F.col("size") * F.col("whole") + F.col("extra")).cast("long").alias("taken"),
     )
+
+
+def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed rows of `docs`: every row as many times as the mix repeats it, whole.
+
+    The last document that a source's target reaches is repeated once more where at least
+    half of it is within the target. Only the place where each source's order is cut goes
+    back to the texts, one row per source, so texts stay where they are.
+    """
+    seed = options.get("seed", 17)
+    mixed = mix(docs, id_col, text_col, source_col, **options)
+    order = F.struct(seeded_hash(F.col("id"), seed).alias("u"), F.col("id"), F.col("size"))
+    once_more = (2 * F.col("extra") >= F.col("size")) & (F.col("extra") > 0)
+    cuts = durable(mixed.groupBy("source").agg(
+        F.max("whole").alias("_whole"), F.max(F.when(once_more, order)).alias("_cut")
+    ).withColumnRenamed("source", "_source"))
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col(source_col).alias("_s"),
+        F.struct(seeded_hash(F.col(id_col), seed).alias("u"), F.col(id_col).alias("id"),
+                 word_count(F.col(text_col)).alias("size")).alias("_order"),
+    ).where(F.col("_order.size") > 0)
+    copies = F.col("_whole") + F.when(F.col("_order") <= F.col("_cut"), 1).otherwise(0)
+    joined = rows.join(cuts, F.col("_s").eqNullSafe(F.col("_source")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(0), copies.cast("int"))).alias("_n")).where("_n > 0").select("_row.*")
