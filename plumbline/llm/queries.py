@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, kk_packing, simhash_bk, sql, suffix_dedup, water_filling
+from . import adaptive_quality, chat_prefix, kk_packing, pstable_lsh, simhash_bk, sql, suffix_dedup, water_filling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +61,18 @@ def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.withColumnRenamed("id", "doc_id").drop("kept_text", "carry")
+
+
+@_query(sql.chat_prefix())
+def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", marked), (-1, 1, "assistant", marked)], "conv_id long, turn long, role string, text string"
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_prefix.digests(chat_prefix.examples(turns))
+
+
+@_query(sql.near_vectors())
+def op2_pstable_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable_lsh.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")

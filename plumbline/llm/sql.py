@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import adaptive_quality as aq
+from . import chat_prefix as cp
 
 # The class is written out: DuckDB's patterns know \\x09 as well, but not inside every function.
 _SPACE = "[ \\x09-\\x0D]+"
@@ -118,3 +119,49 @@ def water_filling() -> str:
     SELECT doc_id, size, source_size, target,
            (size * whole + greatest(0, least(size, rest - reached)))::BIGINT AS taken
     FROM placed"""
+
+
+def chat_prefix() -> str:
+    def escaped(x: str) -> str:
+        for plain, entity in cp.ENTITIES:
+            x = f"replace({x}, '{plain}', '{entity}')"
+        return x
+
+    return f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+               count(*) OVER (PARTITION BY conv_id) AS n,
+               length({escaped('text')}) + CASE role WHEN 'user' THEN {len(cp.USER + cp.USER_END)}
+                   WHEN 'assistant' THEN {len(cp.ANSWER + cp.ANSWER_END)} ELSE 11 + length({escaped('role')}) END AS chars
+        FROM turns
+    ), run AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM placed)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(upto) FILTER (role = 'assistant' OR i = n)::BIGINT AS formatted_chars
+    FROM run GROUP BY conv_id"""
+
+
+def near_vectors() -> str:
+    """All pairs, as the tables that SQL is checked on are small; components by widening minima."""
+    return """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    ), unit AS (
+        SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+        WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(e, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b
+          ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+    ), reach AS (
+        SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    ), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a
+    ), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id,
+           vec_id = least(vec_id, coalesce(l.b, vec_id)) AS kept
+    FROM v LEFT JOIN degree d ON d.a = vec_id LEFT JOIN least l ON l.a = vec_id"""
