@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, chat_prefix, kk_packing, pstable_lsh, simhash_bk, sql, suffix_dedup, water_filling
+from . import adaptive_quality, chat_prefix, kk_packing, licence_rules, pstable_lsh, simhash_bk, sql, suffix_dedup, water_filling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,3 +76,11 @@ def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(sql.near_vectors())
 def op2_pstable_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable_lsh.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@_query(sql.licence_rules())
+def op10_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_rules.licences(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.array_join("licences", ",").alias("licences"), "sentences", "unmatched"
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import adaptive_quality as aq
 from . import chat_prefix as cp
+from . import licence_rules as lr
 
 # The class is written out: DuckDB's patterns know \\x09 as well, but not inside every function.
 _SPACE = "[ \\x09-\\x0D]+"
@@ -165,3 +166,51 @@ def near_vectors() -> str:
     SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id,
            vec_id = least(vec_id, coalesce(l.b, vec_id)) AS kept
     FROM v LEFT JOIN degree d ON d.a = vec_id LEFT JOIN least l ON l.a = vec_id"""
+
+
+def licence_rules() -> str:
+    known = ", ".join(f"('{sentence}', '{ident}')" for ident, sentence in lr._distinct())
+    unit = {"p": "\\n[ \\t\\r]*\\n", "q": "\\n"}
+    cuts = ", ".join(
+        f"regexp_split_to_array(regexp_replace(t, '{u}', chr(1), 'g'), '[.!?:;]+(?:[ \\t\\r\\n]+|$)|[\\x01]') AS {k}"
+        for k, u in unit.items()
+    )
+    reads = []
+    for k in unit:
+        reads.append(f"""
+    s_{k} AS (
+        SELECT doc_id, i, replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), 'licence', 'license') AS s
+        FROM (SELECT doc_id, unnest({k}) AS s, generate_subscripts({k}, 1) AS i FROM cut)
+    ), seq_{k} AS (
+        SELECT doc_id, string_agg('|' || ident || '|', '' ORDER BY i) AS r0
+        FROM s_{k} JOIN known ON s = sentence GROUP BY doc_id
+    )""")
+        steps = f"seq_{k}"
+        for n, (name, idents) in enumerate(lr.RULES):
+            rule = lr.rule_text(idents)
+            reads.append(f"""
+    m_{k}{n} AS (
+        SELECT * EXCLUDE (r{n}), contains(r{n}, '{rule}') AS f{n}, replace(r{n}, '{rule}', '#') AS r{n + 1}
+        FROM {steps}
+    )""" if n else f"""
+    m_{k}0 AS (SELECT *, contains(r0, '{rule}') AS f0, replace(r0, '{rule}', '#') AS r1 FROM {steps})""")
+            steps = f"m_{k}{n}"
+        found = ", ".join(f"CASE WHEN f{n} THEN '{name}' END" for n, (name, _) in enumerate(lr.RULES))
+        reads.append(f"""
+    done_{k} AS (
+        SELECT doc_id, r0, [{found}] AS found, len(regexp_extract_all(r{len(lr.RULES)}, '\\|[^|]+\\|')) AS rest
+        FROM {steps}
+    )""")
+    return f"""
+    WITH known(sentence, ident) AS (VALUES {known}),
+    cut AS (
+        SELECT doc_id, {cuts} FROM (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '(?m)^[ \\t]*(?:/\\*+|\\*+/?|//+|#+|;+|--+)', '', 'g') AS t
+            FROM documents)
+    ), {','.join(reads)}
+    SELECT d.doc_id,
+           coalesce(array_to_string(list_sort(list_distinct(list_filter(
+               list_concat(coalesce(p.found, []), coalesce(q.found, [])), lambda x: x IS NOT NULL))), ','), '') AS licences,
+           coalesce(p.r0, '') || '/' || coalesce(q.r0, '') AS sentences,
+           least(coalesce(p.rest, 0), coalesce(q.rest, 0))::BIGINT AS unmatched
+    FROM documents d LEFT JOIN done_p p ON d.doc_id = p.doc_id LEFT JOIN done_q q ON d.doc_id = q.doc_id"""
