@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, chat_prefix, kk_packing, licence_rules, pstable_lsh, simhash_bk, sql, suffix_dedup, water_filling
+from ..session import lookup_join
+from . import adaptive_quality, chat_prefix, kk_packing, licence_rules, lm_difference, pstable_lsh, simhash_bk, sql, suffix_dedup, water_filling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,3 +85,11 @@ def op10_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.array_join("licences", ",").alias("licences"), "sentences", "unmatched"
     )
+
+
+@_query()
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    # Eight bytes a row; beyond the row limit the join is shuffled.
+    docs = lookup_join(_table(spark, sf_dir, "documents"), good, ["doc_id"], "left", max_rows=500_000)
+    return lm_difference.scores(docs, "doc_id", "text", "good").withColumnRenamed("id", "doc_id")
