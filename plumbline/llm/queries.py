@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import lookup_join
-from . import adaptive_quality, chat_prefix, kk_packing, licence_rules, lm_difference, pstable_lsh, simhash_bk, sql, suffix_dedup, water_filling
+from . import adaptive_quality, captures, chat_prefix, kk_packing, licence_rules, lm_difference, pstable_lsh, revisits, simhash_bk, sql, suffix_dedup, water_filling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,3 +93,9 @@ def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Eight bytes a row; beyond the row limit the join is shuffled.
     docs = lookup_join(_table(spark, sf_dir, "documents"), good, ["doc_id"], "left", max_rows=500_000)
     return lm_difference.scores(docs, "doc_id", "text", "good").withColumnRenamed("id", "doc_id")
+
+
+@_query(sql.revisits())
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = revisits.resolve_revisits(captures.captures(_table(spark, sf_dir, "pages")))
+    return resolved.withColumn("headers", revisits.header_lines(F.col("headers")))

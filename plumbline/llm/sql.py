@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from . import adaptive_quality as aq
+from . import captures as cap
 from . import chat_prefix as cp
 from . import licence_rules as lr
+from . import revisits as rv
 
 # The class is written out: DuckDB's patterns know \\x09 as well, but not inside every function.
 _SPACE = "[ \\x09-\\x0D]+"
@@ -214,3 +216,71 @@ def licence_rules() -> str:
            coalesce(p.r0, '') || '/' || coalesce(q.r0, '') AS sentences,
            least(coalesce(p.rest, 0), coalesce(q.rest, 0))::BIGINT AS unmatched
     FROM documents d LEFT JOIN done_p p ON d.doc_id = p.doc_id LEFT JOIN done_q q ON d.doc_id = q.doc_id"""
+
+
+def revisits() -> str:
+    def headers(fields: list[tuple[str, str, str]]) -> str:
+        items = ", ".join(
+            f"CASE WHEN {when} THEN {{'name': '{name}', 'value': {value}}} END" for when, name, value in fields
+        )
+        return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+    def first(table: str, name: str) -> str:
+        return f"list_filter({table}.headers, lambda x: lower(x.name) = '{name}')[1].value"
+
+    barred = ", ".join(f"'{x}'" for x in rv.HOP_BY_HOP + rv.CONTENT_BOUND)
+    url = rv._URL.replace("\\\\", "\\")
+    good = ", ".join(f"'{x}'" for x in rv.RESOLVED)
+    return f"""
+    WITH base AS (
+        SELECT page_id, url, md5(html) AS digest, strlen(html)::BIGINT AS n_bytes,
+               ('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT AS h FROM pages
+    ), timed AS (SELECT *, {cap.FIRST_AT} AS first_at FROM base
+    ), made AS (
+        SELECT concat('r', page_id) AS record_id, 'response' AS kind, url, first_at AS captured_at, 200 AS status,
+               {headers(cap.RESPONSE)} AS headers, digest AS payload_digest FROM timed
+        UNION ALL
+        SELECT concat('q', page_id), 'response', concat(url, '#again'), first_at + 500000, 200,
+               {headers(cap.CHANGED)}, reverse(digest) FROM timed WHERE h % 4 = 0
+        UNION ALL
+        SELECT concat('v', page_id, '-', i), 'revisit', regexp_replace(url, '^https?://(www[.])?', 'HTTP://www.'),
+               first_at + i * 400000 - 100000, 304, {headers(cap.REVISIT)}, NULL
+        FROM timed, (VALUES (0), (1), (2)) AS n(i) WHERE (h + i) % 3 <> 2
+    ), parts AS (
+        SELECT *, regexp_replace(lower(regexp_extract(trim(url), '{url}', 1)), '^www[0-9]*\\.|:(?:80|443)$', '', 'g') AS host,
+               regexp_replace(regexp_extract(trim(url), '{url}', 2), '/+$', '') AS path,
+               array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(url), '{url}', 3), '&'),
+                   lambda x: x <> '' AND NOT regexp_matches(lower(x), '{rv.TRACKING}'))), '&') AS query
+        FROM made
+    ), c AS (
+        SELECT *, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM parts
+    ), latest AS (
+        SELECT v.record_id, max({{'at': r.captured_at, 'id': r.record_id}}) AS key
+        FROM c v JOIN c r ON v.canonical_url = r.canonical_url AND r.captured_at < v.captured_at
+        WHERE v.kind = 'revisit' AND r.kind = 'response' GROUP BY v.record_id
+    ), joined AS (
+        SELECT v.record_id, v.canonical_url, v.captured_at, v.headers AS new, r.headers AS old, r.status,
+               r.record_id AS refers_to, r.captured_at AS refers_to_at, r.payload_digest,
+               {first('r', 'etag')} AS old_tag, {first('v', 'etag')} AS new_tag,
+               {first('r', 'last-modified')} AS old_date, {first('v', 'last-modified')} AS new_date,
+               list_transform(string_split(lower(coalesce({first('v', 'connection')}, '')), ','), lambda x: trim(x)) AS listed
+        FROM c v LEFT JOIN latest l ON l.record_id = v.record_id LEFT JOIN c r ON r.record_id = l.key.id
+        WHERE v.kind = 'revisit'
+    ), judged AS (
+        SELECT *, CASE WHEN refers_to IS NULL THEN 'no_earlier_response'
+            WHEN regexp_replace(old_tag, '^W/', '') = regexp_replace(new_tag, '^W/', '') THEN 'same_etag'
+            WHEN old_tag IS NOT NULL AND new_tag IS NOT NULL THEN 'other_etag'
+            WHEN old_date = new_date THEN 'same_date'
+            WHEN old_date IS NOT NULL AND new_date IS NOT NULL THEN 'other_date'
+            WHEN new_tag IS NULL AND new_date IS NULL THEN 'no_validator' ELSE 'validator_missing' END AS outcome,
+            list_filter(new, lambda x: NOT list_contains(list_concat([{barred}], listed), lower(x.name))) AS update_
+        FROM joined
+    ), merged AS (
+        SELECT *, outcome IN ({good}) AS good, list_transform(update_, lambda x: lower(x.name)) AS names FROM judged
+    )
+    SELECT record_id, canonical_url, captured_at, outcome, refers_to, refers_to_at,
+           CASE WHEN good THEN status END AS status, CASE WHEN good THEN payload_digest END AS payload_digest,
+           array_to_string(list_sort(list_transform(
+               CASE WHEN good THEN list_concat(list_filter(old, lambda x: NOT list_contains(names, lower(x.name))), update_) ELSE new END,
+               lambda x: lower(x.name) || ': ' || x.value)), chr(10)) AS headers
+    FROM merged"""
