@@ -109,8 +109,7 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray,
     readable = symbols != END
     order = np.arange(len(symbols), dtype=np.int32)
     block = np.zeros(len(symbols), np.int32)
-    shared = np.full(len(symbols), depth, np.int32)
-    shared[np.concatenate([np.arange(s.texts) + base for s, base in zip(shards, bases)])] = 0
+    shared = np.zeros(len(symbols), np.int32)
     for h in range(depth):
         keep = readable[order]
         rows, held = order[keep], block[keep]
@@ -120,8 +119,8 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray,
         part = np.ones(len(rows) + 1, bool)
         part[1:-1] = (read[1:] != read[:-1]) | (held[1:] != held[:-1])
         alone = part[1:] & part[:-1]
-        shared[rows[alone]] = h
         order, block = rows[~alone], np.cumsum(part[:-1], dtype=np.int32)[~alone]
+        shared[order] = h + 1
     return order, block, shared
 
 

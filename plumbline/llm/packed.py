@@ -7,8 +7,9 @@ import numpy as np
 
 def planes(values: np.ndarray) -> bytes:
     """Little-endian bytes by significance, without the planes that are all zero; their number first."""
+    values = values.astype("<u8")  # negative numbers wrap and come back
     width = (int(values.max(initial=0)).bit_length() + 7) // 8
-    octets = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    octets = values.view(np.uint8).reshape(-1, 8)[:, :width]
     return bytes([width]) + np.ascontiguousarray(octets.T).tobytes()
 
 

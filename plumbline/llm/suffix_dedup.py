@@ -24,6 +24,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,15 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .bwt_merge import repeated
+from .packed import planes, unplanes
 
 LENGTH = 50
 GRAM = 16
 # Bytes whose hashes are held at a time, and anchors collapsed at a time.
-SEGMENT = 1_000_000
-FLUSH = 1_500_000
+SEGMENT = 500_000
+FLUSH = 500_000
+# Buckets of anchors per shuffle partition; one bucket is resolved at a time.
+BUCKETS_PER_PARTITION = 4
 # An anchor with more differing runs than this is compared string by string.
 MANY_RUNS = 5_000
 # Bytes of texts that are merged together, and of one shard.
@@ -144,15 +149,6 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]
                 yield key, text
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Little-endian bytes by significance, so that high zero bytes lie together."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
 def _group_ids(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     """Numbers of the groups of equal values along `order`, ascending."""
     new = np.zeros(len(order), np.int64)
@@ -168,47 +164,86 @@ def _least(groups: np.ndarray, values: np.ndarray, pick=np.minimum) -> np.ndarra
     return pick.reduceat(values, heads)[groups - groups[0]] if len(values) else values
 
 
-ANCHOR_ROWS = "bucket int, base long, keys binary, runs binary, docs binary, firsts binary, shape binary"
-# For one document: `spans` are removed runs, `open` the runs still to be compared (pairs of uint32,
-# for open runs with the anchor's place and whether it is frequent).
-MARKS = "key long, spans binary, open binary"
+ANCHOR_ROWS = "bucket int, count int, base long, keys binary, runs binary, docs binary, firsts binary, shape binary"
+# Marks on documents, packed for a bucket of documents: spans to remove (low, high), or open runs
+# (first and last start, the anchor's place, whether it is frequent).
+MARKS = "bucket int, count int, kind int, docs binary, lows binary, highs binary, places binary, flags binary"
+SPAN, OPEN = 0, 1
+# All marks of one document, as uint32 pairs or quadruples.
+GATHERED = "key long, spans binary, open binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _record(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.record_batch(
+        [pa.array(c, kinds[f.split()[1]]) for c, f in zip(zip(*rows), schema.split(", "))], names=_names(schema)
+    )
+
+
+def _marks(buckets: int, spans: tuple[np.ndarray, ...], rest: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    """MARKS rows from removed spans (doc, low, high) and open runs (doc, first, last, at, frequent)."""
+    rows = []
+    for kind, columns in ((SPAN, (*spans, _NONE, _NONE)), (OPEN, rest)):
+        if not len(columns[0]):
+            continue
+        where = (_mix(columns[0].astype(U)) % U(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[order], np.arange(buckets + 1))
+        for b, (low, high) in enumerate(zip(edges, edges[1:])):
+            if low < high:
+                some = order[low:high]
+                rows.append((b, high - low, kind, *(planes(c[some] if len(c) else c) for c in columns)))
+    if rows:
+        yield _record(MARKS, rows)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with its spans merged, and one with its open runs."""
+    rows = (row.as_py() for batch in batches for row in batch.to_struct_array())
+    for _, bucket in groupby(rows, itemgetter("bucket")):
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {SPAN: [], OPEN: []}
+        for r in bucket:
+            width = 3 if r["kind"] == SPAN else 5
+            columns = ("docs", "lows", "highs", "places", "flags")[:width]
+            found[r["kind"]].append(tuple(unplanes(r[c], r["count"]).astype(np.int64) for c in columns))
+        if found[SPAN]:
+            docs, packed = _span_rows(*_joined(found[SPAN]))
+            yield _record(GATHERED, [(d, p, None) for d, p in zip(docs.tolist(), packed)])
+        if found[OPEN]:
+            doc, *columns = _joined(found[OPEN])
+            order = np.argsort(doc, kind="stable")
+            doc = doc[order]
+            quads = np.stack([c[order] for c in columns], 1).astype("<u4")
+            cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            yield _record(GATHERED, [
+                (d, None, p.tobytes()) for d, p in zip(doc[cut].tolist(), np.split(quads, cut[1:]))
+            ])
 
 
 def _span_rows(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """One row per document with its spans merged."""
     order = np.lexsort((low, doc))
     doc, low, high = doc[order], low[order], high[order]
-    # A later start inside the furthest end so far continues a span; documents are set apart.
+    # A start within the furthest end so far continues a span; documents are set apart.
     shift = np.cumsum(np.append(0, doc[1:] != doc[:-1])) * (int(high.max()) + 2)
     reach = np.maximum.accumulate(high + shift)
-    new = np.append(True, (low + shift)[1:] > reach[:-1])
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(np.append(True, (low + shift)[1:] > reach[:-1]))
     tail = np.append(head[1:], len(doc)) - 1
     spans = np.stack([low[head], (reach - shift)[tail]], 1).astype("<u4")
     cut = np.flatnonzero(np.append(True, doc[head][1:] != doc[head][:-1]))
     return doc[head][cut], [s.tobytes() for s in np.split(spans, cut[1:])]
 
 
-def _marks(spans: tuple[np.ndarray, ...], rest: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    """MARKS rows from removed spans (doc, low, high) and open runs (doc, first, last, at, frequent)."""
-    schema = pa.schema([("key", pa.int64()), ("spans", pa.binary()), ("open", pa.binary())])
-    if len(spans[0]):
-        docs, packed = _span_rows(*spans)
-        yield pa.record_batch([pa.array(docs), pa.array(packed), pa.nulls(len(docs), pa.binary())], schema=schema)
-    if len(rest[0]):
-        order = np.argsort(rest[0], kind="stable")
-        doc = rest[0][order]
-        packed = np.stack([c[order] for c in rest[1:]], 1).astype("<u4")
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        rows = [p.tobytes() for p in np.split(packed, cut[1:])]
-        yield pa.record_batch([pa.array(doc[cut]), pa.nulls(len(cut), pa.binary()), pa.array(rows)], schema=schema)
-
-
 _NONE = np.zeros(0, np.int64)
 
 
 def _anchor_rows(buckets: int):
-    """Step 1 by task: anchors in compact columns per bucket; collapsed runs as marks of bucket -1."""
+    """Step 1 by task: anchors in compact columns per bucket; spans of collapsed runs
+    pass through as rows without keys."""
 
     def pack(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         key, run, doc, first, shape = (np.concatenate(c) for c in zip(*found))
@@ -218,7 +253,7 @@ def _anchor_rows(buckets: int):
         least = np.empty(len(doc), np.int64)
         least[order] = _least(groups, doc[order])
         later = doc > least
-        columns: dict[str, list] = {c.split()[0]: [] for c in ANCHOR_ROWS.split(", ")}
+        rows: list[tuple] = []
         if later.any():
             docs, packed = _span_rows(doc[later], first[later], first[later] + (shape[later] & 63) + LENGTH)
             for at in range(0, len(docs), 2_000):
@@ -227,9 +262,8 @@ def _anchor_rows(buckets: int):
                 spans = np.frombuffer(b"".join(some), "<u4").astype(np.int64).reshape(-1, 2)
                 owner = np.repeat(docs[at:at + 2_000], sizes)
                 # Where these rows go is open; they only pass through.
-                row = (int(docs[at] % buckets), 0, b"", b"", _planes(owner), _planes(spans[:, 0]), _planes(spans[:, 1]))
-                for c, v in zip(columns, row):
-                    columns[c].append(v)
+                bucket = int(docs[at] % buckets)
+                rows.append((bucket, len(owner), 0, b"", b"", planes(owner), planes(spans[:, 0]), planes(spans[:, 1])))
         key, run, doc, first, shape = (c[~later] for c in (key, run, doc, first, shape))
         order = np.argsort(key)
         key, run, doc, first, shape = (c[order] for c in (key, run, doc, first, shape))
@@ -238,16 +272,12 @@ def _anchor_rows(buckets: int):
             if low == high:
                 continue
             base = int(doc[low:high].min())
-            row = (
-                b, base, _planes(np.diff(key[low:high], prepend=U(0))), _planes(run[low:high]),
-                _planes(doc[low:high] - base), _planes(first[low:high]), _planes(shape[low:high]),
-            )
-            for c, v in zip(columns, row):
-                columns[c].append(v)
-        if columns["bucket"]:
-            yield pa.record_batch({
-                c: pa.array(v, {"bucket": pa.int32(), "base": pa.int64()}.get(c, pa.binary())) for c, v in columns.items()
-            })
+            rows.append((
+                b, high - low, base, planes(np.diff(key[low:high], prepend=U(0))), planes(run[low:high]),
+                planes(doc[low:high] - base), planes(first[low:high]), planes(shape[low:high]),
+            ))
+        if rows:
+            yield _record(ANCHOR_ROWS, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, count = [], 0
@@ -266,25 +296,43 @@ def _anchor_rows(buckets: int):
     return run
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1 where equal anchors meet: marks of the anchors of whole buckets."""
+def _resolve(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Step 1 where equal anchors meet: marks of the anchors of one bucket after the other."""
+        rows = (row.as_py() for batch in batches for row in batch.to_struct_array())
+        spans, rest, count = [], [], 0
+        for _, bucket in groupby(rows, itemgetter("bucket")):
+            gone, opened = _resolve_bucket(bucket)
+            spans.append(gone)
+            rest.append(opened)
+            count += len(gone[0]) + len(opened[0])
+            if count >= FLUSH:
+                yield from _marks(buckets, _joined(spans), _joined(rest))
+                spans, rest, count = [], [], 0
+        if count:
+            yield from _marks(buckets, _joined(spans), _joined(rest))
+
+    return run
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _resolve_bucket(rows: Iterator[dict]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Removed spans (doc, low, high) and open runs (doc, first, last, at, frequent) of a bucket."""
     found: list[list[np.ndarray]] = []
     spans: list[list[np.ndarray]] = []
-    for batch in batches:
-        for r in batch.to_pylist():
-            columns = [_unplanes(r[c]) for c in ("docs", "firsts", "shape")]
-            if not r["keys"]:
-                spans.append([c.astype(np.int64) for c in columns])
-                continue
-            doc = columns[0].astype(np.int64) + r["base"]
-            found.append([
-                np.cumsum(_unplanes(r["keys"]), dtype=U), _unplanes(r["runs"]), doc,
-                columns[1].astype(np.int64), columns[2].astype(np.int64),
-            ])
-    gone = tuple(np.concatenate(c) for c in zip(*spans)) if spans else (_NONE,) * 3
+    for r in rows:
+        columns = [unplanes(r[c], r["count"]).astype(np.int64) for c in ("docs", "firsts", "shape")]
+        if not r["keys"]:
+            spans.append(columns)
+            continue
+        keys, runs = (unplanes(r[c], r["count"]) for c in ("keys", "runs"))
+        found.append([np.cumsum(keys, dtype=U), runs, columns[0] + r["base"], *columns[1:]])
+    gone = _joined(spans) if spans else (_NONE,) * 3
     if not found:
-        yield from _marks(gone, (_NONE,) * 5)
-        return
+        return gone, (_NONE,) * 5
     key, run, doc, first, shape = (np.concatenate(c) for c in zip(*found))
     del found
     order = np.argsort(key, kind="stable")
@@ -301,9 +349,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups = _group_ids(np.arange(len(key)), key)
     company = _least(groups, doc) != _least(groups, doc, np.maximum)
     sizes = np.bincount(groups)[groups] if len(groups) else groups
-    yield from _marks(gone, tuple(
-        c[company] for c in (doc, first, last, first + (shape >> 6), (sizes > MANY_RUNS).astype(np.int64))
-    ))
+    opened = (doc, first, last, first + (shape >> 6), (sizes > MANY_RUNS).astype(np.int64))
+    return gone, tuple(c[company] for c in opened)
 
 
 RUN_TEXTS = "bucket long, doc long, first long, place int, text binary"
@@ -314,7 +361,7 @@ def _run_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for key, text, opened in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["open"].to_pylist()):
-            runs = np.frombuffer(b"".join(opened), "<u4").reshape(-1, 4).tolist()
+            runs = np.frombuffer(opened, "<u4").reshape(-1, 4).tolist()
             for first, last, at, frequent in runs:
                 if frequent:
                     for s in range(first, last + 1):
@@ -323,62 +370,63 @@ def _run_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     rows.append((_route(text[at:at + GRAM]), key, first, at - first, text[first:last + LENGTH]))
         if rows:
-            names = [c.split()[0] for c in RUN_TEXTS.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            yield _record(RUN_TEXTS, rows)
 
 
 def _route(gram: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(gram, digest_size=8).digest(), "little", signed=True)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: marks of the strings repeated among the run texts of whole buckets."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
-    bucket, doc, first, place = (table[c].to_numpy() for c in ("bucket", "doc", "first", "place"))
-    texts = table["text"].chunk(0) if table["text"].num_chunks == 1 else table["text"].combine_chunks()
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)
-    starts, sizes = offsets[:-1], np.diff(offsets)
-    grams = _grams(data)
-    gone: list[tuple[np.ndarray, ...]] = []
-    place = place.astype(np.int64)
-    low_lead, high_lead = place - (sizes - LENGTH), place  # from a string's start to the anchor
-    for c in range(-(-(LENGTH - GRAM + 1) // STARTS)):
-        # Strings of a class start c * STARTS to c * STARTS + STARTS - 1 bytes before the anchor
-        # and all hold the same core of LENGTH - STARTS + 1 bytes.
-        lead_low, lead_high = np.maximum(low_lead, c * STARTS), np.minimum(high_lead, c * STARTS + STARTS - 1)
-        rows = np.flatnonzero(lead_low <= lead_high)
-        if not len(rows):
-            continue
-        core = starts[rows] + place[rows] - c * STARTS
-        mark = _spans_hash(grams, bucket[rows].view(U), core, core + LENGTH - STARTS + 1 - GRAM, LENGTH)
-        order = np.argsort(mark, kind="stable")
-        groups = _group_ids(order, mark)
-        owners = doc[rows][order]
-        keep = _least(groups, owners) != _least(groups, owners, np.maximum)
-        rows, groups = rows[order[keep]], groups[keep]
-        if not len(rows):
-            continue
-        begin = starts[rows] + place[rows] - lead_high[rows]
-        length = lead_high[rows] - lead_low[rows] + LENGTH
-        # Batches hold whole core groups, which alone can share strings.
-        cut = np.cumsum(length) // MERGE_BYTES
-        head = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-        batch = np.repeat(cut[head], np.diff(np.append(head, len(groups))))
-        for b in np.unique(batch):
-            some = batch == b
-            n = length[some]
-            spot = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            text, offset = repeated(data[spot], n, doc[rows[some]], LENGTH, SHARD_BYTES)
-            row = rows[some][text]
-            low = first[row] + (begin[some][text] - starts[row]) + offset
-            gone.append((doc[row], low, low + LENGTH))
-    if gone:
-        yield from _marks(tuple(np.concatenate(c) for c in zip(*gone)), (_NONE,) * 5)
+def _compare(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Step 3: marks of the strings repeated among the run texts of whole buckets."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        bucket, doc, first, place = (table[c].to_numpy() for c in ("bucket", "doc", "first", "place"))
+        texts = table["text"].chunk(0) if table["text"].num_chunks == 1 else table["text"].combine_chunks()
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)
+        starts, sizes = offsets[:-1], np.diff(offsets)
+        grams = _grams(data)
+        gone: list[tuple[np.ndarray, ...]] = []
+        place = place.astype(np.int64)
+        low_lead, high_lead = place - (sizes - LENGTH), place  # from a string's start to the anchor
+        for c in range(-(-(LENGTH - GRAM + 1) // STARTS)):
+            # Strings of a class start c * STARTS to c * STARTS + STARTS - 1 bytes before the anchor
+            # and all hold the same core of LENGTH - STARTS + 1 bytes.
+            lead_low, lead_high = np.maximum(low_lead, c * STARTS), np.minimum(high_lead, c * STARTS + STARTS - 1)
+            rows = np.flatnonzero(lead_low <= lead_high)
+            if not len(rows):
+                continue
+            core = starts[rows] + place[rows] - c * STARTS
+            mark = _spans_hash(grams, bucket[rows].view(U), core, core + LENGTH - STARTS + 1 - GRAM, LENGTH)
+            order = np.argsort(mark, kind="stable")
+            groups = _group_ids(order, mark)
+            owners = doc[rows][order]
+            keep = _least(groups, owners) != _least(groups, owners, np.maximum)
+            rows, groups = rows[order[keep]], groups[keep]
+            if not len(rows):
+                continue
+            begin = starts[rows] + place[rows] - lead_high[rows]
+            length = lead_high[rows] - lead_low[rows] + LENGTH
+            # Batches hold whole core groups, which alone can share strings.
+            cut = np.cumsum(length) // MERGE_BYTES
+            head = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+            batch = np.repeat(cut[head], np.diff(np.append(head, len(groups))))
+            for b in np.unique(batch):
+                some = batch == b
+                n = length[some]
+                spot = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                text, offset = repeated(data[spot], n, doc[rows[some]], LENGTH, SHARD_BYTES)
+                row = rows[some][text]
+                low = first[row] + (begin[some][text] - starts[row]) + offset
+                gone.append((doc[row], low, low + LENGTH))
+        if gone:
+            yield from _marks(buckets, _joined(gone), (_NONE,) * 5)
+
+    return run
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
@@ -389,7 +437,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
     """
     plain = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
-        F.struct(*carry, F.lit(None).cast("boolean").alias("_")).alias("carry"),
+        F.struct(*(carry or [F.lit(None).cast("boolean").alias("none")])).alias("carry"),
     )
     odd = plain.groupBy("id").count().where(F.col("id").isNull() | (F.col("count") > 1))
     if odd.isEmpty():
@@ -407,18 +455,25 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[str]
     """`id`, `text` (bytes), `carry` and `marks` (arrays of span lists) of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * BUCKETS_PER_PARTITION
     keyed = _keyed(docs, id_col, text_col, carry)
-    anchors = keyed.select("key", "text").mapInArrow(_anchor_rows(parts), ANCHOR_ROWS)
-    marks = durable(anchors.repartition(parts, "bucket").mapInArrow(_resolve, MARKS))
+    anchors = keyed.select("key", "text").mapInArrow(_anchor_rows(buckets), ANCHOR_ROWS)
+
+    def by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+    first = durable(by_bucket(by_bucket(anchors).mapInArrow(_resolve(buckets), MARKS)).mapInArrow(_gather, GATHERED))
+    # Both uses of the documents read all columns, so that one exchange serves them.
     dealt = keyed.repartition(parts, "key")
-    opened = marks.where(F.col("open").isNotNull()).groupBy("key").agg(F.collect_list("open").alias("open"))
-    texts = dealt.join(opened.hint("shuffle_hash"), "key").select("key", "text", "open").mapInArrow(_run_texts, RUN_TEXTS)
-    late = texts.repartition(parts, "bucket").mapInArrow(_compare, MARKS)
-    spans = (
-        marks.unionByName(late).where(F.col("spans").isNotNull())
-        .groupBy("key").agg(F.collect_list("spans").alias("marks"))
+    opened = first.where(F.col("open").isNotNull()).select("key", "open")
+    texts = dealt.join(opened.hint("shuffle_hash"), "key").mapInArrow(_run_texts, RUN_TEXTS)
+    late = texts.repartition(parts, "bucket").mapInArrow(_compare(buckets), MARKS)
+    spans = first.where(F.col("spans").isNotNull()).select("key", "spans")
+    late_spans = by_bucket(late).mapInArrow(_gather, GATHERED).select("key", F.col("spans").alias("late"))
+    return (
+        dealt.join(spans.hint("shuffle_hash"), "key", "left").join(late_spans.hint("shuffle_hash"), "key", "left")
+        .select("id", "text", "carry", F.filter(F.array("spans", "late"), lambda x: x.isNotNull()).alias("marks"))
     )
-    return dealt.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "carry", "marks")
 
 
 def _merged(marks: list[bytes] | None) -> np.ndarray:
