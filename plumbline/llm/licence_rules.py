@@ -145,7 +145,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     `licences` is a sorted array without repeats. `sentences` has the identifiers by
     paragraphs, then by lines, as `|id||id|...` with a slash between; `unmatched` counts the
-    identifiers that no rule explains in the reading that explains more. A null or empty
+    identifiers that no rule explains, in the reading that leaves fewer of those that know any. A null or empty
     text has none. Repeated rows and ids are judged each; other columns are not read.
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), COMMENT, "")
@@ -165,5 +165,6 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return matched.select(
         "id", F.array_sort(F.array_union("p.found", "q.found")).alias("licences"),
         F.concat_ws("/", "by_paragraph", "by_line").alias("sentences"),
-        F.least(left(F.col("p.left")), left(F.col("q.left"))).cast("long").alias("unmatched"),
+        F.when(F.col("by_line") == "", left(F.col("p.left"))).when(F.col("by_paragraph") == "", left(F.col("q.left")))
+        .otherwise(F.least(left(F.col("p.left")), left(F.col("q.left")))).cast("long").alias("unmatched"),
     )

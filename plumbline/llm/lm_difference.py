@@ -138,6 +138,8 @@ class _Counter:
                 rows.append((
                     b, high - low, planes(np.diff(keys[some], prepend=U(0))), planes(target[some]), planes(background[some]),
                 ))
+        if not rows:
+            return
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.record_batch(
             [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in COUNTS.split(", ")]

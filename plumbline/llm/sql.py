@@ -214,7 +214,8 @@ def licence_rules() -> str:
            coalesce(array_to_string(list_sort(list_distinct(list_filter(
                list_concat(coalesce(p.found, []), coalesce(q.found, [])), lambda x: x IS NOT NULL))), ','), '') AS licences,
            coalesce(p.r0, '') || '/' || coalesce(q.r0, '') AS sentences,
-           least(coalesce(p.rest, 0), coalesce(q.rest, 0))::BIGINT AS unmatched
+           CASE WHEN q.r0 IS NULL THEN coalesce(p.rest, 0) WHEN p.r0 IS NULL THEN q.rest
+                ELSE least(p.rest, q.rest) END::BIGINT AS unmatched
     FROM documents d LEFT JOIN done_p p ON d.doc_id = p.doc_id LEFT JOIN done_q q ON d.doc_id = q.doc_id"""
 
 
