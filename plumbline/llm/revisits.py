@@ -25,6 +25,10 @@ TRACKING = "^(?:utm_[a-z]+|gclid|fbclid|sessionid|jsessionid|phpsessid)(?:=|$)"
 _URL = "^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)([^?#]*)(?:\\?([^#]*))?"
 
 
+# Records of one URL that a single task may order; above it, URLs are cut into chunks of time.
+CHUNK_ROWS = 1_000_000
+
+
 def canonical_url(url: Column) -> Column:
     """Host without case, `www` and default port; path without closing slash; query sorted, untracked.
 
@@ -109,7 +113,10 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "response", response).alias("response"),
         F.coalesce("record_id", F.lit("")).alias("tie"),
     )
-    placed = running_last(events, ["canonical_url"], ["captured_at", "turn", "tie"], "response", name="last")
+    placed = running_last(
+        events, ["canonical_url"], ["captured_at", "turn", "tie"], "response", name="last",
+        small_group=CHUNK_ROWS,
+    )
     revisits = placed.where("kind = 'revisit'").unionByName(
         plain.where(~usable & (F.col("kind") == "revisit")).withColumn("last", F.lit(None).cast(placed.schema["last"].dataType)),
         allowMissingColumns=True,
