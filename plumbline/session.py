@@ -103,6 +103,16 @@ def lookup_join(
     return big.join(F.broadcast(small) if fits_broadcast(small, max_rows) else small, keys, how)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
+    """Bound the Arrow batches of the session's Python kernels.
+
+    The default of 10,000 rows means tens of megabytes of documents, held several times over
+    on both sides of every task. Kernels over texts and other wide rows call this first.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by `keys` into the session's full number of shuffle partitions.
 
