@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.imaging import correlation
-from ..session import durable, lookup_join, spread
+from ..session import discard, durable, lookup_join, spread
 from .quantiles import exact_quantiles, finite
 
 ROOM = ["room"]
@@ -26,13 +26,18 @@ def _room_sizes(frames: DataFrame) -> DataFrame:
     return durable(frames.groupBy("room").agg(F.count(F.lit(1)).alias("_n")))
 
 
+def _window_of(n_frames: int) -> Column:
+    """The index window of a frame: `n_frames` windows over all `_n` frames of its room."""
+    return F.expr(f"(idx * least({int(n_frames)}, _n)) div _n")
+
+
 def window_candidates(
     features: DataFrame, n_frames: int, *, blur_percentile: float = 25.0, min_frames: int = 4
 ) -> DataFrame:
     """Frames of rooms that need choosing, with their index window and usability.
 
-    A window spans `n // n_frames` consecutive frames (at least one). Frames under the
-    room's blur percentile are unusable unless their whole window is.
+    `n_frames` windows of near-equal length cover the whole video (fewer where it has fewer
+    frames). Frames under the room's blur percentile are unusable unless their whole window is.
     """
     sizes = _room_sizes(features)
     large = lookup_join(features, sizes.where(F.col("_n") > min_frames), ROOM)
@@ -40,8 +45,7 @@ def window_candidates(
         large, ROOM, {"_floor": ("sharpness", blur_percentile / 100.0)},
         largest=sizes.agg(F.max("_n")).first()[0] or 0,
     )
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / n_frames))
-    marked = lookup_join(large, durable(cuts), ROOM).withColumn("bucket", F.floor(F.col("idx") / stride))
+    marked = lookup_join(large, durable(cuts), ROOM).withColumn("bucket", _window_of(n_frames))
     sharp_enough = F.col("sharpness") >= F.col("_floor")
     rescued = durable(
         marked.groupBy("room", "bucket").agg(F.bool_or(sharp_enough).alias("_any"))
@@ -54,17 +58,15 @@ def window_candidates(
 
 
 def sharpest_per_window(features: DataFrame, n_frames: int) -> DataFrame:
-    """The sharpest frame of each index window, first on ties, up to the budget.
+    """The sharpest frame of each of `n_frames` index windows, first on ties.
 
     This is the selection without near-duplicate rejection. The sharpest frame of a
     window is usable whenever any is, so the blur floor cannot change the pick.
     """
     sizes = _room_sizes(features)
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / n_frames))
-    bucketed = lookup_join(features, sizes, ROOM).withColumn("bucket", F.floor(F.col("idx") / stride).cast("bigint"))
-    # Windows are numbered from 0 without holes, so the budget is a bound on the number.
+    bucketed = lookup_join(features, sizes, ROOM).withColumn("bucket", _window_of(n_frames))
     return (
-        bucketed.where(F.col("bucket") < n_frames).groupBy("room", "bucket")
+        bucketed.groupBy("room", "bucket")
         .agg(F.max_by(F.struct("idx", "sharpness"), F.struct(F.col("sharpness"), -F.col("idx"))).alias("_p"))
         .select("room", "bucket", "_p.*")
     )
@@ -166,48 +168,45 @@ def select_frames(
 # --- covering frames -----------------------------------------------------------------
 
 
-def _cover_room(budget: int):
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        at = pdf[["x", "y", "z"]].to_numpy(float)
-        away = np.linalg.norm(at - at.mean(axis=0), axis=1)
-        chosen = [int(np.argmin(away))]
-        nearest = np.linalg.norm(at - at[chosen[0]], axis=1)
-        while len(chosen) < min(budget, len(at)):
-            nearest[chosen] = -1.0
-            chosen.append(int(np.argmax(nearest)))
-            nearest = np.minimum(nearest, np.linalg.norm(at - at[chosen[-1]], axis=1))
-        return pdf.iloc[sorted(chosen)][["room", "frame_idx"]]
-
-    return pick
-
-
 def _cover_in_rounds(centers: DataFrame, budget: int) -> DataFrame:
-    """Farthest-point picks of all rooms at once, one aggregation per pick."""
+    """Farthest-point picks of all rooms at once.
+
+    `_d` is a frame's distance to the nearest pick so far, and below zero for a pick. A round
+    reads it for the next pick of every room and writes it anew, so its cost does not grow
+    with the picks already made.
+    """
     here = [F.col(c) for c in "xyz"]
-    point = F.struct("frame_idx", "x", "y", "z")
+    rank = F.struct(F.col("_d"), -F.col("frame_idx"))
     means = durable(centers.groupBy("room").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"]))
     away = g.distance3(here, [F.col(f"m{c}") for c in "xyz"])
-    state = durable(
-        lookup_join(centers, means, ROOM).withColumn("_d", away).groupBy("room")
-        .agg(F.array(F.min_by(point, F.struct("_d", "frame_idx"))).alias("chosen"))
-    )
-    for _ in range(budget - 1):
-        pool = lookup_join(centers, state, ROOM)
-        gap = F.array_min(F.transform("chosen", lambda c: g.distance3(here, [c[n] for n in "xyz"])))
-        taken = F.exists("chosen", lambda c: c["frame_idx"] == F.col("frame_idx"))
-        best = F.max_by(point, F.struct(F.col("_d"), -F.col("frame_idx")))
-        found = pool.where(~taken).withColumn("_d", gap).groupBy("room").agg(best.alias("_p"))
-        state = durable(
-            state.join(found, ROOM, "left").select(
-                "room",
-                F.when(F.col("_p").isNull(), F.col("chosen")).otherwise(F.array_append("chosen", F.col("_p"))).alias("chosen"),
+    now = lookup_join(centers, means, ROOM).select("room", "frame_idx", *"xyz", (-away).alias("_d"))
+    picks = None
+    for round_ in range(budget):
+        best = durable(
+            now.where(F.col("_d") >= 0 if round_ else F.lit(True)).groupBy("room")
+            .agg(F.max_by(F.struct("frame_idx", *"xyz"), rank).alias("_p")).select("room", "_p.*")
+        )
+        if best.isEmpty():
+            break
+        chosen = best.select("room", "frame_idx")
+        picks = chosen if picks is None else picks.unionByName(chosen)
+        pick = best.select("room", F.col("frame_idx").alias("_f"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+        gap = g.distance3(here, [F.col(f"p{c}") for c in "xyz"])
+        nearer = gap if round_ == 0 else F.least("_d", gap)
+        after = durable(
+            lookup_join(now, pick, ROOM).select(
+                "room", "frame_idx", *"xyz",
+                F.when((F.col("frame_idx") == F.col("_f")) | ((F.col("_d") < 0) & F.lit(round_ > 0)), -1.0)
+                .otherwise(nearer).alias("_d"),
             )
         )
-    return state.select("room", F.explode("chosen.frame_idx").alias("frame_idx"))
+        if round_:
+            discard(now)
+        now = after
+    return picks
 
 
-def covering_frames(cameras: DataFrame, budget: int, *, stream_rows: int = STREAM_ROWS) -> DataFrame:
+def covering_frames(cameras: DataFrame, budget: int) -> DataFrame:
     """`(room, frame_idx)` of frames spread over the camera positions.
 
     Starts at the camera nearest the mean, then repeatedly takes the farthest one from
@@ -218,34 +217,23 @@ def covering_frames(cameras: DataFrame, budget: int, *, stream_rows: int = STREA
     centers = durable(
         cameras.select("room", "frame_idx", *[c.cast("double").alias(n) for c, n in zip(g.camera_center("pose"), "xyz")])
     )
-    types = dict(centers.dtypes)
     ok = finite(F.col("x"), F.col("y"), F.col("z"))
     sizes = durable(
         centers.groupBy("room").agg(F.count(F.lit(1)).alias("_n"), F.bool_and(ok).alias("_ok"))
     )
     marked = lookup_join(centers, sizes, ROOM)
     whole = marked.where(F.col("_n") <= budget)
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / budget)).cast("bigint")
     strided = marked.where(
         (F.col("_n") > budget) & ~F.col("_ok")
-        & (F.col("frame_idx") % stride == 0) & (F.col("frame_idx") / stride < budget)
+        # The first frame of each of `budget` even windows over the whole path.
+        & F.expr(f"frame_idx = 0 OR frame_idx * {int(budget)} div _n <> (frame_idx - 1) * {int(budget)} div _n")
     )
-    roaming = marked.where((F.col("_n") > budget) & F.col("_ok"))
     out = whole.unionByName(strided).select("room", "frame_idx")
-    small = roaming.where(F.col("_n") <= stream_rows).select("room", "frame_idx", "x", "y", "z")
-    out = out.unionByName(
-        spread(small, "room").groupBy("room").applyInPandas(_cover_room(budget), f"room {types['room']}, frame_idx {types['frame_idx']}")
-    )
-    if not sizes.where((F.col("_n") > stream_rows) & (F.col("_n") > budget) & F.col("_ok")).isEmpty():
-        large = roaming.where(F.col("_n") > stream_rows).select("room", "frame_idx", "x", "y", "z")
-        out = out.unionByName(_cover_in_rounds(large, budget))
-    return out
+    roaming = marked.where((F.col("_n") > budget) & F.col("_ok")).select("room", "frame_idx", "x", "y", "z")
+    picked = _cover_in_rounds(roaming, budget)
+    return out if picked is None else out.unionByName(picked)
 
 
 def spare_frames(frames: DataFrame, chosen: DataFrame) -> DataFrame:
     """Frames of the same rooms that were not chosen."""
     return frames.join(chosen.select("room", "frame_idx"), ["room", "frame_idx"], "left_anti")
-
-
-def near_duplicate(a: Column | str, b: Column | str, limit: float = 0.985) -> Column:
-    return correlation(a, b) > limit

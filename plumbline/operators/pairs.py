@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..session import durable, lookup_join
+from ..session import durable
+from .sequences import row_numbers
 
 
 def swin_pairs(frames: DataFrame, window: int, *, symmetric: bool = True) -> DataFrame:
-    """`(room, i, j)` for frames at most `window` apart, in both directions.
+    """`(room, i, j)` for frames at most `window` places apart, in both directions.
 
-    Frame numbers of a room run 0..n-1, so the partners of a frame follow from the room
-    size: each frame expands to its own neighbours and nothing is joined pairwise.
+    Places are counted along the frames that a room has, so numbers may have holes. Each
+    frame expands to the places around it, which are looked up by an equi-join.
     """
-    sizes = durable(frames.groupBy("room").agg(F.count(F.lit(1)).alias("_n")))
-    sized = lookup_join(frames.select("room", "frame_idx"), sizes, ["room"])
+    placed = durable(row_numbers(frames.select("room", "frame_idx"), ["room"], ["frame_idx"], name="place"))
     steps = [d for d in range(-window, window + 1) if d > 0 or (symmetric and d < 0)]
-    partner = F.transform(F.array(*[F.lit(d) for d in steps]), lambda d: F.col("frame_idx") + d)
-    inside = F.filter(partner, lambda j: (j >= 0) & (j < F.col("_n")))
-    return sized.select("room", F.col("frame_idx").alias("i"), F.explode(inside).alias("j"))
+    around = placed.select(
+        "room", F.col("frame_idx").alias("i"), F.explode(F.array(*[F.col("place") + d for d in steps])).alias("place")
+    )
+    partners = placed.select("room", "place", F.col("frame_idx").alias("j"))
+    return around.join(partners, ["room", "place"]).select("room", "i", "j")
 
 
 def pair_counts(frames: DataFrame, window: int) -> DataFrame:

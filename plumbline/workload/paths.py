@@ -80,9 +80,9 @@ WITH frames AS (
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
          count(*) OVER (PARTITION BY user_id) AS n
   FROM events),
-windows AS (SELECT *, idx // greatest(1, n // 24) AS bucket FROM frames),
+windows AS (SELECT *, idx * least(24, n) // n AS bucket FROM frames),
 picked AS (
-  SELECT room, bucket, idx, sharpness FROM windows WHERE bucket < 24
+  SELECT room, bucket, idx, sharpness FROM windows
   QUALIFY row_number() OVER (PARTITION BY room, bucket ORDER BY sharpness DESC, idx) = 1)"""
 
 
@@ -135,7 +135,25 @@ def frame_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("room", "idx")
 
 
-@query()
+_D3 = "sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) + (c.z - p.z) * (c.z - p.z))"
+
+
+@query(d.with_tables("trajectory").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+c AS (SELECT room, row_number() OVER (PARTITION BY room ORDER BY ts, seq) - 1 AS f, x, y, z,
+             count(*) OVER (PARTITION BY room) AS n FROM trajectory),
+p AS (SELECT room, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM c GROUP BY room),
+start AS (
+  SELECT c.* FROM c JOIN p USING (room) WHERE n > 12
+  QUALIFY row_number() OVER (PARTITION BY c.room ORDER BY {_D3}, f) = 1),
+walk AS (
+  SELECT 1 AS step, c.room, c.f, c.x, c.y, c.z, CASE WHEN c.f = p.f THEN -1 ELSE {_D3} END AS d
+  FROM c JOIN start p ON c.room = p.room
+  UNION ALL
+  SELECT step + 1, c.room, c.f, c.x, c.y, c.z, CASE WHEN c.d < 0 OR c.f = p.f THEN -1 ELSE least(c.d, {_D3}) END
+  FROM (SELECT *, first_value({{'f': f, 'x': x, 'y': y, 'z': z}}) OVER (PARTITION BY room ORDER BY d DESC, f) AS p FROM walk) c
+  WHERE step < 12)
+SELECT room, CAST(f AS BIGINT) AS frame_idx FROM c WHERE n <= 12
+UNION ALL SELECT room, CAST(f AS BIGINT) FROM walk WHERE step = 12 AND d < 0""")
 def covering_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farthest-point frames of every user's path."""
     path = row_numbers(d.trajectory(spark, sf_dir), ["room"], ["ts", "seq"], name="frame_idx", chunk=F.to_date("ts"))
