@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -169,6 +169,60 @@ def up_from_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level.up_from_extent(v).select("room", "n", "axis", "sign", "confidence")
 
 
+_COS = "cos(radians(CAST(35 AS DOUBLE)))"
+
+
+@query(d.with_tables("points") + f""",
+cut AS (SELECT room, quantile_cont(y, CAST(0.9 AS DOUBLE)) AS q FROM points WHERE conf GROUP BY room),
+low AS (
+  SELECT room, x, y, z, (frame_idx::BIGINT * 7919 + v::BIGINT * 104729 + u::BIGINT * 1299709 + r::BIGINT * 15485863 + g::BIGINT * 49979687) * 40503 % 4294967296 AS draw,
+         count(*) OVER (PARTITION BY room) AS n_low
+  FROM points JOIN cut USING (room) WHERE conf AND y <= q),
+picks AS (
+  SELECT room, draw % least(1200, n_low) AS slot, min({{'draw': draw, 'x': x, 'y': y, 'z': z}}) AS p
+  FROM low GROUP BY ALL),
+arrays AS (SELECT room, list(p ORDER BY slot) AS p, count(*) AS b FROM picks GROUP BY room),
+drawn AS (
+  SELECT room, i AS plane, p[1 + i % b] AS a, p[1 + (i * 7 + i // b + 1) % b] AS q, p[1 + (i * 13 + i // b * 2 + 2) % b] AS r
+  FROM arrays, range(0, 400) t(i) WHERE b >= 3),
+crossed AS (
+  SELECT room, plane, a,
+         (q.y - a.y) * (r.z - a.z) - (q.z - a.z) * (r.y - a.y) AS cx, (q.z - a.z) * (r.x - a.x) - (q.x - a.x) * (r.z - a.z) AS cy,
+         (q.x - a.x) * (r.y - a.y) - (q.y - a.y) * (r.x - a.x) AS cz
+  FROM drawn),
+sized AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) * CASE WHEN cy < 0 THEN -1 ELSE 1 END AS s FROM crossed),
+planes AS (
+  SELECT room, plane, cx / s AS nx, cy / s AS ny, cz / s AS nz, cx / s * a.x + cy / s * a.y + cz / s * a.z AS o
+  FROM sized WHERE abs(s) >= 1e-9 AND cy / s >= {_COS}),
+votes AS (
+  SELECT l.room, plane, count(*) FILTER (abs(nx * x + ny * y + nz * z - o) < 0.03) AS inliers, any_value(n_low) AS n_low,
+         any_value(ny) AS ny
+  FROM low l JOIN planes p ON l.room = p.room WHERE n_low >= 50 GROUP BY l.room, plane)
+SELECT room, CAST(plane AS INTEGER) AS plane, CAST(inliers AS BIGINT) AS inliers, CAST(n_low AS BIGINT) AS n_low,
+       round(ny, 6) AS upright
+FROM votes QUALIFY row_number() OVER (PARTITION BY room ORDER BY inliers DESC, plane) = 1""")
+def floor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of 400 drawn planes per room, none steeper than 35 degrees, over the whole low slice."""
+    low = durable(level.lowest_rows(_confident(spark, sf_dir), _straight_up(spark, sf_dir), [], 0.9, 100, _point_draw()))
+    found = level.floor_search(low.where("n_low >= 50"), tolerance=0.03, max_tilt_deg=35.0, iterations=400)
+    return found.select("room", "plane", "inliers", "n_low", F.round(F.col("normal")[1], 6).alias("upright"))
+
+
+def _confident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.points(spark, sf_dir).where("conf")
+
+
+def _straight_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))
+    return durable(_confident(spark, sf_dir).select("room").distinct().withColumn("up", up))
+
+
+def _point_draw() -> Column:
+    parts = [F.col(c).cast("bigint") * m for c, m in
+             (("frame_idx", 7919), ("v", 104729), ("u", 1299709), ("r", 15485863), ("g", 49979687))]
+    return F.pmod((parts[0] + parts[1] + parts[2] + parts[3] + parts[4]) * 40503, F.lit(1 << 32))
+
+
 @query()
 def floor_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Floor search in every derived room; the floor is where v = 0 lies."""

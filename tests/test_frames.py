@@ -69,16 +69,29 @@ def cams(spark, rooms):
     return spark.createDataFrame(rows, "room string, frame_idx bigint, pose array<double>")
 
 
-@pytest.mark.parametrize("stream_rows", [50_000, 3])
-def test_covering_frames(spark, stream_rows):
+def test_windows_reach_the_end_of_the_video(spark):
+    rows = [("r", i, 9.0 if i == 46 else 1.0, [1.0]) for i in range(47)]
+    table = spark.createDataFrame(rows, "room string, idx bigint, sharpness double, thumb array<double>")
+    picks = fr.sharpest_per_window(table, 24).collect()
+    assert len(picks) == 24 and max(r["idx"] for r in picks) == 46
+    assert 46 in chosen(fr.select_frames(table, 24, dedup_correlation=1.1))["r"]
+
+
+def test_pairs_go_by_place_where_numbers_have_holes(spark):
+    table = spark.createDataFrame([("r", 0), ("r", 1), ("r", 5)], "room string, frame_idx bigint")
+    got = sorted((r["i"], r["j"]) for r in pairs.swin_pairs(table, 1).collect())
+    assert got == [(0, 1), (1, 0), (1, 5), (5, 1)]
+
+
+def test_covering_frames(spark):
     rng = np.random.default_rng(1)
     walk = np.cumsum(rng.normal(size=(40, 3)), axis=0)
     table = cams(spark, {
         "line": [(i * 0.1, 0, 0) for i in range(30)], "walk": walk, "still": [(1, 1, 1)] * 8,
         "few": [(0, 0, 0), (1, 0, 0)], "bad": [(np.nan if i == 3 else i, 0, 0) for i in range(9)],
     })
-    got = fr.covering_frames(table, 4, stream_rows=stream_rows).toPandas().groupby("room")["frame_idx"].apply(sorted)
-    assert got["few"] == [0, 1] and got["bad"] == [0, 2, 4, 6] and len(got["still"]) == 4
+    got = fr.covering_frames(table, 4).toPandas().groupby("room")["frame_idx"].apply(sorted)
+    assert got["few"] == [0, 1] and got["bad"] == [0, 3, 5, 7] and len(got["still"]) == 4
     assert got["line"][0] == 0 and got["line"][-1] == 29
     start = int(np.argmin(np.linalg.norm(walk - walk.mean(axis=0), axis=1)))
     picks = [start]
