@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import load_config
+from .functions import text
 from .functions.imaging import frame_features
 from .operators import frames as fr
 from .plans import labelling, levelling
@@ -15,6 +17,13 @@ from .sources import clouds, folders
 from .sources.store import SceneStore
 
 
+def print_rows(df: DataFrame) -> None:
+    """Every row, tab separated under the column names; rows stream through, one partition at a time."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def _extract(args, spark, config) -> None:
     if folders.source_kind(args.source) == "video":
         raise SystemExit("video decoding needs a decoder this build does not ship; supply a folder of frames")
@@ -25,7 +34,7 @@ def _extract(args, spark, config) -> None:
         features.select("room", "idx", "sharpness", "thumb"), args.n_frames or c.n_frames,
         blur_percentile=c.blur_percentile, dedup_correlation=c.dedup_correlation, min_frames=c.min_frames,
     )
-    folders.write_frames(features.join(kept, ["room", "idx"], "left_semi"), args.out).orderBy("room", "index").show(50, False)
+    print_rows(folders.write_frames(features.join(kept, ["room", "idx"], "left_semi"), args.out).orderBy("room", "index"))
 
 
 def _load(args, spark, config) -> None:
@@ -37,7 +46,7 @@ def _load(args, spark, config) -> None:
 def _level(args, spark, config) -> None:
     done = levelling.level_store(SceneStore(spark, args.store), up=args.up)
     print("version", done.version, "rewrote", ", ".join(done.tables))
-    done.records.select("room", "rotation_deg", "estimate.source", "estimate.confidence", "estimate.notes").show(50, False)
+    print_rows(done.records.select("room", "rotation_deg", "estimate.source", "estimate.confidence", "estimate.notes"))
 
 
 def _label(args, spark, config) -> None:
@@ -47,7 +56,7 @@ def _label(args, spark, config) -> None:
         store.read("points"), store.read("cameras"), labelling.detections_from_replies(replies), config.label
     )
     print("version", store.write({"observations": found.observations, "objects": found.objects}))
-    labelling.report_lines(store.read("objects")).orderBy("room", "object_id").show(100, False)
+    print_rows(labelling.report_lines(store.read("objects")).orderBy("room", text.object_number("object_id")))
 
 
 def _refuse(args, spark, config) -> None:
@@ -58,12 +67,12 @@ def _refuse(args, spark, config) -> None:
     )
     if args.save:
         print("version", store.write({"objects": objects, "observations": observations}))
-    labelling.report_lines(objects).orderBy("room", "object_id").show(100, False)
+    print_rows(labelling.report_lines(objects).orderBy("room", text.object_number("object_id")))
 
 
 def _view(args, spark, config) -> None:
     shown = SceneStore(spark, args.store).read("objects").where(F.coalesce("confidence", F.lit(0.0)) >= args.min_confidence)
-    labelling.report_lines(shown).orderBy("room", "object_id").show(100, False)
+    print_rows(labelling.report_lines(shown).orderBy("room", text.object_number("object_id")))
 
 
 def parser() -> argparse.ArgumentParser:

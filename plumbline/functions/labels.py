@@ -27,11 +27,6 @@ def normalize(label: Column | str) -> Column:
     return F.trim(spaced)
 
 
-def normalize_text(label: str) -> str:
-    """Driver-side twin of `normalize` for small vocabularies."""
-    return " ".join(label.lower().replace("_", " ").split())
-
-
 def lookup(table: Mapping[str, str], key: Column) -> Column:
     """Map lookup in a literal table; null when absent."""
     if not table:

@@ -24,15 +24,20 @@ REPLY_SCHEMA = T.StructType([
 ])
 
 
+def strip(value: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(as_col(value), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def strip_model_prefix(name: Column | str) -> Column:
     """Trim, then drop any run of routing prefixes, whatever their case."""
     pattern = "^(?i)(?:" + "|".join(MODEL_PREFIXES) + ")+"
-    return F.regexp_replace(F.trim(as_col(name)), pattern, "")
+    return F.regexp_replace(strip(name), pattern, "")
 
 
 def first_filled(*names: Column) -> Column:
     """First value that is neither null nor blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names])
+    return F.coalesce(*[F.nullif(strip(n), F.lit("")) for n in names])
 
 
 def log_marker(line: Column | str) -> Column:
@@ -56,6 +61,11 @@ def is_progress_bar(line: Column | str) -> Column:
     return as_col(line).rlike(r"\d+%\|")
 
 
+def object_number(object_id: Column | str) -> Column:
+    """The number at the end of an object id, by which ids sort; -1 without one."""
+    return F.coalesce(F.regexp_extract(as_col(object_id), r"(\d+)$", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
+
+
 def matches_text(label: Column | str, aliases: Column | str, needle: str) -> Column:
     """Case-insensitive substring search over a label and its aliases."""
     q = needle.strip().lower()
@@ -91,7 +101,8 @@ def parse_replies(
 
     Entries without a label or a four-number box are skipped, coordinates are rounded
     half to even, the confidence defaults to 0.5 and is clipped to 0..1. A confidence
-    that is not a number counts as missing. A reply that is not JSON raises, or with
+    that is not a number counts as missing, and a box side must be a finite number that
+    fits an integer. A reply that is not JSON raises, or with
     `on_bad_json="skip"` is dropped.
     """
     parsed = replies.withColumn("_ok", F.try_parse_json(F.col(raw)).isNotNull())
@@ -105,12 +116,12 @@ def parse_replies(
         *keep, F.posexplode(F.coalesce(document["objects"], F.array())).alias("position", "o")
     )
     side = lambda i: F.get(F.col("o.box_2d"), F.lit(i)).try_cast("double")
-    label = F.trim(F.col("o.label"))
+    label = strip("o.label")
     confidence = F.coalesce(F.col("o.confidence").try_cast("double"), F.lit(0.5))
     return (
         items.where((F.length("o.label") > 0) & (F.size("o.box_2d") == 4))
         .withColumn("_box", F.array(*[side(i) for i in range(4)]))
-        .where(~F.exists("_box", lambda v: v.isNull() | F.isnan(v)))
+        .where(~F.exists("_box", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= 2.0**31)))
         .select(
             *keep,
             "position",

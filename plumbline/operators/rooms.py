@@ -66,8 +66,9 @@ def with_owner(observations: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def with_display_position(objects: DataFrame) -> DataFrame:
-    """Add the position and hue the views colour an object by."""
-    ranked = row_numbers(objects, ["room"], ["object_id"], name="position")
+    """Add the position and hue the views colour an object by; ids go by their number."""
+    numbered = objects.withColumn("_number", text.object_number("object_id"))
+    ranked = row_numbers(numbered, ["room"], ["_number", "object_id"], name="position").drop("_number")
     return ranked.withColumn("hue", object_hue(F.col("position")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import geometry as g
+from ..functions.text import object_number
 
 
 def room_of_path(path: Column | str = "path") -> Column:
@@ -115,7 +116,8 @@ def object_documents(
         F.col("object_id").alias("id"), "label", "aliases", _rounded_centroid().alias("centroid"), "obb",
         F.round("confidence", 4).alias("confidence"), "n_observations", "seen_in", "observation_ids",
     )
-    grouped = objects.groupBy("room").agg(F.array_sort(F.collect_list(record)).alias("objects"))
+    ranked = F.array_sort(F.collect_list(F.struct(object_number("object_id").alias("number"), record.alias("record"))))
+    grouped = objects.groupBy("room").agg(F.transform(ranked, lambda x: x["record"]).alias("objects"))
     body = F.struct(
         F.col("room").cast("string").alias("room"), F.lit(units).alias("units"), "scale_verified", "n_frames_labeled",
         F.coalesce("objects", F.array().cast(grouped.schema["objects"].dataType)).alias("objects"),

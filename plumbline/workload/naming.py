@@ -335,9 +335,8 @@ def frame_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT c_nationkey AS room, format('obj_{:03d}', c_custkey) AS object_id, c_mktsegment AS label, c_acctbal / CAST(10000 AS DOUBLE) AS confidence FROM customer)
-SELECT room, object_id, CAST(row_number() OVER (PARTITION BY room ORDER BY object_id) - 1 AS BIGINT) AS position,
-       CAST(((row_number() OVER (PARTITION BY room ORDER BY object_id) - 1) * 47) % 360 AS INTEGER) AS hue
-FROM o""")
+SELECT room, object_id, CAST(row_number() OVER w - 1 AS BIGINT) AS position, CAST(((row_number() OVER w - 1) * 47) % 360 AS INTEGER) AS hue
+FROM o WINDOW w AS (PARTITION BY room ORDER BY CAST(regexp_extract(object_id, '[0-9]+$') AS BIGINT))""")
 def object_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = d.table(spark, sf_dir, "customer")
     objects = c.select(F.col("c_nationkey").alias("room"), text.object_id("c_custkey").alias("object_id"))

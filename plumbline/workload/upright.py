@@ -366,14 +366,14 @@ cells AS (
   SELECT k.room, r, g, b,
          least(greatest(CAST(trunc((x - a0) * scale) AS INTEGER), 0), width - 1) AS u,
          least(greatest(CAST(trunc(height - 1 - (z - b0) * scale) AS INTEGER), 0), height - 1) AS v
-  FROM kept k JOIN plan USING (room) WHERE y <= q OR left_ <= 100)
+  FROM kept k JOIN plan USING (room) WHERE y <= q OR left_ <= 500)
 SELECT room, v, u, count(*) AS n, CAST(trunc(avg(r)) AS INTEGER) AS r, CAST(trunc(avg(g)) AS INTEGER) AS g,
        CAST(trunc(avg(b)) AS INTEGER) AS b
 FROM cells GROUP BY room, v, u""")
 def plan_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = fp.on_plane(d.points(spark, sf_dir), 1)
     plan = durable(fp.plan_transforms(placed, size=200))
-    return fp.plan_cells(fp.without_ceiling(placed, 0.15), plan)
+    return fp.plan_cells(fp.without_ceiling(placed, 0.15, min_kept=500), plan)
 
 
 @query(_PLAN + """,
@@ -432,7 +432,14 @@ def footprint_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_OUTLINE = _FOOT[:_FOOT.index("corners AS (")].rstrip().rstrip(",") + """
+SELECT o.room, id AS object_id, trim(label) AS label, 4 AS corners,
+       round((cx - a0) * scale - (CASE WHEN turned THEN e2 ELSE e0 END) / 2 * scale, 4) AS u0,
+       round(height - 1 - (cz - b0) * scale - (CASE WHEN turned THEN e0 ELSE e2 END) / 2 * scale, 4) AS v0
+FROM observations o JOIN plan USING (room)"""
+
+
+@query(_OUTLINE)
 def object_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects, plan = _boxes(spark, sf_dir)
     return fp.footprints(objects, plan, 1).select(

@@ -6,61 +6,62 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as g
 from plumbline.operators import boxes, lift
 
-H, W = 64, 96
+H, W = 48, 80
 IDENTITY = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
+# A sloping board, nearest at its left edge, before a far wall.
+BOARD = {"top": 12, "bottom": 30, "left": 36, "right": 60}
 
 
 def grid(spark, *, conf=True, spoil=()):
-    v, u = np.divmod(np.arange(H * W), W)
-    patch = (v >= 20) & (v < 40) & (u >= 30) & (u < 50)
-    pdf = pd.DataFrame({
-        "room": "r", "frame_idx": 0, "v": v, "u": u, "x": np.linspace(-1, 1, W)[u], "y": np.linspace(-1, 1, H)[v],
-        "z": np.where(patch, 2.0, 5.0), "conf": conf,
-    })
-    for row, col, value in spoil:
-        pdf.loc[(pdf["v"] == row) & (pdf["u"] == col), ["x", "y", "z"]] = value
-    return spark.createDataFrame(pdf), pdf[patch]
-
-
-def scene(spark, box):
+    row = np.arange(H * W)
+    pdf = pd.DataFrame({"room": "r", "frame_idx": 0, "v": row // W, "u": row % W, "conf": conf})
+    board = pdf["v"].between(BOARD["top"], BOARD["bottom"] - 1) & pdf["u"].between(BOARD["left"], BOARD["right"] - 1)
+    pdf["z"] = np.where(board, 1.2 + 0.01 * (pdf["u"] - BOARD["left"]), 7.5)
+    pdf["x"], pdf["y"] = (pdf["u"] - W / 2) * pdf["z"] / 70, (pdf["v"] - H / 2) * pdf["z"] / 70
+    for v, u, value in spoil:
+        pdf.loc[(pdf["v"] == v) & (pdf["u"] == u), ["x", "y", "z"]] = value
+    return spark.createDataFrame(pdf[["room", "frame_idx", "v", "u", "x", "y", "z", "conf"]]), pdf[board]
+
+
+def scene(spark, top, left, bottom, right):
+    """One camera and one detection whose box has these pixel sides."""
     cams = spark.createDataFrame([("r", 0, IDENTITY, H, W)], "room string, frame_idx int, pose array<double>, h int, w int")
-    y0, x0, y1, x1 = box
-    scaled = [int(1000 * y0 / H + 0.5), int(1000 * x0 / W + 0.5), int(1000 * y1 / H), int(1000 * x1 / W)]
+    share = [round(1000 * top / H), round(1000 * left / W), round(1000 * bottom / H), round(1000 * right / W)]
     dets = spark.createDataFrame(
-        [("r", 0, 0, "mug", scaled, 0.9)],
+        [("r", 0, 0, "board", share, 0.75)],
         "room string, frame_idx int, det_id int, label string, box_2d array<int>, confidence double",
     )
     return cams, dets
 
 
-def test_exact_box_and_overshoot(spark):
-    pts, patch = grid(spark)
-    cams, dets = scene(spark, (20, 30, 40, 50))
-    row = lift.lift(pts, cams, dets, erode_px=2, min_points=10).first()
-    assert np.allclose(row["centroid"], patch[["x", "y", "z"]].mean(), atol=0.03)
-    assert row["box_px"] == [30, 20, 50, 40] and 0.5 < row["support"] < 1.0
-    cams, dets = scene(spark, (15, 25, 45, 55))
-    assert abs(lift.lift(pts, cams, dets, erode_px=2, min_points=10).first()["centroid"][2] - 2.0) < 0.05
+def on_board(spark, by=0):
+    """The detection of the board, its box drawn `by` pixels too wide on every side."""
+    return scene(spark, BOARD["top"] - by, BOARD["left"] - by, BOARD["bottom"] + by, BOARD["right"] + by)
+
+
+@pytest.mark.parametrize("by", [0, 3])
+def test_centroid_is_that_of_the_board(spark, by):
+    pts, board = grid(spark)
+    row = lift.lift(pts, *on_board(spark, by), erode_px=2, min_points=10).first()
+    assert np.allclose(row["centroid"], board[["x", "y", "z"]].median(), atol=0.05)
+    assert 0.3 < row["support"] <= 1.0 and (by or row["box_px"] == [36, 12, 60, 30])
 
 
 def test_unsupported_detections_vanish(spark):
     pts, _ = grid(spark, conf=False)
-    cams, dets = scene(spark, (20, 30, 40, 50))
-    assert lift.lift(pts, cams, dets, min_points=10).count() == 0
+    assert lift.lift(pts, *on_board(spark), min_points=10).count() == 0
     pts, _ = grid(spark)
-    cams, dets = scene(spark, (20, 30, 22, 32))
-    assert lift.lift(pts, cams, dets, erode_px=0, min_points=40).count() == 0
+    assert lift.lift(pts, *scene(spark, 14, 40, 17, 43), erode_px=0, min_points=40).count() == 0
 
 
 def test_non_finite_pixels_are_ignored(spark):
-    pts, _ = grid(spark, spoil=[(25, 35, np.nan), (26, 36, np.inf)])
-    cams, dets = scene(spark, (20, 30, 40, 50))
-    assert np.isfinite(lift.lift(pts, cams, dets, erode_px=1, min_points=10).first()["centroid"]).all()
+    pts, _ = grid(spark, spoil=[(20, 50, np.nan), (21, 41, -np.inf), (15, 39, np.inf)])
+    assert np.isfinite(lift.lift(pts, *on_board(spark), erode_px=1, min_points=10).first()["centroid"]).all()
 
 
 def test_tiled_join_equals_broadcast_join(spark, monkeypatch):
     pts, _ = grid(spark)
-    cams, dets = scene(spark, (10, 5, 60, 90))
+    cams, dets = scene(spark, 6, 4, 44, 74)
     run = lambda: lift.lift(pts, cams, dets, erode_px=1, min_points=10, with_box=False).first()
     want = run()
     monkeypatch.setattr(lift, "fits_broadcast", lambda df: False)
@@ -68,19 +69,18 @@ def test_tiled_join_equals_broadcast_join(spark, monkeypatch):
 
 
 def test_masks_replace_boxes(spark):
-    pts, patch = grid(spark)
-    cams, dets = scene(spark, (15, 25, 45, 55))
-    masks = spark.createDataFrame(patch[["v", "u"]]).select(
-        F.lit("r").alias("room"), F.lit(0).alias("frame_idx"), F.lit(0).alias("det_id"), "v", "u",
-        F.lit(400).cast("bigint").alias("n_requested"),
+    pts, board = grid(spark)
+    asked = len(board)
+    masks = spark.createDataFrame(board[["v", "u"]]).selectExpr(
+        "'r' AS room", "0 AS frame_idx", "0 AS det_id", "v", "u", f"{asked}L AS n_requested"
     )
-    row = lift.lift(pts, cams, dets, min_points=10, masks=masks).first()
-    assert row["n_points"] == 400 and row["support"] == 1.0
+    row = lift.lift(pts, *on_board(spark, 5), min_points=10, masks=masks).first()
+    assert row["n_points"] == asked and row["support"] == 1.0
 
 
 @pytest.mark.parametrize("box, want", [
-    ([0, 0, 1000, 1000], (0, 0, 96, 64)), ([0, 500, 500, 1000], (48, 0, 96, 32)),
-    ([1000, 1000, 0, 0], (0, 0, 96, 64)), ([-50, -50, 5000, 5000], (0, 0, 96, 64)),
+    ([0, 0, 1000, 1000], (0, 0, W, H)), ([250, 500, 750, 1000], (40, 12, 80, 36)),
+    ([1000, 900, 0, 100], (8, 0, 72, 48)), ([-1, -9999, 1001, 500], (0, 0, 40, 48)),
 ])
 def test_descale(spark, box, want):
     df = spark.createDataFrame([(box,)], "b array<int>")

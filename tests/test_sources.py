@@ -1,3 +1,4 @@
+import io
 import json
 import struct
 
@@ -41,8 +42,18 @@ def test_ply_of_fixed_layout(scene, tmp_path):
     path = tmp_path / "one.ply"
     path.write_bytes(clouds.ply_header(2) + struct.pack("<fffBBB", 1, 2, 3, 4, 5, 6) + struct.pack("<fffBBB", 7, 8, 9, 255, 0, 1))
     assert [tuple(r) for r in scene.read.format("ply").load(str(path)).collect()] == [(1, 2, 3, 4, 5, 6), (7, 8, 9, 255, 0, 1)]
-    with pytest.raises(ValueError):
-        clouds.parse_ply_header(b"not a ply")
+    for broken in (b"not a ply", b"ply\nformat ascii 1.0\nend_header\n", b"ply\nelement vertex 3\nproperty float x\nend_header\n"):
+        with pytest.raises(ValueError):
+            clouds.read_ply_header(io.BytesIO(broken))
+    # Properties in another order and number, and a header of many comments.
+    layout = [("x", "float", "f"), ("nx", "double", "d"), ("red", "uchar", "B"), ("y", "float", "f"), ("green", "uchar", "B"),
+              ("z", "float", "f"), ("blue", "uchar", "B")]
+    lines = ["ply", "format binary_little_endian 1.0", *["comment " + "c" * 60] * 90, "element vertex 2"]
+    lines += [f"property {kind} {name}" for name, kind, _ in layout] + ["element face 0", "property list uchar int vertex_indices", "end_header", ""]
+    form = "<" + "".join(f for _, _, f in layout)
+    path.write_bytes("\n".join(lines).encode() + struct.pack(form, 1, 0, 4, 2, 5, 3, 6) + struct.pack(form, 7, 0, 1, 8, 2, 9, 3))
+    assert [tuple(r) for r in scene.read.format("ply").load(str(path)).collect()] == [(1, 2, 3, 4, 5, 6), (7, 8, 9, 1, 2, 3)]
+    assert clouds.ply_counts(scene, str(path)).first()["n_points"] == 2
     path.write_bytes(clouds.ply_header(5) + b"short")
     with pytest.raises(Exception, match="shorter"):
         scene.read.format("ply").load(str(path)).collect()
