@@ -9,6 +9,7 @@ Only the summaries - a few rows per key - are ever windowed by key alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 
-# Keys up to this many rows are sorted by one task each.
+# Keys up to this many rows are sorted by one task each; larger ones are cut into chunks of about so many.
 SMALL_GROUP = 2_000_000
+# Borders are literals of one expression, which bounds their number.
+MAX_CHUNKS = 4_096
 
 
 def _split_tree(order: Column, splits: list[Column], base: int) -> Column:
@@ -49,15 +52,25 @@ def with_chunks(
     return df.withColumn(CHUNK, _split_tree(F.struct(*order), literals, 0))
 
 
-def _all_small(df: DataFrame, keys: Sequence[str], chunk: Column | None, limit: int) -> bool:
+def _chunks_needed(df: DataFrame, keys: Sequence[str], chunk: Column | None, limit: int) -> int:
+    """How many chunks keep those of the largest key near `limit` rows; 1 for none at all.
+
+    A chunk is a range of the order over all keys, so a key with a share of the rows falls
+    into that share of the chunks: their number follows from all rows.
+    """
     if chunk is not None:
-        return False
+        return MAX_CHUNKS
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (counts.agg(F.max("_n")).first()[0] or 0) <= limit
+    largest, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if (largest or 0) <= limit:
+        return 1
+    return min(MAX_CHUNKS, max(32, math.ceil(total / limit)))
 
 
-def _prepare(df: DataFrame, order: Sequence[str], chunk: Column | None) -> DataFrame:
-    return with_chunks(df, order) if chunk is None else df.withColumn(CHUNK, chunk)
+def _prepare(df: DataFrame, order: Sequence[str], chunk: Column | None, chunks: int) -> DataFrame:
+    if chunk is not None:
+        return df.withColumn(CHUNK, chunk)
+    return with_chunks(df, order, chunks, sample=64 * chunks)
 
 
 def _carry_join(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,9 +88,10 @@ def previous_row(
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Add struct `name` holding `payload` of the preceding row of the same key."""
-    if _all_small(df, keys, chunk, small_group):
+    chunks = _chunks_needed(df, keys, chunk, small_group)
+    if chunks == 1:
         return df.withColumn(name, F.lag(F.struct(*payload)).over(Window.partitionBy(*keys).orderBy(*order)))
-    base = _prepare(df, order, chunk)
+    base = _prepare(df, order, chunk, chunks)
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     tails = (
@@ -105,10 +119,11 @@ def row_numbers(
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Add contiguous BIGINT positions along `order` within each key."""
-    if _all_small(df, keys, chunk, small_group):
+    chunks = _chunks_needed(df, keys, chunk, small_group)
+    if chunks == 1:
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn(name, (number - 1 + F.lit(start)).cast("bigint"))
-    base = _prepare(df, order, chunk)
+    base = _prepare(df, order, chunk, chunks)
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -136,10 +151,11 @@ def running_last(
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Add `name`: the latest non-null `value` up to and including each row."""
-    if _all_small(df, keys, chunk, small_group):
+    chunks = _chunks_needed(df, keys, chunk, small_group)
+    if chunks == 1:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.last(F.col(value), ignorenulls=True).over(upto))
-    base = _prepare(df, order, chunk)
+    base = _prepare(df, order, chunk, chunks)
     inside = (
         Window.partitionBy(*keys, CHUNK).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -25,7 +25,7 @@ steps AS (
 
 def _stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = d.trajectory(spark, sf_dir)
-    return trajectory.steps(path, ["room"], ["ts", "seq"], chunk=F.to_date("ts"))
+    return trajectory.steps(path, ["room"], ["ts", "seq"])
 
 
 @query(_STEPS + " SELECT room, seq, step, first, step > 0 AND step < 0.05 AS tiny FROM steps")
@@ -71,7 +71,7 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = d.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("room"), F.col("event_id"), "ts", F.col("value").alias("sharpness")
     )
-    return row_numbers(e, ["room"], ["ts", "event_id"], chunk=F.to_date("ts"))
+    return row_numbers(e, ["room"], ["ts", "event_id"])
 
 
 _FRAMES_SQL = """
@@ -156,7 +156,7 @@ SELECT room, CAST(f AS BIGINT) AS frame_idx FROM c WHERE n <= 12
 UNION ALL SELECT room, CAST(f AS BIGINT) FROM walk WHERE step = 12 AND d < 0""")
 def covering_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farthest-point frames of every user's path."""
-    path = row_numbers(d.trajectory(spark, sf_dir), ["room"], ["ts", "seq"], name="frame_idx", chunk=F.to_date("ts"))
+    path = row_numbers(d.trajectory(spark, sf_dir), ["room"], ["ts", "seq"], name="frame_idx")
     one, zero = F.lit(1.0), F.lit(0.0)
     pose = F.array(one, zero, zero, F.col("x"), zero, one, zero, F.col("y"), zero, zero, one, F.col("z"), zero, zero, zero, one)
     return fr.covering_frames(path.select("room", "frame_idx", pose.alias("pose")), 12)
