@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 CAPACITY = 2048
 # Remainders are cut into pieces of up to so many tokens: more pieces per window, closer loads.
 PIECE = 512
@@ -181,6 +183,7 @@ def pack(
     task holds the tokens of one group of windows and of one document. Sequence numbers
     follow the partitioning of the input.
     """
+    small_batches(docs.sparkSession)
     folder = folder or tokenizer_folder()
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, small_batches
 from .packed import planes, unplanes
 
 MIN_SHARE = 1e-6
@@ -282,6 +282,7 @@ def scores(
     table gives no rows. Other columns are not read. The driver holds the two bounded tables.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(target_col), F.lit(False)).alias("chosen"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, small_batches
 from .blocks import BLOCK, HIGH, LOW, block_pairs, per_whole_groups
 from .components import components
 
@@ -181,6 +181,7 @@ def near_duplicates(
     or other vectors are rows of their own; null ids count as links, and are never the
     smallest unless alone. An empty table gives no rows; other columns are not read.
     """
+    small_batches(rows.sparkSession)
     kind = rows.schema[id_col].dataType.simpleString()
     vectors = durable(
         rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, small_batches
 from .blocks import BLOCK, HIGH, LOW, block_pairs, per_whole_groups
 from .components import components
 
@@ -199,6 +199,7 @@ def near_duplicates(
     takes the smallest id of its group, or null where the group has none. An empty table
     gives an empty result; other columns are neither read nor returned.
     """
+    small_batches(docs.sparkSession)
     prints = durable(with_fingerprints(docs, id_col, text_col, words))
     classes = durable(prints.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(near_links(classes.select("fp"), radius))

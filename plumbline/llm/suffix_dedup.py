@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, small_batches
 from .bwt_merge import repeated
 from .packed import planes, unplanes
 
@@ -454,6 +454,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """`id`, `text` (bytes), `carry` and `marks` (arrays of span lists) of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * BUCKETS_PER_PARTITION
     keyed = _keyed(docs, id_col, text_col, carry)
