@@ -92,7 +92,7 @@ class _Clusters:
         self.diag_n = np.zeros(16)
         self.seeds: list[int] = []
         self.names: list[set] = []
-        self.boxes: list[list[np.ndarray]] = []
+        self.boxes: list[np.ndarray] = []  # room for twice the members, doubled when full
 
     def _grow(self) -> None:
         if self.size == len(self.count):
@@ -102,7 +102,7 @@ class _Clusters:
             )
 
     def _overlaps(self, cluster: int, box: np.ndarray) -> bool:
-        members = np.stack(self.boxes[cluster])
+        members = self.boxes[cluster][:int(self.count[cluster])]
         side = np.minimum(members[:, 3:], box[3:]) - np.maximum(members[:, :3], box[:3])
         shared = np.prod(np.clip(side, 0.0, None), axis=1)
         volume = np.prod(np.clip(members[:, 3:] - members[:, :3], 1e-9, None), axis=1)
@@ -134,14 +134,17 @@ class _Clusters:
             target, self.size = self.size, self.size + 1
             self.seeds.append(ident)
             self.names.append(set())
-            self.boxes.append([])
+            self.boxes.append(np.empty((4, 6)))
         self.total[target] += center
         self.count[target] += 1
         if diag > 0:
             self.diag_sum[target] += diag
             self.diag_n[target] += 1
         self.names[target].add(name)
-        self.boxes[target].append(box)
+        held = int(self.count[target])
+        if held > len(self.boxes[target]):
+            self.boxes[target] = np.concatenate([self.boxes[target], np.empty_like(self.boxes[target])])
+        self.boxes[target][held - 1] = box
         return self.seeds[target]
 
 

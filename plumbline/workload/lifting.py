@@ -70,14 +70,47 @@ def lift_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _cov(i: int, j: int) -> str:
+    return f"c{min(i, j)}{max(i, j)}"
+
+
+def _less(i: int, j: int) -> str:
+    return f"({_cov(i, j)} - e)" if i == j else _cov(i, j)
+
+
+def _cross(a: int, b: int) -> str:
+    parts = [f"{_less(a, (k + 1) % 3)} * {_less(b, (k + 2) % 3)} - {_less(a, (k + 2) % 3)} * {_less(b, (k + 1) % 3)}" for k in range(3)]
+    return "[" + ", ".join(parts) + "]"
+
+
+@query(d.with_tables("points") + f""",
+m AS (
+  SELECT room, count(*) AS n, covar_pop(x, x) AS c00, covar_pop(x, y) AS c01, covar_pop(x, z) AS c02, covar_pop(y, y) AS c11,
+         covar_pop(y, z) AS c12, covar_pop(z, z) AS c22 FROM points WHERE conf GROUP BY room),
+q AS (SELECT *, (c00 + c11 + c22) / 3 AS q FROM m),
+p AS (SELECT *, sqrt(((c00 - q) ** 2 + (c11 - q) ** 2 + (c22 - q) ** 2 + 2 * (c01 * c01 + c02 * c02 + c12 * c12)) / 6) AS p FROM q),
+phi AS (
+  SELECT *, acos(least(greatest(((c00 - q) * ((c11 - q) * (c22 - q) - c12 * c12) - c01 * (c01 * (c22 - q) - c12 * c02)
+                                 + c02 * (c01 * c12 - (c11 - q) * c02)) / (p * p * p) / 2, -1), 1)) / 3 AS phi FROM p),
+spectrum AS (SELECT *, unnest([q + 2 * p * cos(phi), q + 2 * p * cos(phi + 2 * pi() / 3), q + 2 * p * cos(phi + 4 * pi() / 3)]) AS e FROM phi),
+made AS (SELECT room, n, e, unnest([{_cross(0, 1)}, {_cross(0, 2)}, {_cross(1, 2)}]) AS v FROM spectrum),
+axis AS (
+  SELECT room, n, e, list_transform(v, lambda t: t / sqrt(list_dot_product(v, v))) AS v FROM made
+  QUALIFY row_number() OVER (PARTITION BY room, e ORDER BY list_dot_product(v, v) DESC) = 1),
+spans AS (
+  SELECT a.room, a.e, any_value(n) AS n, max(a.v[1] * x + a.v[2] * y + a.v[3] * z) - min(a.v[1] * x + a.v[2] * y + a.v[3] * z) AS s
+  FROM axis a JOIN points p ON a.room = p.room WHERE conf GROUP BY a.room, a.e),
+boxes AS (SELECT room, any_value(n) AS n, list_sort(list(s)) AS s FROM spans GROUP BY room)
+SELECT room, n AS n_points, round(s[1], 4) AS extent_0, round(s[2], 4) AS extent_1, round(s[3], 4) AS extent_2,
+       round(sqrt(s[1] * s[1] + s[2] * s[2] + s[3] * s[3]), 4) AS diagonal
+FROM boxes""")
 def fit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oriented boxes of every room's confident points."""
     pts = d.points(spark, sf_dir).where("conf")
     return oriented_boxes(pts, ["room"]).select(
         "room", F.col("n").alias("n_points"),
-        *[F.round(F.array_sort("obb.extent")[i], 6).alias(f"extent_{i}") for i in range(3)],
-        F.round(g.diagonal("obb.extent"), 6).alias("diagonal"),
+        *[F.round(F.array_sort("obb.extent")[i], 4).alias(f"extent_{i}") for i in range(3)],
+        F.round(g.diagonal("obb.extent"), 4).alias("diagonal"),
     )
 
 

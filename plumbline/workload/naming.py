@@ -350,15 +350,12 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and vocabulary of all detections: distinct first, then one small row set."""
     o = d.table(spark, sf_dir, "orders")
     per_frame = o.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    frames = per_frame.groupBy("o_custkey").agg(F.sum("n").alias("n")).agg(
-        F.count(F.lit(1)).alias("frames"), F.sum("n").alias("detections")
+    frames = per_frame.groupBy("o_custkey").agg(F.sum("n").alias("n")).select("n", F.lit(None).cast("string").alias("word"))
+    words = per_frame.select(F.lit(None).cast("bigint").alias("n"), F.col("o_orderpriority").alias("word")).distinct()
+    return frames.unionByName(words).agg(
+        F.count("n").alias("frames"), F.sum("n").alias("detections"), F.count("word").alias("labels"),
+        F.concat_ws("|", F.array_sort(F.collect_list("word"))).alias("vocabulary"),
     )
-    words = per_frame.select("o_orderpriority").distinct().agg(
-        F.count(F.lit(1)).alias("labels"),
-        F.concat_ws("|", F.array_sort(F.collect_list("o_orderpriority"))).alias("vocabulary"),
-    )
-    # One row each.
-    return frames.join(F.broadcast(words), F.lit(True))
 
 
 @query("""

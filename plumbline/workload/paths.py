@@ -123,7 +123,28 @@ def blur_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_COR = "least(greatest(list_dot_product(CAST(c.thumb AS DOUBLE[]), CAST(p.thumb AS DOUBLE[])), -1), 1)"
+
+
+@query(f"""
+WITH RECURSIVE f AS (
+  SELECT CAST(label AS BIGINT) AS room, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding AS thumb,
+         CAST(abs(embedding[6]) * CAST(100 AS FLOAT) AS DOUBLE) AS sharpness, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+cut AS (SELECT room, quantile_cont(sharpness, 0.25) AS floor FROM f GROUP BY room),
+w AS (SELECT f.*, idx * least(8, n) // n AS bucket, sharpness >= floor AS fine FROM f JOIN cut USING (room) WHERE n > 4),
+cand AS (SELECT * FROM (SELECT *, bool_or(fine) OVER (PARTITION BY room, bucket) AS any_fine FROM w) WHERE fine OR NOT any_fine),
+pick AS (
+  SELECT 1 AS step, room, bucket, idx, thumb FROM cand QUALIFY row_number() OVER (PARTITION BY room ORDER BY bucket, sharpness DESC, idx) = 1
+  UNION ALL
+  SELECT p.step + 1, c.room, c.bucket, c.idx, c.thumb FROM pick p JOIN cand c ON c.room = p.room AND c.bucket > p.bucket AND {_COR} <= 0.2
+  WHERE p.step < 8 QUALIFY row_number() OVER (PARTITION BY c.room ORDER BY c.bucket, c.sharpness DESC, c.idx) = 1),
+kept AS (SELECT room, count(*) AS k FROM pick GROUP BY room),
+spare AS (
+  SELECT w.room, w.idx, row_number() OVER (PARTITION BY w.room ORDER BY sharpness DESC, w.idx) AS r
+  FROM w ANTI JOIN pick p ON w.room = p.room AND w.idx = p.idx)
+SELECT room, CAST(idx AS BIGINT) AS idx FROM pick
+UNION ALL SELECT s.room, CAST(s.idx AS BIGINT) FROM spare s JOIN kept USING (room) WHERE r <= 4 - k
+UNION ALL SELECT room, CAST(idx AS BIGINT) FROM f WHERE n <= 4""")
 def frame_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame choice with near-duplicate rejection, vectors as thumbnails of a label's video."""
     e = d.table(spark, sf_dir, "embeddings").select(
