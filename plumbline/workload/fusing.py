@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import labels as lab
 from ..operators import fusion
 from . import derive as d
 from .registry import query
@@ -22,13 +23,80 @@ def fuse_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_CLASSES = ", ".join(f"('{name}', '{canonical}')" for name, canonical in lab.BUILTIN.items())
+
+
+def _side(i: int) -> str:
+    return f"greatest(least(b[{i + 4}], box[{i + 4}]) - greatest(b[{i + 1}], box[{i + 1}]), 0)"
+
+
+def _volume(b: str) -> str:
+    return " * ".join(f"greatest({b}[{i + 4}] - {b}[{i + 1}], 1e-9)" for i in range(3))
+
+
+_SHARED = " * ".join(_side(i) for i in range(3))
+_OVERLAPS = f"{_SHARED} > 0 AND {_SHARED} / ({_volume('b')} + {_volume('box')} - {_SHARED}) >= 0.1"
+# Sightings of a room and label class join the nearest cluster in reach, one after the other.
+_FUSED = d.with_tables("observations", "names").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+classes(name, canonical) AS (VALUES {_CLASSES}),
+seq AS (
+  SELECT room, coalesce(canonical, n.name) AS class, id, frame_idx, n_points, cx, cy, cz, sqrt(e0 * e0 + e1 * e1 + e2 * e2) AS diag,
+         CASE WHEN turned THEN e2 ELSE e0 END / 2 AS hx, e1 / 2 AS hy, CASE WHEN turned THEN e0 ELSE e2 END / 2 AS hz,
+         row_number() OVER (PARTITION BY room, coalesce(canonical, n.name) ORDER BY n_points DESC, frame_idx, id) AS k
+  FROM names n LEFT JOIN classes c ON c.name = n.name),
+boxed AS (SELECT *, [cx - hx, cy - hy, cz - hz, cx + hx, cy + hy, cz + hz] AS box FROM seq),
+walk AS (
+  SELECT room, class, k, id, frame_idx, n_points, id AS seed,
+         [{{'seed': id, 'n': CAST(1 AS DOUBLE), 'x': cx, 'y': cy, 'z': cz, 'diag': diag, 'boxes': [box]}}] AS state
+  FROM boxed WHERE k = 1
+  UNION ALL
+  SELECT room, class, k, id, frame_idx, n_points, coalesce(target, id),
+         CASE WHEN target IS NULL
+              THEN list_append(state, {{'seed': id, 'n': CAST(1 AS DOUBLE), 'x': cx, 'y': cy, 'z': cz, 'diag': diag, 'boxes': [box]}})
+              ELSE list_transform(state, lambda c: CASE WHEN c.seed = target
+                   THEN {{'seed': c.seed, 'n': c.n + 1, 'x': c.x + cx, 'y': c.y + cy, 'z': c.z + cz, 'diag': c.diag + diag,
+                          'boxes': list_append(c.boxes, box)}} ELSE c END) END
+  FROM (
+    SELECT o.*, w.state, list_sort(list_filter(
+             list_transform(list_transform(w.state, lambda c, i: {{
+                 'd': sqrt((c.x / c.n - cx) * (c.x / c.n - cx) + (c.y / c.n - cy) * (c.y / c.n - cy) + (c.z / c.n - cz) * (c.z / c.n - cz)),
+                 'i': i, 'r': greatest(CAST(0.3 AS DOUBLE), CAST(0.5 AS DOUBLE) * (c.diag + diag) / (c.n + 1)), 'seed': c.seed,
+                 'meets': len(list_filter(c.boxes, lambda b: {_OVERLAPS})) > 0}}), lambda c: c),
+             lambda c: c.d <= c.r AND (c.d <= c.r / 2 OR c.meets)))[1].seed AS target
+    FROM walk w JOIN boxed o ON o.room = w.room AND o.class = w.class AND o.k = w.k + 1)),
+members AS (SELECT room, id, frame_idx, n_points, seed FROM walk),
+objects AS (
+  SELECT room, seed, count(*) AS n, max(n_points) FILTER (id = seed) AS seed_points, max(frame_idx) FILTER (id = seed) AS seed_frame
+  FROM members GROUP BY room, seed),
+numbered AS (
+  SELECT room, seed, n, format('obj_{{:03d}}', row_number() OVER (PARTITION BY room ORDER BY n DESC, seed_points DESC, seed_frame, seed) - 1) AS object_id
+  FROM objects)"""
+
+
+@query(_FUSED + " SELECT m.room, object_id, id, frame_idx FROM members m JOIN numbered USING (room, seed)")
 def object_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which object every sighting ended in."""
     _, members = fusion.fuse(d.observations(spark, sf_dir))
     return members
 
 
+@query(_FUSED + """,
+means AS (
+  SELECT m.room, seed, avg(cx) AS c0, avg(cy) AS c1, avg(cz) AS c2, avg(vlm_confidence) AS vlm FROM members m JOIN observations o
+      ON m.room = o.room AND m.id = o.id GROUP BY m.room, seed)
+SELECT room, object_id, n AS n_observations, round(vlm, 6) AS mean_confidence, round(c0, 6) AS mean_0, round(c1, 6) AS mean_1,
+       round(c2, 6) AS mean_2 FROM numbered JOIN means USING (room, seed)""")
+def object_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members, mean detector confidence and mean position of every merged object."""
+    seen = d.observations(spark, sf_dir)
+    _, members = fusion.fuse(seen)
+    joined = members.select("room", "object_id", "id").join(seen.select("room", "id", "vlm_confidence", "centroid"), ["room", "id"])
+    return joined.groupBy("room", "object_id").agg(
+        F.count(F.lit(1)).alias("n_observations"), F.round(F.avg("vlm_confidence"), 6).alias("mean_confidence"),
+        *[F.round(F.avg(F.col("centroid")[i]), 6).alias(f"mean_{i}") for i in range(3)],
+    )
+
+
 @query(
     d.with_tables("observations")
     + """,
