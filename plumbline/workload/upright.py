@@ -172,7 +172,7 @@ def up_from_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COS = "cos(radians(CAST(35 AS DOUBLE)))"
 
 
-@query(d.with_tables("points") + f""",
+_SEARCH = d.with_tables("points") + f""",
 cut AS (SELECT room, quantile_cont(y, CAST(0.9 AS DOUBLE)) AS q FROM points WHERE conf GROUP BY room),
 low AS (
   SELECT room, x, y, z, (frame_idx::BIGINT * 7919 + v::BIGINT * 104729 + u::BIGINT * 1299709 + r::BIGINT * 15485863 + g::BIGINT * 49979687) * 40503 % 4294967296 AS draw,
@@ -197,10 +197,14 @@ planes AS (
 votes AS (
   SELECT l.room, plane, count(*) FILTER (abs(nx * x + ny * y + nz * z - o) < 0.03) AS inliers, any_value(n_low) AS n_low,
          any_value(ny) AS ny
-  FROM low l JOIN planes p ON l.room = p.room WHERE n_low >= 50 GROUP BY l.room, plane)
+  FROM low l JOIN planes p ON l.room = p.room WHERE n_low >= 50 GROUP BY l.room, plane),
+best AS (SELECT v.*, nx, nz, o FROM votes v JOIN planes USING (room, plane)
+         QUALIFY row_number() OVER (PARTITION BY room ORDER BY inliers DESC, plane) = 1)"""
+
+
+@query(_SEARCH + """
 SELECT room, CAST(plane AS INTEGER) AS plane, CAST(inliers AS BIGINT) AS inliers, CAST(n_low AS BIGINT) AS n_low,
-       round(ny, 6) AS upright
-FROM votes QUALIFY row_number() OVER (PARTITION BY room ORDER BY inliers DESC, plane) = 1""")
+       round(ny, 6) AS upright FROM best""")
 def floor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of 400 drawn planes per room, none steeper than 35 degrees, over the whole low slice."""
     low = durable(level.lowest_rows(_confident(spark, sf_dir), _straight_up(spark, sf_dir), [], 0.9, 100, _point_draw()))
@@ -223,17 +227,45 @@ def _point_draw() -> Column:
     return F.pmod((parts[0] + parts[1] + parts[2] + parts[3] + parts[4]) * 40503, F.lit(1 << 32))
 
 
-@query()
+def _minus(i: int, j: int) -> str:
+    return f"(c{min(i, j)}{max(i, j)}{' - e' if i == j else ''})"
+
+
+def _row_cross(a: int, b: int) -> str:
+    return "[" + ", ".join(
+        f"{_minus(a, (k + 1) % 3)} * {_minus(b, (k + 2) % 3)} - {_minus(a, (k + 2) % 3)} * {_minus(b, (k + 1) % 3)}" for k in range(3)
+    ) + "]"
+
+
+@query(_SEARCH + f""",
+found AS (SELECT * FROM best WHERE inliers > 0 AND inliers >= 0.1 * n_low),
+m AS (
+  SELECT room, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz, any_value(o) AS o,
+         any_value(inliers) / CAST(any_value(f.n_low) AS DOUBLE) AS share, avg(x) AS mx, avg(y) AS my, avg(z) AS mz,
+         covar_pop(x, x) AS c00, covar_pop(x, y) AS c01, covar_pop(x, z) AS c02, covar_pop(y, y) AS c11,
+         covar_pop(y, z) AS c12, covar_pop(z, z) AS c22
+  FROM low l JOIN found f USING (room) WHERE abs(nx * x + ny * y + nz * z - o) < 0.03 GROUP BY room),
+q AS (SELECT *, (c00 + c11 + c22) / 3 AS q FROM m),
+p AS (SELECT *, sqrt(((c00 - q) ** 2 + (c11 - q) ** 2 + (c22 - q) ** 2 + 2 * (c01 * c01 + c02 * c02 + c12 * c12)) / 6) AS p FROM q),
+least_ AS (
+  SELECT *, q + 2 * p * cos(acos(least(greatest(((c00 - q) * ((c11 - q) * (c22 - q) - c12 * c12) - c01 * (c01 * (c22 - q) - c12 * c02)
+            + c02 * (c01 * c12 - (c11 - q) * c02)) / (p * p * p) / 2, -1), 1)) / 3 + 2 * pi() / 3) AS e FROM p),
+crosses AS (SELECT *, unnest([{_row_cross(0, 1)}, {_row_cross(0, 2)}, {_row_cross(1, 2)}]) AS v FROM least_),
+flat AS (
+  SELECT *, list_transform(v, lambda t: t / sqrt(list_dot_product(v, v)) * CASE WHEN v[2] < 0 THEN -1 ELSE 1 END) AS f FROM crosses
+  QUALIFY row_number() OVER (PARTITION BY room ORDER BY list_dot_product(v, v) DESC) = 1)
+SELECT room, round(CASE WHEN f[2] >= {_COS} THEN f[1] ELSE nx END, 4) AS n0, round(CASE WHEN f[2] >= {_COS} THEN f[2] ELSE ny END, 4) AS n1,
+       round(CASE WHEN f[2] >= {_COS} THEN f[3] ELSE nz END, 4) AS n2,
+       round(CASE WHEN f[2] >= {_COS} THEN f[1] * mx + f[2] * my + f[3] * mz ELSE o END, 4) AS offset, round(share, 6) AS inlier_frac
+FROM flat""")
 def floor_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Floor search in every derived room; the floor is where v = 0 lies."""
-    pts = d.points(spark, sf_dir).where("conf")
-    priors = durable(
-        pts.select("room").distinct().withColumn("up", F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)))
+    found = level.floor_planes(
+        _confident(spark, sf_dir), _straight_up(spark, sf_dir), [], slice_quantile=0.9, draw=_point_draw()
     )
-    found = level.floor_planes(pts, priors, ["frame_idx", "v", "u", "z"], slice_quantile=0.9)
     return found.select(
-        "room", *[F.round(F.col("normal")[i], 6).alias(f"n{i}") for i in range(3)],
-        F.round("offset", 6).alias("offset"), F.round("inlier_frac", 6).alias("inlier_frac"),
+        "room", *[F.round(F.col("normal")[i], 4).alias(f"n{i}") for i in range(3)],
+        F.round("offset", 4).alias("offset"), F.round("inlier_frac", 6).alias("inlier_frac"),
     )
 
 
