@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,8 +75,10 @@ def release_shuffles(spark: SparkSession) -> None:
     Its cleaner acts when the driver's JVM collects garbage, which may be long after a large
     exchange was last read; call this once a table made from such an exchange is written.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round tells the JVM which plans Python has let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def discard(df: DataFrame) -> None:
