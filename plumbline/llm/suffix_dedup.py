@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, small_batches
+from ..session import durable, release_shuffles, small_batches
 from .bwt_merge import repeated
 from .packed import planes, unplanes
 
@@ -451,6 +451,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
     return hashed.join(ranks, same).select(hashed["id"], "key", "text", "carry")
 
 
+def _by_bucket(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def _settled_by_hash(keyed: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """Step 1: GATHERED rows of the spans of collapsed runs and of the runs still open."""
+    anchors = keyed.select("key", "text").mapInArrow(_anchor_rows(buckets), ANCHOR_ROWS)
+    marks = _by_bucket(anchors, parts).mapInArrow(_resolve(buckets), MARKS)
+    return durable(_by_bucket(marks, parts).mapInArrow(_gather, GATHERED))
+
+
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """`id`, `text` (bytes), `carry` and `marks` (arrays of span lists) of every document."""
     spark = docs.sparkSession
@@ -458,19 +469,16 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[str]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * BUCKETS_PER_PARTITION
     keyed = _keyed(docs, id_col, text_col, carry)
-    anchors = keyed.select("key", "text").mapInArrow(_anchor_rows(buckets), ANCHOR_ROWS)
-
-    def by_bucket(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-    first = durable(by_bucket(by_bucket(anchors).mapInArrow(_resolve(buckets), MARKS)).mapInArrow(_gather, GATHERED))
+    first = _settled_by_hash(keyed, parts, buckets)
+    # The anchors' exchange, larger than all others, is not needed beside them.
+    release_shuffles(spark)
     # Both uses of the documents read all columns, so that one exchange serves them.
     dealt = keyed.repartition(parts, "key")
     opened = first.where(F.col("open").isNotNull()).select("key", "open")
     texts = dealt.join(opened.hint("shuffle_hash"), "key").mapInArrow(_run_texts, RUN_TEXTS)
     late = texts.repartition(parts, "bucket").mapInArrow(_compare(buckets), MARKS)
     spans = first.where(F.col("spans").isNotNull()).select("key", "spans")
-    late_spans = by_bucket(late).mapInArrow(_gather, GATHERED).select("key", F.col("spans").alias("late"))
+    late_spans = _by_bucket(late, parts).mapInArrow(_gather, GATHERED).select("key", F.col("spans").alias("late"))
     return (
         dealt.join(spans.hint("shuffle_hash"), "key", "left").join(late_spans.hint("shuffle_hash"), "key", "left")
         .select("id", "text", "carry", F.filter(F.array("spans", "late"), lambda x: x.isNotNull()).alias("marks"))
