@@ -141,20 +141,25 @@ def judge(measured: DataFrame, fences: dict[str, DataFrame]) -> DataFrame:
     sources are groups of their own. Where no group reaches LEAST_GROUP documents there is
     no fence, and the base rule alone decides.
     """
-    own, lang = fences["own"], fences["lang"]
+    own, lang, whole = fences["own"], fences["lang"], fences["all"].first()  # a few numbers for all documents
     joined = (
         measured.alias("m")
         .join(own.withColumnsRenamed({"lang": "_l", "source": "_s"}).alias("o"),
               F.col("m.lang").eqNullSafe(F.col("_l")) & F.col("m.source").eqNullSafe(F.col("_s")), "left")
         .join(lang.withColumnsRenamed({"lang": "_k"}).alias("l"), F.col("m.lang").eqNullSafe(F.col("_k")), "left")
-        .join(F.broadcast(fences["all"]))  # one row
     )
     passed = ~F.col("base_failed")
     for name, (formula, has_low, _) in RULES.items():
         value = F.expr(f"CASE WHEN base_failed THEN 0L ELSE {formula} END")
-        passed &= F.coalesce(value <= F.coalesce(*[F.col(f"{x}_{name}_high") for x in LEVELS]), F.lit(True))
+
+        def fence(side: str, name: str = name) -> Column:
+            return F.coalesce(
+                F.col(f"own_{name}_{side}"), F.col(f"lang_{name}_{side}"), F.lit(whole[f"all_{name}_{side}"]).cast("long")
+            )
+
+        passed &= F.coalesce(value <= fence("high"), F.lit(True))
         if has_low:
-            passed &= F.coalesce(value >= F.coalesce(*[F.col(f"{x}_{name}_low") for x in LEVELS]), F.lit(True))
+            passed &= F.coalesce(value >= fence("low"), F.lit(True))
     return joined.select("m.*", passed.alias("kept"))
 
 

@@ -127,10 +127,7 @@ def _close_pairs(cosine: float):
             left, right = own[block[own] == first], own[block[own] == last]
             if not len(left) or not len(right):
                 continue
-            # Vectors of unequal length may share a bucket number by chance.
-            lengths = {len(vec[i].as_py()) for i in (left[0], right[-1])} if high - low == 2 else None
-            if lengths and len(lengths) > 1:
-                continue
+            # Vectors of unequal length may share a bucket number by chance; only equal ones meet.
             x = _rows(vec, left)
             y = x if first == last else _rows(vec, right)
             for size in x.keys() & y.keys():
