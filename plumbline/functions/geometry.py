@@ -20,11 +20,6 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def fixed(value: Column | str, digits: int) -> Column:
-    """Round for output."""
-    return F.round(as_col(value).cast("double"), digits)
-
-
 def norm3(x: Column, y: Column, z: Column) -> Column:
     return F.sqrt(x * x + y * y + z * z)
 

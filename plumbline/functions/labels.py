@@ -35,16 +35,6 @@ def lookup(table: Mapping[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def label_class(label: Column | str, known: Column | None = None) -> Column:
-    """Name under which compatible labels meet: the group's preferred name or the label.
-
-    `known` is the resolver's canonical name for the label, null where it has none.
-    """
-    name = normalize(label)
-    builtin = F.coalesce(lookup(BUILTIN, name), name)
-    return builtin if known is None else F.coalesce(known, builtin)
-
-
 def compatible(a: Column | str, b: Column | str, known_a: Column | None = None, known_b: Column | None = None) -> Column:
     """Whether two labels may name one object.
 

@@ -83,7 +83,8 @@ def release_shuffles(spark: SparkSession) -> None:
 
 def discard(df: DataFrame) -> None:
     """Remove the files behind a table that `durable` returned and nothing reads any more."""
-    for path in [p for p in _written if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in df.inputFiles()[:1])]:
+    files = df.inputFiles()[:1]
+    for path in [p for p in _written if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]:
         _remove(path, _written.pop(path))
 
 
