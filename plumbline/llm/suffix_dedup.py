@@ -39,8 +39,8 @@ from .packed import planes, unplanes
 LENGTH = 50
 GRAM = 16
 # Bytes whose hashes are held at a time, and anchors collapsed at a time.
-SEGMENT = 500_000
-FLUSH = 500_000
+SEGMENT = 250_000
+FLUSH = 250_000
 # Buckets of anchors per shuffle partition; one bucket is resolved at a time.
 BUCKETS_PER_PARTITION = 4
 # An anchor with more differing runs than this is compared string by string.
@@ -292,6 +292,8 @@ def _anchor_rows(buckets: int):
                 found, count = [], 0
         if found:
             yield from pack(found)
+        # The worker stays for the next tasks; what the pool keeps would count against them.
+        pa.default_memory_pool().release_unused()
 
     return run
 
