@@ -39,6 +39,9 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache2-name", "apache license version 2 0"),
     ("apache2-grant", "licensed under the apache license version 2 0 the license you may not use this file except in"
                       " compliance with the license"),
+    # Semicolons and colons end sentences, so headers that have them inside are known by their parts.
+    ("apache2-grant-a", "licensed under the apache license version 2 0 the license"),
+    ("apache2-grant-b", "you may not use this file except in compliance with the license"),
     ("apache2-copy", "you may obtain a copy of the license at"),
     ("apache2-basis", "unless required by applicable law or agreed to in writing software distributed under the"
                       " license is distributed on an as is basis without warranties or conditions of any kind either"
@@ -48,6 +51,19 @@ SENTENCES: list[tuple[str, str]] = [
     ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu"
                  " general public license as published by the free software foundation either version 3 of the license"
                  " or at your option any later version"),
+    ("gpl-free-a", "this program is free software"),
+    ("gpl2-free-b", "you can redistribute it and or modify it under the terms of the gnu general public license as"
+                    " published by the free software foundation either version 2 of the license or at your option any"
+                    " later version"),
+    ("gpl3-free-b", "you can redistribute it and or modify it under the terms of the gnu general public license as"
+                    " published by the free software foundation either version 3 of the license or at your option any"
+                    " later version"),
+    ("gpl-terms", "you can redistribute it and or modify it under the terms of the gnu general public license as"
+                  " published by the free software foundation"),
+    ("gpl2-later", "either version 2 of the license or at your option any later version"),
+    ("gpl3-later", "either version 3 of the license or at your option any later version"),
+    ("gpl-hope-a", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-hope-b", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty without even"
                  " the implied warranty of merchantability or fitness for a particular purpose"),
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted"
@@ -59,6 +75,9 @@ SENTENCES: list[tuple[str, str]] = [
                    " distribution"),
     ("bsd-endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"
                     " or promote products derived from this software without specific prior written permission"),
+    ("isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee is"
+                  " hereby granted provided that the above copyright notice and this permission notice appear in all"
+                  " copies"),
     ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is"
                   " hereby granted provided that the above copyright notice and this permission notice appear in all"
                   " copies"),
@@ -68,6 +87,15 @@ SENTENCES: list[tuple[str, str]] = [
     ("cc-by-4", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("all-rights", "all rights reserved"),
 ]
+# The ways in which the two paragraphs of a GPL header are cut.
+GPL_FREE: list[tuple[str, list[str]]] = [
+    ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-3.0-or-later", ["gpl-free-a", "gpl3-free-b"]),
+    ("GPL-3.0-or-later", ["gpl-free-a", "gpl-terms", "gpl3-later"]),
+    ("GPL-2.0-or-later", ["gpl-free-a", "gpl2-free-b"]),
+    ("GPL-2.0-or-later", ["gpl-free-a", "gpl-terms", "gpl2-later"]),
+]
+GPL_HOPE: list[list[str]] = [["gpl-hope"], ["gpl-hope-a", "gpl-hope-b"], []]
 # Licence and its identifiers in order. Earlier rules take identifiers first.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-grant", "mit-notice", "as-is-short", "no-liability"]),
@@ -77,11 +105,15 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("Apache-2.0", ["apache2-grant", "apache2-copy", "apache2-basis"]),
     ("Apache-2.0", ["apache2-grant", "apache2-basis"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
-    ("GPL-3.0-or-later", ["gpl-free"]),
+    ("Apache-2.0", ["apache2-grant-a", "apache2-grant-b", "apache2-copy", "apache2-basis"]),
+    ("Apache-2.0", ["apache2-grant-a", "apache2-grant-b", "apache2-basis"]),
+    *[(name, free + hope) for hope in GPL_HOPE for name, free in GPL_FREE],
     ("ISC", ["isc-grant"]),
     ("MIT", ["mit-name"]),
     ("Apache-2.0", ["apache2-grant"]),
+    ("Apache-2.0", ["apache2-grant-a", "apache2-grant-b", "apache2-copy"]),
+    ("Apache-2.0", ["apache2-grant-a", "apache2-grant-b"]),
+    ("Apache-2.0", ["apache2-grant-a"]),
     ("Apache-2.0", ["apache2-name"]),
     ("GPL-3.0-only", ["gpl3-name"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),

@@ -270,5 +270,121 @@ def test_licences(spark, text, want, unmatched):
     assert [(r["licences"], r["unmatched"]) for r in got] == [(want, unmatched)] * 3
 
 
+APACHE_HEADER = """Copyright 2020 A. Writer
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL3_HEADER = """Copyright (C) 2020  A. Writer
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL2_HEADER = """Copyright (C) 2020  A. Writer
+
+This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."""
+ISC_HEADER = """Copyright (c) 2020, A. Writer
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS."""
+MIT_HEADER = """Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD2_HEADER = """Copyright (c) 2020, A. Writer
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3_HEADER = BSD2_HEADER + """
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+HEADERS = [
+    (APACHE_HEADER, "Apache-2.0"), (GPL3_HEADER, "GPL-3.0-or-later"), (GPL2_HEADER, "GPL-2.0-or-later"),
+    (GPL2_HEADER.replace("version 2", "version 3"), "GPL-3.0-or-later"),
+    (GPL3_HEADER.replace("version 3", "version 2"), "GPL-2.0-or-later"),
+    (ISC_HEADER, "ISC"), (ISC_HEADER.replace("and/or", "and"), "ISC"), (MIT_HEADER, "MIT"),
+    (BSD2_HEADER, "BSD-2-Clause"), (BSD3_HEADER, "BSD-3-Clause"),
+]
+
+
+def commented(header: str, start: str, mark: str, end: str) -> str:
+    return start + "\n".join(f"{mark} {line}".rstrip() for line in header.split("\n")) + end
+
+
+def test_unaltered_headers_plain_and_commented(spark):
+    marks = [("/*\n", " *", "\n */\nint x;"), ("", "#", "\nimport os"), ("", "//", "\n"), ("", "--", ""), ("", ";;", "")]
+    texts = [
+        (text, name) for header, name in HEADERS
+        for text in (header, header.replace("\n", "\r\n"), *(commented(header, *m) for m in marks))
+    ]
+    rows = [(i, text, "en", "s") for i, (text, _) in enumerate(texts)]
+    got = {r["id"]: (r["licences"], r["unmatched"]) for r in licence_rules.licences(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == [([name], 0) for _, name in texts]
+
+
+def test_parts_of_headers_of_other_licences(spark):
+    lesser = GPL3_HEADER.replace("GNU General", "GNU Affero General")
+    got = licence_rules.licences(docs_of(spark, [(1, lesser, "en", "s"), (2, "This program is free software.", "en", "s")]))
+    assert [r["licences"] for r in got.collect()] == [[], []]
+
+
 def test_licences_of_no_rows(spark):
     assert licence_rules.licences(docs_of(spark, [])).count() == 0
