@@ -6,73 +6,49 @@ document's score is its mean loss per token under the target model minus that un
 background model; the lower, the more it resembles the target.
 
 Words are what white space separates, with A-Z lower-cased. The vocabulary is every word
-that makes up at least MIN_SHARE of all words; other words are one unknown word. Bigrams
-are kept at PAIR_SHARE of all tokens, rarer ones fall back to the unigram. Shares, unlike
-counts, bound both tables - by 1 / MIN_SHARE and 1 / PAIR_SHARE rows at any corpus size - so
-they may be broadcast. The counts behind them are those of every token of every document.
-
-Counting gathers one sorted, packed table per task and bucket, and merges buckets.
+found MIN_COUNT times or more in all documents, the target's among them; other words are
+one unknown word. Bigrams are kept from PAIR_COUNT on, rarer ones fall back to the unigram.
+Both are fixed counts, so the models grow with the corpus and a score does not change its
+meaning with the size of the input.
+
+No table of a model is gathered anywhere. Texts are cut into parts of a few megabytes, which
+are written once as word codes. A part asks for the counts of its distinct words, then of
+its distinct bigrams: the keys go with the part's own counts to the bucket of their hash,
+which adds up the counts of all parts and answers each part with the sums. Keys are 64-bit
+hashes. A key comes once from each part, so common words do not fill a bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, small_batches
+from ..session import durable, release_shuffles, small_batches
 from .packed import planes, unplanes
 
-MIN_SHARE = 1e-6
-PAIR_SHARE = 2e-7
+MIN_COUNT = 1
+PAIR_COUNT = 1
 # Pseudo-counts: of the unigram in a context, and of every word in the unigram.
 CONTEXT_PRIOR = 5.0
 WORD_PRIOR = 0.1
-# Distinct entries that a task holds before it hands them on.
-HELD = 1_000_000
-
-COUNTS = "bucket int, count int, keys binary, target binary, background binary"
+# Bytes of text in a part, unless one text has more.
+HELD = 8_000_000
+
+ASKED = "bucket int, part long, count int, keys binary, target binary, background binary"
+ANSWERED = (
+    "part long, bucket int, count int, target binary, background binary, known long, known_target long,"
+    " known_background long"
+)
 U = np.uint64
-
-
-@dataclass
-class Vocabulary:
-    """Word hashes in ascending order with their counts; ids follow the order.
-
-    The ids after them are the unknown word, the start and the end of a document.
-    """
-
-    hashes: np.ndarray
-    target: np.ndarray  # counts by id, unknown and end included
-    background: np.ndarray
-
-    @property
-    def unknown(self) -> int:
-        return len(self.hashes)
-
-    @property
-    def start(self) -> int:
-        return len(self.hashes) + 1
-
-    @property
-    def end(self) -> int:
-        return len(self.hashes) + 2
-
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 3
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        return np.where(known, at, self.unknown)
+# Hashes that stand for the unknown word, the start and the end of a document.
+MARKS = np.array([0x51ED270B4D2C6A01, 0x8CB92BA72F3D8DD7, 0xD1B54A32D192ED03], U)
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,224 +65,235 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, codes[full], np.bincount(row[full], minlength=len(texts))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of a few megabytes of text, at least one row each."""
-    sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)) // 4_000_000
-    cuts = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1])) if len(sizes) else []
-    for low, high in zip(cuts, np.append(cuts[1:], batch.num_rows)):
-        yield batch.slice(low, high - low)
-
-
-def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in ascending order with the sums of their weights."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return (keys[head], *(np.add.reduceat(w[order], head) if len(keys) else w for w in weights))
-
-
-class _Counter:
-    """Counts of keys in target and background, handed on by bucket as packed rows."""
-
-    def __init__(self, buckets: int):
-        self.buckets = buckets
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.held = 0
-
-    def add(self, keys: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = _summed(keys, target.astype(np.int64), np.ones(len(keys), np.int64))
-        self.parts.append(part)
-        self.held += len(part[0])
-        if self.held >= HELD:
-            merged = _summed(*(np.concatenate(c) for c in zip(*self.parts)))
-            self.parts, self.held = [merged], len(merged[0])
-            if self.held >= HELD // 2:
-                yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        keys, target, background = _summed(*(np.concatenate(c) for c in zip(*self.parts)))
-        self.parts, self.held = [], 0
-        where = (keys * U(0x9E3779B97F4A7C15) >> U(33)) % U(self.buckets)
-        order = np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[order], np.arange(self.buckets + 1, dtype=U))
-        rows = []
-        for b, (low, high) in enumerate(zip(edges, edges[1:])):
-            if low < high:
-                some = order[low:high]
-                rows.append((
-                    b, high - low, planes(np.diff(keys[some], prepend=U(0))), planes(target[some]), planes(background[some]),
-                ))
-        if not rows:
-            return
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.record_batch(
-            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in COUNTS.split(", ")]
-        )
-
-
-def _merge(least: int):
-    """Sums of the packed counts of each bucket; entries below `least` in the background go."""
+def _parts(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.Table]:
+    """The rows of a task in parts of about `held` bytes of text, at least one row each."""
+    waiting, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low, before = 0, 0
+        while low < batch.num_rows:
+            high = max(int(np.searchsorted(ends, before + held - size, "right")), low if waiting else low + 1)
+            if high > low:
+                waiting.append(batch.slice(low, high - low))
+                size += int(ends[high - 1]) - before
+                low, before = high, int(ends[high - 1])
+            if low < batch.num_rows:
+                yield pa.Table.from_batches(waiting).combine_chunks()
+                waiting, size = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _encode(held: int, id_type: str):
+    """One row per part: ids, words and flags of its texts, word codes, distinct words and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for batch in batches:
-            for row in batch.to_struct_array():
-                r = row.as_py()
-                keys = np.cumsum(unplanes(r["keys"], r["count"]), dtype=U)
-                counts = [unplanes(r[c], r["count"]).astype(np.int64) for c in ("target", "background")]
-                by_bucket.setdefault(r["bucket"], []).append((keys, *counts))
-        for parts in by_bucket.values():
-            keys, target, background = _summed(*(np.concatenate(c) for c in zip(*parts)))
-            keep = background >= least
+        first = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(_parts(batches, held)):
+            hashes, codes, sizes = _words(part["text"].combine_chunks())
+            chosen = part["chosen"].to_numpy()
+            found = np.bincount(codes, minlength=len(hashes))
+            words, place = np.unique(hashes[found > 0], return_inverse=True)
+            to_word = np.zeros(len(hashes), np.int64)
+            to_word[found > 0] = place
+            codes = to_word[codes]
+            target = np.bincount(codes[np.repeat(chosen, sizes)], minlength=len(words))
+            background = np.bincount(codes, minlength=len(words))
+            ids = part["id"].combine_chunks()
             yield pa.record_batch({
-                "key": pa.array(keys[keep].view(np.int64)), "target": pa.array(target[keep]),
-                "background": pa.array(background[keep]),
+                "part": pa.array([first + k]), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                "n_docs": pa.array([len(ids)]), "n_target": pa.array([int(chosen.sum())]),
+                "n_words": pa.array([len(codes)]), "n_target_words": pa.array([int(target.sum())]),
+                "sizes": pa.array([planes(sizes)], pa.binary()), "chosen": pa.array([np.packbits(chosen).tobytes()], pa.binary()),
+                "codes": pa.array([planes(codes)], pa.binary()), "n_distinct": pa.array([len(words)]),
+                "words": pa.array([planes(np.diff(words, prepend=U(0)))], pa.binary()),
+                "target": pa.array([planes(target)], pa.binary()), "background": pa.array([planes(background)], pa.binary()),
             })
 
-    return run
+    return run, (
+        f"part long, ids array<{id_type}>, n_docs long, n_target long, n_words long, n_target_words long, sizes binary,"
+        " chosen binary, codes binary, n_distinct long, words binary, target binary, background binary"
+    )
 
 
-def _gathered(docs: DataFrame, count, least: int) -> DataFrame:
-    """`key`, `target`, `background` of what `count` finds, in at least `least` places."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.mapInArrow(count(parts), COUNTS)
-    return durable(found.repartition(parts, "bucket").mapInArrow(_merge(least), "key long, target long, background long"))
+def _asked(part: int, keys: np.ndarray, target: np.ndarray, background: np.ndarray, buckets: int) -> pa.Table:
+    """Rows of ascending keys and their counts in one part, by buckets that follow the order of keys."""
+    where = (keys >> U(32)) * U(buckets) >> U(32)
+    edges = np.searchsorted(where, np.arange(buckets + 1, dtype=U))
+    rows = [
+        (b, part, high - low, planes(np.diff(keys[low:high], prepend=U(0))), planes(target[low:high]), planes(background[low:high]))
+        for b, (low, high) in enumerate(zip(edges, edges[1:])) if low < high
+    ]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in ASKED.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _count_words(buckets: int):
+def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(buckets)
         for batch in batches:
-            for part in _slices(batch):
-                hashes, codes, sizes = _words(part["text"])
-                chosen = np.repeat(part["chosen"].to_numpy(zero_copy_only=False), sizes)
-                yield from counter.add(hashes[codes], chosen)
-        yield from counter.flush()
+            for r in batch.to_pylist():
+                keys = np.cumsum(unplanes(r["words"], r["n_distinct"]), dtype=U)
+                counts = (unplanes(r[c], r["n_distinct"]) for c in ("target", "background"))
+                yield from _asked(r["part"], keys, *counts, buckets).to_batches()
 
     return run
 
 
-def _tokens(texts: pa.Array, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and token ids of every place, the end of each text included, and places per text."""
-    hashes, codes, sizes = _words(texts)
-    ids = words.ids(hashes)[codes]
-    places = sizes + 1
-    ends = np.cumsum(places) - 1
-    token = np.full(int(places.sum()), words.end, np.int64)
-    inner = np.ones(len(token), bool)
-    inner[ends] = False
-    token[inner] = ids
-    context = np.empty(len(token), np.int64)
-    context[1:] = token[:-1]
-    context[np.append(0, ends[:-1] + 1)[:len(ends)]] = words.start
-    return context, token, places
-
-
-def _count_pairs(words):
-    def with_buckets(buckets: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary = Vocabulary(*words.value)
-            counter = _Counter(buckets)
-            for batch in batches:
-                for part in _slices(batch):
-                    context, token, places = _tokens(part["text"], vocabulary)
-                    chosen = np.repeat(part["chosen"].to_numpy(zero_copy_only=False), places)
-                    yield from counter.add((context * vocabulary.size + token).astype(U), chosen)
-            yield from counter.flush()
-
-        return run
-
-    return with_buckets
-
-
-@dataclass
-class Models:
-    """Retained bigrams by code (context * vocabulary size + token), with counts in both corpora."""
-
-    words: Vocabulary
-    codes: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
-    target_docs: int
-    background_docs: int
-
-    def losses(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Minus the log probability of every token after its context, in target and background."""
-        code = context * self.words.size + token
-        at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
-        known = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-        found = []
-        for unigrams, pairs, docs in (
-            (self.words.target, self.target, self.target_docs), (self.words.background, self.background, self.background_docs)
-        ):
-            # The start is never predicted: the vocabulary proper has one id less.
-            word = (unigrams[token] + WORD_PRIOR) / (unigrams.sum() + WORD_PRIOR * (self.words.size - 1))
-            seen = np.where(context == self.words.start, docs, unigrams[context])
-            pair = np.where(known, pairs[at], 0) if len(self.codes) else 0
-            found.append(-np.log((pair + CONTEXT_PRIOR * word) / (seen + CONTEXT_PRIOR)))
-        return found[0], found[1]
-
-
-def _score(words, pairs, target_docs: int, background_docs: int):
+def _answer(least: int):
+    """For each row that asks, the sums over all parts; on one row of a bucket what it has in `least` places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Models(Vocabulary(*words.value), *pairs.value, target_docs, background_docs)
+        by_bucket: dict[int, list[dict]] = {}
         for batch in batches:
-            for part in _slices(batch):
-                context, token, places = _tokens(part["text"], both.words)
-                heads = np.append(0, np.cumsum(places)[:-1])
-                target, background = (np.add.reduceat(x, heads) / places for x in both.losses(context, token))
-                yield pa.record_batch({
-                    "id": part["id"], "n_tokens": pa.array(places.astype(np.int64)), "target_loss": pa.array(target),
-                    "background_loss": pa.array(background), "score": pa.array(target - background),
-                })
+            for r in batch.to_pylist():
+                by_bucket.setdefault(r["bucket"], []).append(r)
+        for bucket in list(by_bucket):
+            asked = by_bucket.pop(bucket)
+            keys = np.concatenate([np.cumsum(unplanes(r["keys"], r["count"]), dtype=U) for r in asked])
+            distinct, place = np.unique(keys, return_inverse=True)
+            sums = []
+            for c in ("target", "background"):
+                total = np.zeros(len(distinct), np.int64)
+                np.add.at(total, place, np.concatenate([unplanes(r[c], r["count"]) for r in asked]).astype(np.int64))
+                sums.append(total)
+            known = sums[1] >= least
+            stats = [int(known.sum()), int(sums[0][known].sum()), int(sums[1][known].sum())]
+            edges = np.cumsum([0, *(r["count"] for r in asked)])
+            rows = [
+                (r["part"], bucket, r["count"], *(planes(x[place[low:high]]) for x in sums), *(stats if not low else (0, 0, 0)))
+                for r, low, high in zip(asked, edges, edges[1:])
+            ]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch(
+                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in ANSWERED.split(", ")]
+            )
+
+    return run
+
+
+def _sums(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all parts of one part's keys, in the order of the keys."""
+    rows = sorted((r for r in answers.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
+    return tuple(
+        np.concatenate([np.zeros(0, np.int64), *(unplanes(r[c], r["count"]).astype(np.int64) for r in rows)])
+        for c in ("target", "background")
+    )
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+class _Part:
+    """The places of one part: its words, then the unknown word, the start and the end by number."""
+
+    def __init__(self, row: dict, answers: pa.Table, least: int):
+        self.number, self.ids = row["part"], row["ids"]
+        hashes = np.concatenate([np.cumsum(unplanes(row["words"], row["n_distinct"]), dtype=U), MARKS])
+        self.target, self.background = _sums(answers, 0)
+        self.unknown, self.start, self.end = np.arange(row["n_distinct"], row["n_distinct"] + 3)
+        ids = np.where(self.background >= least, np.arange(row["n_distinct"]), self.unknown)
+        self.sizes = unplanes(row["sizes"], row["n_docs"]).astype(np.int64)
+        self.places = self.sizes + 1
+        ends = np.cumsum(self.places) - 1
+        self.heads = ends - self.sizes
+        token = np.full(int(self.places.sum()), self.end, np.int64)
+        inner = np.ones(len(token), bool)
+        inner[ends] = False
+        token[inner] = ids[unplanes(row["codes"], row["n_words"]).astype(np.int64)]
+        context = np.empty(len(token), np.int64)
+        context[1:] = token[:-1]
+        context[self.heads] = self.start
+        keys = _mixed(hashes[context] ^ _mixed(hashes[token] + U(0x9E3779B97F4A7C15)))
+        # Distinct bigrams in the order of their keys, one of the places of each, and the bigram at every place.
+        self.keys, at, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+        self.context, self.token = context[at], token[at]
+        chosen = np.unpackbits(np.frombuffer(row["chosen"], np.uint8), count=row["n_docs"]).astype(bool)
+        self.chosen = np.repeat(chosen, self.places)
+
+
+def _ask_pairs(buckets: int, least: int):
+    def run(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        part = _Part(parts.to_pylist()[0], answers, least)
+        target = np.bincount(part.pair[part.chosen], minlength=len(part.keys))
+        return _asked(part.number, part.keys, target, np.bincount(part.pair, minlength=len(part.keys)), buckets)
 
     return run
 
 
-def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = counts.toArrow().sort_by("key")
-    return tuple(table[c].to_numpy().copy() for c in ("key", "target", "background"))
+def _score(least: int, pair_least: int, size: int, sides: list[tuple[int, int, int]]):
+    """`size` counts the known words; `sides` has unknown words, all words and documents of target and background."""
+
+    def run(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        part = _Part(parts.to_pylist()[0], answers, least)
+        pairs = _sums(answers, 1)
+        known = pairs[1] >= pair_least
+        found = []
+        for own, both, (unknown, words, docs) in zip((part.target, part.background), pairs, sides):
+            unigrams = np.concatenate([own, [unknown, 0, docs]])
+            # The start is never predicted: the known words, the unknown one and the end are.
+            word = (unigrams[part.token] + WORD_PRIOR) / (words + docs + WORD_PRIOR * (size + 2))
+            seen = np.where(part.context == part.start, docs, unigrams[part.context])
+            loss = -np.log((np.where(known, both, 0) + CONTEXT_PRIOR * word) / (seen + CONTEXT_PRIOR))
+            found.append(np.add.reduceat(loss[part.pair], part.heads) / part.places)
+        return pa.table({
+            "id": parts["ids"].combine_chunks().flatten(), "n_tokens": pa.array(part.places), "target_loss": pa.array(found[0]),
+            "background_loss": pa.array(found[1]), "score": pa.array(found[0] - found[1]),
+        })
+
+    return run
 
 
 def scores(
     docs: DataFrame, id_col: str, text_col: str, target_col: str, *,
-    min_share: float = MIN_SHARE, pair_share: float = PAIR_SHARE,
+    min_share: float | None = None, pair_share: float | None = None,
 ) -> DataFrame:
     """`id`, `n_tokens`, `target_loss`, `background_loss`, `score` for every row of `docs`.
 
     `target_col` is a boolean; null counts as false. Losses are means in nats per token; the
     end of a text is its last token, so a null or empty text has one. Repeated rows count
     and are scored each. Without target documents the target model is its priors; an empty
-    table gives no rows. Other columns are not read. The driver holds the two bounded tables.
+    table gives no rows. Other columns are not read. Shares of all words and tokens, where
+    given, replace the fixed counts from which words and bigrams are kept.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(target_col), F.lit(False)).alias("chosen"),
     )
-    words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    total, target_total, n_docs, n_target = rows.select("chosen", words.alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("chosen"), F.col("n"))), F.lit(0)),
-        F.count(F.lit(1)), F.count_if("chosen"),
-    ).first()
-    least = max(1, int(np.ceil(min_share * total)))
-    hashes, target, background = _collected(_gathered(rows.select("text", "chosen"), _count_words, least))
-    order = np.argsort(hashes.view(U))
-    target, background = target[order], background[order]
-    # Plain arrays, as workers may read broadcasts before they know this package.
-    vocabulary = (
-        hashes.view(U)[order],
-        np.concatenate([target, [target_total - target.sum(), 0, n_target]]),
-        np.concatenate([background, [total - background.sum(), 0, n_docs]]),
-    )
-    shared = spark.sparkContext.broadcast(vocabulary)
-    least = max(1, int(np.ceil(pair_share * (total + n_docs))))
-    codes, target, background = _collected(_gathered(rows.select("text", "chosen"), _count_pairs(shared), least))
-    pairs = spark.sparkContext.broadcast((codes, target, background))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("id", "text").mapInArrow(
-        _score(shared, pairs, n_target, n_docs), f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    parts = durable(rows.mapInArrow(*_encode(HELD, kind)))
+    totals = ["n_words", "n_target_words", "n_docs", "n_target"]
+    total, target_total, n_docs, n_target = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in totals]).first()
+    least = MIN_COUNT if min_share is None else max(1, int(np.ceil(min_share * total)))
+    pair_least = PAIR_COUNT if pair_share is None else max(1, int(np.ceil(pair_share * (total + n_docs))))
+
+    def answered(asked: DataFrame, least: int) -> DataFrame:
+        answers = durable(asked.repartition(buckets, "bucket").mapInArrow(_answer(least), ANSWERED))
+        release_shuffles(spark)
+        return answers
+
+    words = answered(parts.select("part", "n_distinct", "words", "target", "background").mapInArrow(_ask_words(buckets), ASKED), least)
+    size, known_target, known = words.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("known", "known_target", "known_background")]).first()
+    places = parts.select("part", "ids", "n_docs", "n_words", "sizes", "chosen", "codes", "n_distinct", "words")
+
+    def with_answers(answers: DataFrame, run, schema: str) -> DataFrame:
+        return places.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, schema)
+
+    def told(answers: DataFrame, kind: int) -> DataFrame:
+        return answers.select("part", "bucket", "count", "target", "background", F.lit(kind).alias("kind"))
+
+    asked = with_answers(told(words, 0), _ask_pairs(buckets, least), ASKED)
+    pairs = answered(asked, pair_least)
+    sides = [(target_total - known_target, target_total, n_target), (total - known, total, n_docs)]
+    return with_answers(
+        told(words, 0).unionByName(told(pairs, 1)), _score(least, pair_least, size, sides),
+        f"id {kind}, n_tokens long, target_loss double, background_loss double, score double",
     )

@@ -142,6 +142,18 @@ def test_scores_equal_brute_force(spark, monkeypatch, shares):
         assert mean[True] < mean[False]
 
 
+def test_rare_words_of_the_target_are_kept_whatever_the_size_of_the_corpus(spark):
+    # 1.2 million words: by share of all tokens, words and bigrams found once would be unknown.
+    rows = [(1, "rareone raretwo common", True), (2, "raretwo rareone common", False)]
+    rows += [(10 + i, "common " * 20_000, False) for i in range(60)]
+    frame = spark.createDataFrame([(*r, 1, "c", 2) for r in rows], SCORED)
+    got = {r["id"]: r for r in lm_difference.scores(frame, "doc_id", "text", "good").collect()}
+    want = dict(zip((r[0] for r in rows), brute_scores(rows, 0, 0)))
+    for i in got:
+        assert np.allclose((got[i]["n_tokens"], got[i]["target_loss"], got[i]["background_loss"]), want[i], rtol=1e-9)
+    assert got[1]["score"] < got[2]["score"]
+
+
 def test_scores_of_no_rows_no_words_and_no_target(spark):
     assert lm_difference.scores(spark.createDataFrame([], SCORED), "doc_id", "text", "good").count() == 0
     bare = spark.createDataFrame([(1, None, None, 1, "", 1), (2, "", None, 1, "", 1)], SCORED)
