@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over `documents`, each written and read again by the next.
 
 The stages before the last return the columns of `documents`; the last returns one row per
-packed piece.
+packed piece with its token ids, from which windows are built without the documents.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training windows of near-equal fill."""
-    return kk_packing.pack(docs).withColumnRenamed("id", "doc_id")
+    """Pieces of the documents, with their token ids, in training windows of near-equal fill."""
+    return kk_packing.pack(docs, with_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -32,6 +32,8 @@ PIECE = 512
 GROUP_WINDOWS = 128
 END_ID = 1
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+# Ids of finished pieces that a task holds before it hands them on.
+IDS_HELD = 500_000
 
 
 def differencing(sizes: list[int], k: int) -> list[int]:
@@ -129,9 +131,11 @@ class _Packer:
         self.rows: list[tuple] = []
         self.pending: list[tuple] = []
         self.waiting = 0
+        self.held = 0  # ids in `rows`
 
     def _put(self, doc, start: int, ids: np.ndarray, tokens: int, sequence: int, offset: int) -> None:
         crc = zlib.crc32(ids.astype("<u4").tobytes())
+        self.held += len(ids) if self.with_ids else 0
         self.rows.append((doc, start, len(ids), crc, tokens, sequence, offset, ids if self.with_ids else None))
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -157,7 +161,7 @@ class _Packer:
 
     def take(self, docs_type: pa.DataType) -> pa.RecordBatch:
         columns = list(zip(*self.rows))
-        self.rows = []
+        self.rows, self.held = [], 0
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         data = {n: pa.array(c, docs_type if n == "id" else pa.int64()) for n, c in zip(names, columns)}
         if self.with_ids:
@@ -195,7 +199,7 @@ def pack(
             id_type = batch.schema.field("id").type
             for doc, text in zip(batch["id"].to_pylist(), batch["text"]):
                 packer.add(doc, np.append(encode(text.as_py()), np.uint32(END_ID)))
-                if len(packer.rows) >= 20_000:
+                if len(packer.rows) >= 20_000 or packer.held >= IDS_HELD:
                     yield packer.take(id_type)
         packer.flush()
         if packer.rows:

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from plumbline.llm import adaptive_quality, revisits, simhash_bk, suffix_dedup, water_filling
+from plumbline.llm import adaptive_quality, kk_packing, revisits, simhash_bk, suffix_dedup, water_filling
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0] + "/tools")
 from check import rows as canonical_rows  # noqa: E402
@@ -118,6 +118,26 @@ def test_pipeline_runs_on_its_own_stages(spark):
     assert empty.count() == 0
 
 
+def test_training_windows_can_be_built_from_what_the_pipeline_returns(spark, monkeypatch):
+    monkeypatch.setattr(kk_packing, "IDS_HELD", 1_000)
+    texts = {1: "one two three " * 3_000, 2: "four", 3: "", 4: "five six " * 50}
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(4, texts[4], "en", "s", len(texts[4]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    pieces = corpus_pipeline.pack_windows(spark, docs, SF).collect()
+    encode = kk_packing.Encoder(kk_packing.tokenizer_folder())
+    want = sorted((i, [*encode(t).tolist(), kk_packing.END_ID]) for i, t, *_ in rows)
+    windows, whole = {}, {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        window = windows.setdefault(p["sequence_id"], [])
+        assert p["offset"] == len(window) and p["length"] == len(p["ids"])
+        window += p["ids"]
+        whole.setdefault(p["doc_id"], []).extend([(p["start"], p["ids"])])
+    assert max(map(len, windows.values())) <= kk_packing.CAPACITY
+    assert sorted(x for w in windows.values() for x in w) == sorted(x for _, ids in want for x in ids)
+    for i in (1, 2, 3):
+        assert [x for _, ids in sorted(whole[i]) for x in ids] == dict(want)[i]
+
+
 LLM = sorted(k for k in entry.oracle_sql() if k.startswith("op"))
 
 
