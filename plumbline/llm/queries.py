@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import lookup_join
-from . import adaptive_quality, captures, chat_prefix, kk_packing, licence_rules, lm_difference, pstable_lsh, revisits, simhash_bk, sql, suffix_dedup, water_filling
+from . import (
+    adaptive_quality, captures, chat_prefix, kk_packing, licence_rules, lm_difference, pstable_lsh, revisits, simhash_bk,
+    source_divergence, sql, suffix_dedup, water_filling,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,3 +102,8 @@ def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = revisits.resolve_revisits(captures.captures(_table(spark, sf_dir, "pages")))
     return resolved.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
+@_query(sql.source_divergence())
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))

@@ -285,3 +285,40 @@ def revisits() -> str:
                CASE WHEN good THEN list_concat(list_filter(old, lambda x: NOT list_contains(names, lower(x.name))), update_) ELSE new END,
                lambda x: lower(x.name) || ': ' || x.value)), chr(10)) AS headers
     FROM merged"""
+
+
+def source_divergence() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {lower} AS t
+        FROM documents
+    ), w AS (
+        SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+    ), kept AS (
+        SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 3
+    ), c AS (
+        SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+    ), g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+    s AS (
+        SELECT g.lang, g.source, v, lang_n, coalesce(sum(c.n), 0) AS size
+        FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL
+    ), p AS (
+        SELECT s.lang, s.source, kept.term, coalesce(c.n, 0) AS n,
+            1 + 1000000000 * (coalesce(c.n, 0) + 1) // (size + v) AS p, 1 + 1000000000 * (total + 1) // (lang_n + v) AS q
+        FROM s JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+    ), pair AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), every AS (
+        SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+        FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source
+        LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = h.source
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """
