@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import lookup_join
 from . import (
-    adaptive_quality, captures, chat_prefix, kk_packing, licence_rules, lm_difference, pstable_lsh, revisits, simhash_bk,
-    source_divergence, sql, suffix_dedup, water_filling,
+    adaptive_quality, captures, chat_prefix, hard_negatives, kk_packing, licence_rules, lm_difference, pstable_lsh, revisits,
+    simhash_bk, source_divergence, sql, suffix_dedup, water_filling,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,9 @@ def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(sql.source_divergence())
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+@_query(sql.hard_negatives())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label=label)

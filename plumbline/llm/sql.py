@@ -322,3 +322,28 @@ def source_divergence() -> str:
     )
     SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
     """
+
+
+def hard_negatives() -> str:
+    return """
+    WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scores AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+        FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND len(a.q) = len(b.q) AND a.vec_id <> b.vec_id
+    ), positive AS (
+        SELECT anchor_id, id, score FROM scores WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+    ), negative AS (
+        SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+            row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+        FROM positive AS p JOIN scores AS s ON p.anchor_id = s.anchor_id AND NOT s.same
+            AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    )
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+    FROM negative WHERE rank <= 10
+    """
