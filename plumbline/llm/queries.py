@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import lookup_join
 from . import (
     adaptive_quality, captures, chat_prefix, hard_negatives, kk_packing, licence_rules, lm_difference, pstable_lsh, revisits,
-    simhash_bk, source_divergence, sql, suffix_dedup, water_filling,
+    shard_propagation, simhash_bk, source_divergence, sql, suffix_dedup, water_filling,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,9 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label=label)
+
+
+@_query()
+def op11_shard_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_propagation.shards(_table(spark, sf_dir, "documents"))
+    return placed.withColumnRenamed("id", "doc_id").withColumn("grown_shard", F.lit(None).cast("int"))
