@@ -105,9 +105,10 @@ def _asked(state: DataFrame, closed: set[int], most: list[float], seed: int) ->
     shut = F.array(*map(F.lit, sorted(closed))) if closed else F.array().cast("array<int>")
     open_votes = F.filter("votes", lambda v: ~F.array_contains(shut, v["shard"]))
 
-    def of(shard: Column) -> Column:
+    def of(shard: Column) -> Column:  # a document with several links counts itself once
         same = F.filter("votes", lambda v: v["shard"] == shard)
-        return F.aggregate(same, F.lit(0).cast("long"), lambda t, v: t + v["n"])
+        itself = F.when(shard == F.col("shard"), 1 - F.size("links")).otherwise(0).cast("long")
+        return F.aggregate(same, itself, lambda t, v: t + v["n"])
 
     best = F.array_max(F.transform(open_votes, lambda v: F.struct(of(v["shard"]).alias("n"), v["draw"].alias("draw"), v["shard"].alias("shard"))))
     gain = F.floor(F.log2(F.greatest(F.col("best.n") - of(F.col("shard")) + 1, F.lit(1)))).cast("int")
