@@ -207,7 +207,7 @@ SELECT room, CAST(plane AS INTEGER) AS plane, CAST(inliers AS BIGINT) AS inliers
        round(ny, 6) AS upright FROM best""")
 def floor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of 400 drawn planes per room, none steeper than 35 degrees, over the whole low slice."""
-    low = durable(level.lowest_rows(_confident(spark, sf_dir), _straight_up(spark, sf_dir), [], 0.9, 100, _point_draw()))
+    low = level.lowest_rows(_confident(spark, sf_dir), _straight_up(spark, sf_dir), [], 0.9, 100, _point_draw())
     found = level.floor_search(low.where("n_low >= 50"), tolerance=0.03, max_tilt_deg=35.0, iterations=400)
     return found.select("room", "plane", "inliers", "n_low", F.round(F.col("normal")[1], 6).alias("upright"))
 
@@ -269,27 +269,122 @@ def floor_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _dot_sql(a: str, b: str) -> str:
+    return " + ".join(f"{a}{i} * {b}{i}" for i in range(3))
+
+
+_FLAT = "CASE WHEN flat_dot >= " + _COS + " THEN f[{}] ELSE n{} END"
+
+# The whole estimate: prior from the poses, floor search along it, refit, agreement and trust.
+_ESTIMATE = d.with_tables("points", "cameras") + f""",
+downs AS (SELECT room, (frame_idx - 4) * {_D.format(0.02)} AS d0, {_D.format(1)} AS d1, ey * {_D.format(0.5)} - {_D.format(0.05)} AS d2 FROM cameras),
+units AS (SELECT room, d0 / s AS d0, d1 / s AS d1, d2 / s AS d2 FROM (SELECT *, sqrt({_dot_sql("d", "d")}) AS s FROM downs)),
+means AS (SELECT room, avg(d0) AS m0, avg(d1) AS m1, avg(d2) AS m2 FROM units GROUP BY room),
+sized_means AS (SELECT *, sqrt({_dot_sql("m", "m")}) AS mag FROM means),
+posed AS (
+  SELECT room, any_value(-m0 / mag) AS u0, any_value(-m1 / mag) AS u1, any_value(-m2 / mag) AS u2,
+         avg(degrees(acos(least(greatest(({_dot_sql("d", "m")}) / mag, -1), 1)))) AS tilt
+  FROM units JOIN sized_means USING (room) GROUP BY room),
+usable AS (
+  SELECT p.*, u0, u1, u2, x * u0 + y * u1 + z * u2 AS h, count(*) OVER (PARTITION BY room) AS n
+  FROM points p JOIN posed USING (room) WHERE conf),
+cut AS (SELECT room, quantile_cont(h, CAST(0.25 AS DOUBLE)) AS q FROM usable WHERE n >= 100 GROUP BY room),
+low AS (
+  SELECT room, x, y, z, u0, u1, u2, (frame_idx::BIGINT * 7919 + v::BIGINT * 104729 + u::BIGINT * 1299709 + r::BIGINT * 15485863 + g::BIGINT * 49979687) * 40503 % 4294967296 AS draw,
+         count(*) OVER (PARTITION BY room) AS n_low
+  FROM usable JOIN cut USING (room) WHERE h <= q QUALIFY n_low >= 50),
+picks AS (
+  SELECT room, u0, u1, u2, draw % least(1200, n_low) AS slot, min({{'draw': draw, 'x': x, 'y': y, 'z': z}}) AS p FROM low GROUP BY ALL),
+arrays AS (SELECT room, u0, u1, u2, list(p ORDER BY slot) AS p, count(*) AS b FROM picks GROUP BY room, u0, u1, u2),
+drawn AS (
+  SELECT room, u0, u1, u2, i AS plane, p[1 + i % b] AS a, p[1 + (i * 7 + i // b + 1) % b] AS q, p[1 + (i * 13 + i // b * 2 + 2) % b] AS r
+  FROM arrays, range(0, 400) t(i) WHERE b >= 3),
+crossed AS (
+  SELECT *, (q.y - a.y) * (r.z - a.z) - (q.z - a.z) * (r.y - a.y) AS c0, (q.z - a.z) * (r.x - a.x) - (q.x - a.x) * (r.z - a.z) AS c1,
+         (q.x - a.x) * (r.y - a.y) - (q.y - a.y) * (r.x - a.x) AS c2 FROM drawn),
+turned AS (SELECT *, sqrt({_dot_sql("c", "c")}) * CASE WHEN {_dot_sql("c", "u")} < 0 THEN -1 ELSE 1 END AS s FROM crossed),
+planes AS (
+  SELECT room, plane, c0 / s AS n0, c1 / s AS n1, c2 / s AS n2, c0 / s * a.x + c1 / s * a.y + c2 / s * a.z AS o
+  FROM turned WHERE abs(s) >= 1e-9 AND c0 / s * u0 + c1 / s * u1 + c2 / s * u2 >= {_COS}),
+best AS (
+  SELECT l.room, plane, n0, n1, n2, o, count(*) FILTER (abs(n0 * x + n1 * y + n2 * z - o) < 0.03) AS inliers, any_value(n_low) AS n_low
+  FROM low l JOIN planes p ON l.room = p.room GROUP BY l.room, plane, n0, n1, n2, o
+  QUALIFY row_number() OVER (PARTITION BY l.room ORDER BY inliers DESC, plane) = 1),
+m AS (
+  SELECT room, n0, n1, n2, o, u0, u1, u2, inliers / CAST(f.n_low AS DOUBLE) AS share, avg(x) AS mx, avg(y) AS my, avg(z) AS mz,
+         covar_pop(x, x) AS c00, covar_pop(x, y) AS c01, covar_pop(x, z) AS c02, covar_pop(y, y) AS c11,
+         covar_pop(y, z) AS c12, covar_pop(z, z) AS c22
+  FROM low l JOIN best f USING (room) WHERE inliers > 0 AND inliers >= 0.1 * f.n_low AND abs(n0 * x + n1 * y + n2 * z - o) < 0.03
+  GROUP BY room, n0, n1, n2, o, u0, u1, u2, inliers, f.n_low),
+q AS (SELECT *, (c00 + c11 + c22) / 3 AS q FROM m),
+p AS (SELECT *, sqrt(((c00 - q) ** 2 + (c11 - q) ** 2 + (c22 - q) ** 2 + 2 * (c01 * c01 + c02 * c02 + c12 * c12)) / 6) AS p FROM q),
+least_ AS (
+  SELECT *, q + 2 * p * cos(acos(least(greatest(((c00 - q) * ((c11 - q) * (c22 - q) - c12 * c12) - c01 * (c01 * (c22 - q) - c12 * c02)
+            + c02 * (c01 * c12 - (c11 - q) * c02)) / (p * p * p) / 2, -1), 1)) / 3 + 2 * pi() / 3) AS e FROM p),
+crosses AS (SELECT *, unnest([{_row_cross(0, 1)}, {_row_cross(0, 2)}, {_row_cross(1, 2)}]) AS v FROM least_),
+flat AS (
+  SELECT *, list_transform(v, lambda t: t / sqrt(list_dot_product(v, v)) * CASE WHEN v[1] * u0 + v[2] * u1 + v[3] * u2 < 0 THEN -1 ELSE 1 END) AS f
+  FROM crosses QUALIFY row_number() OVER (PARTITION BY room ORDER BY list_dot_product(v, v) DESC) = 1),
+floors AS (
+  SELECT *, {", ".join(f"{_FLAT.format(i + 1, i)} AS k{i}" for i in range(3))},
+         CASE WHEN flat_dot >= {_COS} THEN f[1] * mx + f[2] * my + f[3] * mz ELSE o END AS floor_offset
+  FROM (SELECT *, f[1] * u0 + f[2] * u1 + f[3] * u2 AS flat_dot FROM flat)),
+agreed AS (SELECT *, degrees(acos(least(greatest({_dot_sql("k", "u")}, -1), 1))) AS agreement FROM floors),
+heights AS (SELECT room, quantile_cont(h, CAST(0.01 AS DOUBLE)) AS lowest FROM usable GROUP BY room),
+estimate AS (
+  SELECT s.room, {", ".join(f"coalesce(k{i}, s.u{i}) AS up{i}" for i in range(3))}, coalesce(floor_offset, lowest, 0) AS floor_offset,
+         round(CASE WHEN k0 IS NULL THEN greatest(1 - tilt / 60, 0) * 0.7
+               ELSE pow(least(greatest(1 - tilt / 60, 0), 1) * least(greatest(share / 0.35, 0), 1) * least(greatest(1 - agreement / 30, 0), 1),
+                        CAST(1 AS DOUBLE) / 3) END, 3) AS confidence,
+         CASE WHEN k0 IS NULL THEN 'poses' ELSE 'poses+floor' END AS source
+  FROM posed s LEFT JOIN agreed USING (room) LEFT JOIN heights USING (room))"""
+
+
+def _leaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras that lean sideways along the path and forward by room."""
+    sideways = (F.col("frame_idx") - 4) * F.lit(0.02)
+    forward = F.col("pose")[7] * 0.5 - F.lit(0.05)
+    turned = F.transform("pose", lambda c, i: F.when(i == 1, sideways).when(i == 9, forward).otherwise(c))
+    return d.cameras(spark, sf_dir).withColumn("pose", turned)
+
+
+IDENTITY = ["frame_idx", "v", "u", "r", "g"]
+
+
+@query(_ESTIMATE + f"""
+SELECT room, {", ".join(f"round(up{i}, 4) AS up{i}" for i in range(3))}, round(floor_offset, 4) AS floor_offset, confidence, source FROM estimate""")
 def estimate_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full up estimate of every derived room from its cameras and points."""
-    est = level.estimate_up(
-        d.points(spark, sf_dir).where("conf"), d.cameras(spark, sf_dir), ["frame_idx", "v", "u", "z"]
-    )
+    est = level.estimate_up(_confident(spark, sf_dir), _leaning(spark, sf_dir), IDENTITY, draw=_point_draw())
     return est.select(
-        "room", *[F.round(F.col("up")[i], 6).alias(f"up{i}") for i in range(3)],
-        F.round("floor_offset", 6).alias("floor_offset"), "confidence", "source",
+        "room", *[F.round(F.col("up")[i], 4).alias(f"up{i}") for i in range(3)],
+        F.round("floor_offset", 4).alias("floor_offset"), "confidence", "source",
     )
 
 
-@query()
+@query(_ESTIMATE + """,
+unit AS (
+  SELECT room, floor_offset, up0 / s AS a, up1 / s AS b, up2 / s AS c, 1 + up1 / s AS w
+  FROM (SELECT *, sqrt(up0 * up0 + up1 * up1 + up2 * up2) AS s FROM estimate)),
+turn AS (
+  SELECT room, floor_offset, CASE WHEN w < 1e-12 THEN [1, 0, 0, 0, -1, 0, 0, 0, -1]
+         ELSE [1 - a * a / w, -a, -a * c / w, a, b, c, -a * c / w, -c, 1 - c * c / w] END AS t FROM unit),
+moved AS (
+  SELECT room, floor_offset, t[1] * x + t[2] * y + t[3] * z AS x, t[4] * x + t[5] * y + t[6] * z AS y, t[7] * x + t[8] * y + t[9] * z AS z
+  FROM points JOIN turn USING (room) WHERE conf)
+SELECT room, count(*) AS n, round(min(x) - median(x), 4) AS min_x, round(min(y) - any_value(floor_offset), 4) AS min_y,
+       round(min(z) - median(z), 4) AS min_z, round(max(x) - median(x), 4) AS max_x,
+       round(max(y) - any_value(floor_offset), 4) AS max_y, round(max(z) - median(z), 4) AS max_z
+FROM moved GROUP BY room""")
 def level_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimate, transform and move every derived room; its levelled bounds."""
-    pts, cams = d.points(spark, sf_dir).where("conf"), d.cameras(spark, sf_dir)
-    est = durable(level.estimate_up(pts, cams, ["frame_idx", "v", "u", "z"]))
+    # Every step reads these few columns again: they are derived once.
+    pts = durable(_confident(spark, sf_dir).select("room", *IDENTITY, "x", "y", "z"))
+    est = durable(level.estimate_up(pts, _leaning(spark, sf_dir), IDENTITY, draw=_point_draw()))
     applied = durable(level.levelling_transforms(est, pts))
     return level.move_points(pts, applied).groupBy("room").agg(
-        F.count(F.lit(1)).alias("n"), *[F.round(F.min(c), 6).alias(f"min_{c}") for c in "xyz"],
-        *[F.round(F.max(c), 6).alias(f"max_{c}") for c in "xyz"],
+        F.count(F.lit(1)).alias("n"), *[F.round(F.min(c), 4).alias(f"min_{c}") for c in "xyz"],
+        *[F.round(F.max(c), 4).alias(f"max_{c}") for c in "xyz"],
     )
 
 
