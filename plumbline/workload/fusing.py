@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import labels as lab
-from ..operators import fusion
+from ..operators import fusion, proximity
 from . import derive as d
 from .registry import query
 
@@ -109,3 +109,39 @@ FROM means"""
 )
 def radius_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.radius_summary(d.observations(spark, sf_dir), ["room"], 0.30, 0.50)
+
+
+_SEEN = d.with_tables("observations", "names") + f""",
+classes(name, canonical) AS (VALUES {_CLASSES}),
+boxed AS (
+  SELECT room, id, frame_idx, coalesce(canonical, n.name) AS class,
+         [cx - hx, cy - hy, cz - hz, cx + hx, cy + hy, cz + hz] AS box
+  FROM (SELECT *, CASE WHEN turned THEN e2 ELSE e0 END / 2 AS hx, e1 / 2 AS hy, CASE WHEN turned THEN e0 ELSE e2 END / 2 AS hz FROM names) n
+  LEFT JOIN classes c ON c.name = n.name)"""
+
+
+@query(_SEEN + f"""
+SELECT DISTINCT o.room, o.id, m.frame_idx FROM (SELECT * FROM boxed) o
+JOIN (SELECT room, frame_idx, class, box AS b FROM boxed) m
+  ON o.room = m.room AND o.class = m.class AND o.frame_idx <> m.frame_idx AND {_OVERLAPS}""")
+def seen_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other frames of the room with a sighting that meets each sighting in label and box."""
+    seen = d.observations(spark, sf_dir)
+    members = seen.select("room", F.col("frame_idx").alias("cluster"), "label", "obb")
+    met = proximity.any_member(seen, members, carry=["frame_idx"])
+    return met.where(F.col("cluster") != F.col("frame_idx")).select("room", "id", F.col("cluster").alias("frame_idx"))
+
+
+@query(d.with_tables("observations", "names") + """,
+spots AS (SELECT room, min(id) AS centre, avg(cx) AS x, avg(cy) AS y, avg(cz) AS z FROM names GROUP BY room, frame_idx, name),
+reach AS (
+  SELECT n.room, n.id, centre, sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y) + (cz - z) * (cz - z)) AS distance
+  FROM names n JOIN spots s ON n.room = s.room)
+SELECT room, id, centre, round(distance, 6) AS distance FROM reach WHERE distance <= 0.8
+QUALIFY row_number() OVER (PARTITION BY room, id ORDER BY distance, centre) = 1""")
+def nearest_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest mean position of a frame and label in the room of each sighting, up to 0.8 m away."""
+    at = [F.col("centroid")[i].alias(c) for i, c in enumerate("xyz")]
+    seen = d.observations(spark, sf_dir).select("room", "id", "frame_idx", lab.normalize("label").alias("name"), *at)
+    spots = seen.groupBy("room", "frame_idx", "name").agg(F.min("id").alias("centre"), *[F.avg(c).alias(c) for c in "xyz"])
+    return proximity.nearest(seen, spots, 0.8).withColumn("distance", F.round("distance", 6))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from plumbline.functions import labels as lab
 from plumbline.operators import fusion
 
 SCHEMA = (
@@ -19,29 +20,31 @@ def table(spark, sights, room="r"):
     return spark.createDataFrame([[room, i, *s] for i, s in enumerate(sights)], SCHEMA)
 
 
-def scenarios():
-    rng = np.random.default_rng(1)
-    sofa, mug = (2.2, 0.9, 0.9), (0.09, 0.12, 0.09)
-    return {
-        "repeat": [sight(i, "chair", np.array([1, 0, 2]) + rng.normal(0, 0.04, 3)) for i in range(5)]
-        + [sight(0, "desk", (3, 0, 2))],
-        "square": [sight(i, "chair", p) for i, p in enumerate([(0, 0, 0), (2.5, 0, 0), (0, 0, 2.5), (2.5, 0, 2.5)])],
-        "close": [sight(0, "monitor", (1, 0, 2)), sight(1, "desk", (1.02, 0, 2))],
-        "names": [sight(0, "monitor", (1, 0, 2)), sight(1, "computer screen", (1.02, 0, 2)), sight(2, "Display", (1, 0.03, 2))],
-        "sofas": [sight(0, "sofa", (0, 0, 0), extent=sofa), sight(1, "sofa", (0.7, 0, 0), extent=sofa)],
-        "mugs": [sight(0, "mug", (0, 0, 0), extent=mug), sight(1, "mug", (0.7, 0, 0), extent=mug)],
-        "tight": [sight(i, "chair", (0.01 * i, 0, 0)) for i in range(5)],
-        "loose": [sight(i, "chair", (0.12 * i, 0, 0)) for i in range(5)],
-        "once": [sight(0, "chair", (0, 0, 0))],
-        "unsure": [sight(0, "chair", (0, 0, 0), conf=0.3)],
-        "odd": [sight(0, "wombat", (0, 0, 0)), sight(1, "quokka", (0.02, 0, 0))],
-        "near": [sight(0, "desk", (0, 0, 0)), sight(1, "table", (0.02, 0, 0))],
-        "ladder": [sight(i, "box", (x, 0, 0), extent=(0.3, 0.3, 0.3)) for i, x in enumerate((0, 0.15, 0.45, 0.9, 1.8, 3.6))],
-    }
-
-
-def fuse_all(spark, **knobs):
-    rows = [[room, i, *s] for room, sights in scenarios().items() for i, s in enumerate(sights)]
+FLOOR, SCALE = 0.30, 0.50
+# Two names of one thing, the same name twice, names of different things.
+LABEL_PAIRS = (("desk", "table"), ("lamp", "lamp"), ("lamp", "vase"))
+SHARES = (0.2, 0.48, 0.52, 0.97, 1.03, 1.6)
+
+
+def pairs_at_shares(seed=31, sizes=6):
+    """Rooms of two sightings of drawn sizes, a share of their merge radius apart in a drawn direction."""
+    rng = np.random.default_rng(seed)
+    rooms = {}
+    for k in range(sizes):
+        extents = rng.uniform(0.05, 1.6, (2, 3))
+        radius = max(FLOOR, SCALE * np.linalg.norm(extents, axis=1).mean())
+        way = rng.normal(size=3)
+        start, way = rng.uniform(-4, 4, 3), way / np.linalg.norm(way)
+        for names in LABEL_PAIRS:
+            for share in SHARES:
+                rooms[f"{k} {'-'.join(names)} {share}"] = [
+                    sight(i, name, start + i * share * radius * way, extent=extents[i], n=900 - i) for i, name in enumerate(names)
+                ]
+    return rooms
+
+
+def fuse_rooms(spark, rooms, **knobs):
+    rows = [[room, i, *s] for room, sights in rooms.items() for i, s in enumerate(sights)]
     objects, members = fusion.fuse(spark.createDataFrame(rows, SCHEMA), **knobs)
     found = {}
     for r in fusion.with_lists(objects, members).orderBy("room", "object_id").collect():
@@ -49,35 +52,55 @@ def fuse_all(spark, **knobs):
     return found
 
 
-def test_default_rules(spark):
-    found = fuse_all(spark)
-    assert [o["label"] for o in found["repeat"]] == ["chair", "desk"]
-    chair = found["repeat"][0]
-    assert chair["n_observations"] == 5 and chair["seen_in"] == [0, 1, 2, 3, 4]
-    assert chair["observation_ids"] == [0, 1, 2, 3, 4] and chair["object_id"] == "obj_000"
-    sizes = {room: len(objects) for room, objects in found.items()}
-    assert sizes["square"] == 4 and sizes["close"] == 2 and sizes["names"] == 1
-    assert sizes["sofas"] == 1 and sizes["mugs"] == 2 and sizes["odd"] == 2 and sizes["near"] == 1
-    assert found["names"][0]["label"] == "monitor" and found["names"][0]["aliases"] == ["computer screen", "display"]
-    score = {room: found[room][0]["confidence"] for room in ("tight", "loose", "once", "unsure")}
-    assert 0 <= score["unsure"] < score["once"] < score["tight"] <= 1 and score["loose"] < score["tight"]
+def parts(objects):
+    return {tuple(o["observation_ids"]) for o in objects}
+
+
+def test_pairs_merge_as_their_distance_and_boxes_say(spark):
+    rooms = pairs_at_shares()
+    found = fuse_rooms(spark, rooms)
+    want = {room: plain_merge(sights, FLOOR, SCALE, 0.10) for room, sights in rooms.items()}
+    assert {room: parts(objects) for room, objects in found.items()} == want
+    merged = {share: sum(len(w) == 1 for room, w in want.items() if room.endswith(f" {share}")) for share in SHARES}
+    assert merged[0.2] and merged[0.48] and not merged[1.03] and not merged[1.6]  # the scenes lie on both sides of the rules
+
+
+def test_objects_list_frames_ids_and_names(spark):
+    group = next(g for g in lab.SYNONYM_GROUPS if len(g) > 2)
+    names = [group[0], *group]  # the first name has most sightings
+    rooms = {"named": [sight(9 - i, name.replace(" ", "_").upper(), (2, 1, 0), n=50) for i, name in enumerate(names)]}
+    only, = fuse_rooms(spark, rooms)["named"]
+    assert only["object_id"] == "obj_000" and only["n_observations"] == len(names)
+    assert only["observation_ids"] == list(range(len(names))) and only["seen_in"] == sorted(9 - i for i in range(len(names)))
+    assert only["label"] == group[0] and only["aliases"] == sorted(group[1:])
+
+
+def test_confidence_grows_with_sightings_and_falls_with_spread_and_doubt(spark):
+    radius = max(FLOOR, SCALE * np.linalg.norm((0.5, 0.5, 0.5)))
+    rooms = {f"{n} {apart} {conf}": [sight(i, "vase", (apart * radius * (i % 2), 0, 0), conf=conf) for i in range(n)]
+             for n, apart, conf in ((1, 0, 0.8), (4, 0, 0.8), (4, 0.4, 0.8), (1, 0, 0.2))}
+    single, many, spread, doubtful = (objects[0]["confidence"] for objects in (fuse_rooms(spark, rooms)[r] for r in rooms))
+    assert 0 <= doubtful < single < many <= 1 and spread < many
 
 
 def test_filters_come_after_merging(spark):
-    found = fuse_all(spark, min_observations=2)
-    assert [o["label"] for o in found["repeat"]] == ["chair"] and "once" not in found
+    rooms = pairs_at_shares(32, 2)
+    found = fuse_rooms(spark, rooms, min_observations=2)
+    whole = {room for room, sights in rooms.items() if len(plain_merge(sights, FLOOR, SCALE, 0.10)) == 1}
+    assert set(found) == whole and all(o["object_id"] == "obj_000" for objects in found.values() for o in objects)
 
 
 def test_free_predicate_and_wide_floor(spark):
-    found = fuse_all(spark, predicate=lambda a, b: True, radius_floor=50.0)
-    assert len(found["odd"]) == 1 and len(found["ladder"]) == 1
+    found = fuse_rooms(spark, pairs_at_shares(33, 1), predicate=lambda a, b: True, radius_floor=50.0)
+    assert all(parts(objects) == {(0, 1)} for objects in found.values())
 
 
-def test_resolver_groups(spark):
-    known = {"wombat": "marsupial", "quokka": "marsupial", "desk": "desk", "table": "table"}
-    found = fuse_all(spark, groups=known, radius_floor=0.05)
-    assert [o["label"] for o in found["odd"]] == ["marsupial"] and len(found["near"]) == 2
-    assert len(found["ladder"]) > 1
+def test_resolver_groups_stand_against_built_in_ones(spark):
+    known = {"qelb": "thing", "zorv": "thing", "desk": "desk", "table": "table"}
+    rooms = {f"{a}-{b}": [sight(0, a, (0, 0, 0)), sight(1, b, (0, 0, 0))] for a, b in (("qelb", "zorv"), ("desk", "table"), ("qelb", "desk"))}
+    found = fuse_rooms(spark, rooms, groups=known)
+    assert {room: len(objects) for room, objects in found.items()} == {"qelb-zorv": 1, "desk-table": 2, "qelb-desk": 2}
+    assert found["qelb-zorv"][0]["label"] == "thing"
 
 
 def test_empty_input(spark):
@@ -132,6 +155,9 @@ def test_blocks_change_nothing(spark, seed, split_above):
 
 
 def test_radius_summary(spark):
-    df = table(spark, scenarios()["ladder"])
-    assert fusion.radius_summary(df, ["room"], 10, 0.5).first()["driven_by"] == "floor"
-    assert fusion.radius_summary(df, ["room"], 0.01, 2.0).first()["driven_by"] == "size"
+    sights = next(iter(pairs_at_shares().values()))
+    mean = np.mean([np.linalg.norm(s[4][1]) for s in sights])
+    for floor, scale in ((mean, 0.9), (mean, 1.1)):
+        got = fusion.radius_summary(table(spark, sights), ["room"], floor, scale).first()
+        assert got["driven_by"] == ("size" if scale > 1 else "floor")
+        assert got["effective_radius"] == pytest.approx(max(floor, scale * mean), abs=1e-3)
