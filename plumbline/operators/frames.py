@@ -18,6 +18,8 @@ ROOM = ["room"]
 # Rooms up to this many rows are chosen by one streaming task each; larger ones in
 # rounds, each a distributed search for the next pick of every such room.
 STREAM_ROWS = 50_000
+# Paths up to this many frames, about a megabyte, are one array row each while covering frames are picked.
+ARRAY_FRAMES = 20_000
 # Thumbnails are several kilobytes each, so far fewer of them may be broadcast.
 THUMB_ROWS = 2_000
 
@@ -168,6 +170,42 @@ def select_frames(
 # --- covering frames -----------------------------------------------------------------
 
 
+def _cover_in_arrays(centers: DataFrame, budget: int) -> DataFrame:
+    """Farthest-point picks of rooms whose path fits one array: one pass over the rows, no job per pick.
+
+    The state of the fold is each frame's distance to the nearest pick (below zero for a
+    pick) and the place of the next pick.
+    """
+    xyz = ("x", "y", "z")
+    # The fold is far more work than its bytes tell, so partitions are not merged.
+    rooms = spread(centers, "room").groupBy("room").agg(
+        F.sort_array(F.collect_list(F.struct("frame_idx", *xyz))).alias("p"), *[F.avg(c).alias(f"m{c}") for c in xyz]
+    )
+
+    def first(values: Column) -> Column:
+        return F.array_position(values, F.array_max(values)).cast("int")
+
+    def bound(value: Column, use) -> Column:  # names a value, so that it is computed once
+        return F.transform(F.array(value), use)[0]
+
+    def step(state: Column, _: Column) -> Column:
+        def gap(frame: Column, i: Column) -> Column:
+            pick = F.col("p")[state["next"] - 1]
+            away = F.least(state["d"][i], g.distance3([frame[c] for c in xyz], [pick[c] for c in xyz]))
+            return F.when((i == state["next"] - 1) | (state["d"][i] < 0), -1.0).otherwise(away)
+
+        return bound(F.transform("p", gap), lambda d: F.struct(d.alias("d"), first(d).alias("next")))
+
+    near = bound(
+        F.transform("p", lambda f: -g.distance3([f[c] for c in xyz], [F.col(f"m{c}") for c in xyz])), first
+    )
+    start = F.struct(F.transform("p", lambda f: F.lit(float("inf"))).alias("d"), near.alias("next"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(budget)), start, step, lambda state: state["d"])
+    return rooms.select("room", "p", done.alias("d")).select(
+        "room", F.explode(F.filter("p", lambda f, i: F.col("d")[i] < 0)["frame_idx"]).alias("frame_idx")
+    )
+
+
 def _cover_in_rounds(centers: DataFrame, budget: int) -> DataFrame:
     """Farthest-point picks of all rooms at once.
 
@@ -206,12 +244,13 @@ def _cover_in_rounds(centers: DataFrame, budget: int) -> DataFrame:
     return picks
 
 
-def covering_frames(cameras: DataFrame, budget: int) -> DataFrame:
+def covering_frames(cameras: DataFrame, budget: int, *, array_frames: int = ARRAY_FRAMES) -> DataFrame:
     """`(room, frame_idx)` of frames spread over the camera positions.
 
     Starts at the camera nearest the mean, then repeatedly takes the farthest one from
     those taken (lowest index on ties). Rooms within the budget keep every frame; rooms
-    with a non-finite position are strided evenly. Frame numbers run 0..n-1.
+    with a non-finite position are strided evenly. Frame numbers run 0..n-1. Paths longer than
+    `array_frames` are picked in rounds over all rows, with the same result.
     """
     # One short row per frame, read by every branch and round below.
     centers = durable(
@@ -229,8 +268,12 @@ def covering_frames(cameras: DataFrame, budget: int) -> DataFrame:
         & F.expr(f"frame_idx = 0 OR frame_idx * {int(budget)} div _n <> (frame_idx - 1) * {int(budget)} div _n")
     )
     out = whole.unionByName(strided).select("room", "frame_idx")
-    roaming = marked.where((F.col("_n") > budget) & F.col("_ok")).select("room", "frame_idx", "x", "y", "z")
-    picked = _cover_in_rounds(roaming, budget)
+    roaming = marked.where((F.col("_n") > budget) & F.col("_ok"))
+    path = ["room", "frame_idx", "x", "y", "z"]
+    out = out.unionByName(_cover_in_arrays(roaming.where(F.col("_n") <= array_frames).select(*path), budget))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= array_frames:
+        return out
+    picked = _cover_in_rounds(roaming.where(F.col("_n") > array_frames).select(*path), budget)
     return out if picked is None else out.unionByName(picked)
 
 

@@ -99,6 +99,8 @@ def test_covering_frames(spark):
         gaps[picks] = -1
         picks.append(int(np.argmax(gaps)))
     assert got["walk"] == sorted(picks)
+    in_rounds = fr.covering_frames(table, 4, array_frames=10).toPandas().groupby("room")["frame_idx"].apply(sorted)
+    assert in_rounds.to_dict() == got.to_dict()
 
 
 def test_image_kernels():
