@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import geometry as g
 from ..functions.text import object_number
+from ..session import durable, lookup_join
+from .roomfiles import write_room_files
 
 
 def room_of_path(path: Column | str = "path") -> Column:
@@ -15,17 +17,40 @@ def room_of_path(path: Column | str = "path") -> Column:
     return F.element_at(F.split(g.as_col(path), "/"), -2)
 
 
+def _file_path() -> Column:
+    """The path of the file that a row is read from, without percent codes."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """`(path, index, line)`; the index counts from the first line of a file that is not blank.
+
+    Files are read in blocks, and the lines of a block are numbered in their order by one task;
+    a block starts after the lines of the blocks before it. Lines are written once, so that
+    both steps see the same blocks.
+    """
+    lines = durable(spark.read.text(paths).select(
+        _file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"),
+    ))
+    blocks = lines.groupBy("path", "block").agg(
+        F.min("n").alias("first"), F.count(F.lit(1)).alias("lines"), F.min(F.when(F.col("line").rlike(r"\S"), F.col("n"))).alias("solid")
+    )
+    in_file = Window.partitionBy("path").orderBy("block")
+    before = F.coalesce(F.sum("lines").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("before", before).withColumn("lead", F.min(F.col("solid") - F.col("first") + F.col("before")).over(Window.partitionBy("path")))
+    starts = durable(placed.select("path", "block", (F.col("before") - F.col("first") - F.col("lead")).alias("shift")))
+    return lookup_join(lines, starts, ["path", "block"]).select("path", (F.col("n") + F.col("shift")).cast("int").alias("index"), "line")
+
+
 def read_trajectories(spark: SparkSession, paths: str | list[str], *, min_fields: int = 8) -> DataFrame:
     """`(room, index, t, position, quaternion)` from `t x y z qx qy qz qw` lines.
 
-    `index` is the line number, so skipped malformed lines leave gaps. With
-    `min_fields=4` the quaternion may be missing.
+    `index` is the line number, so skipped malformed lines leave gaps; it does not depend on
+    how a file is cut for reading. With `min_fields=4` the quaternion may be missing.
     """
-    whole = spark.read.text(paths, wholetext=True).select(
-        F.regexp_replace("value", r"^\s+|\s+$", "").alias("body"), F.input_file_name().alias("path")
-    )
-    lines = whole.select(room_of_path().alias("room"), F.posexplode(F.split("body", r"\r?\n")).alias("index", "line"))
-    parts = lines.select("room", "index", F.split(F.trim("line"), r"\s+").alias("p")).where(F.size("p") >= min_fields)
+    lines = _numbered_lines(spark, paths).select(room_of_path().alias("room"), "index", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"))
+    parts = lines.select("room", "index", F.split("line", r"\s+").alias("p")).where(F.size("p") >= min_fields)
     number = lambda i: F.get("p", F.lit(i)).cast("double")
     return parts.select(
         "room", "index", number(0).alias("t"), F.array(*[number(i) for i in range(1, 4)]).alias("position"),
@@ -42,7 +67,7 @@ def trajectory_poses(trajectory: DataFrame) -> DataFrame:
 
 
 def write_trajectories(cameras: DataFrame, path: str, *, timestamp: Column | None = None) -> None:
-    """One folder per room with ordered `t x y z qx qy qz qw` lines."""
+    """`<path>/<room>/trajectory.txt` with ordered `t x y z qx qy qz qw` lines; `read_trajectories` reads it back."""
     pose = F.col("pose")
     rotation = F.array(*[pose[4 * i + j] for i in range(3) for j in range(3)])
     turned = cameras.withColumn("_q", g.rotation_to_quat(rotation)).withColumn(
@@ -50,27 +75,57 @@ def write_trajectories(cameras: DataFrame, path: str, *, timestamp: Column | Non
     )
     fields = [F.col("_t"), pose[3], pose[7], pose[11], *[F.col("_q")[i] for i in range(4)]]
     lines = turned.select("room", "frame_idx", F.concat_ws(" ", *[f.cast("string") for f in fields]).alias("value"))
-    (
-        lines.repartitionByRange("room", "frame_idx").sortWithinPartitions("room", "frame_idx")
-        .select("room", "value").write.partitionBy("room").mode("overwrite").text(path)
+    write_room_files(lines, path, "trajectory.txt", ["frame_idx"])
+
+
+# What a document of each kind must hold besides being readable.
+KINDS = {
+    "observations": (schemas.OBSERVATION_DOC, "observations"),
+    "objects": (schemas.OBJECT_DOC, "objects"),
+    "level": (schemas.LEVEL_DOC, "applied"),
+}
+
+
+def _documents(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:
+    """Fields of each document with `path`, `n_bytes` and, for one that cannot be used, the `reason`.
+
+    Files of no bytes at all are passed over by Spark's readers and have no row.
+    """
+    schema, needed = KINDS[kind]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    docs = spark.read.text(paths, wholetext=True).select(
+        _file_path().alias("path"), F.octet_length("value").alias("n_bytes"),
+        (~F.col("value").rlike(r"\S")).alias("blank"), F.from_json("value", schema, options).alias("d"),
     )
+    reason = (
+        F.when(F.col("blank"), F.lit("empty file")).when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), F.lit("not a document of this kind"))
+        .when(F.col(f"d.{needed}").isNull(), F.lit(f"no {needed}"))
+    )
+    return docs.select("path", "n_bytes", reason.alias("reason"), "d.*").drop("_corrupt")
+
 
+def rejected(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:
+    """`(room, path, reason, n_bytes)` of the documents that the reader of their kind leaves out."""
+    return _documents(spark, paths, kind).where("reason IS NOT NULL").select(room_of_path().alias("room"), "path", "reason", "n_bytes")
 
-def _documents(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    docs = (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt").json(paths)
-        .withColumn("path", F.input_file_name())
+
+def _room() -> Column:
+    return F.coalesce(F.nullif("room", F.lit("")), room_of_path())
+
+
+def read_observation_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """`(room, image_hw, frames_labeled)` of every readable document, also of those without observations."""
+    return _documents(spark, paths, "observations").where("reason IS NULL").select(
+        _room().alias("room"), F.coalesce("image_hw", F.array(F.lit(0), F.lit(0))).alias("image_hw"),
+        F.coalesce("frames_labeled", F.array().cast("array<int>")).alias("frames_labeled"),
     )
-    return docs.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
 def read_observations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Observation rows with the documented defaults; broken documents are left out."""
-    docs = _documents(spark, paths, schemas.OBSERVATION_DOC)
+    """Observation rows with the documented defaults; `rejected` has the documents left out."""
+    docs = _documents(spark, paths, "observations").where("reason IS NULL")
     items = docs.select(
-        F.coalesce(F.nullif("room", F.lit("")), room_of_path()).alias("room"),
-        F.coalesce("image_hw", F.array(F.lit(0), F.lit(0))).alias("image_hw"),
+        _room().alias("room"), F.coalesce("image_hw", F.array(F.lit(0), F.lit(0))).alias("image_hw"),
         F.posexplode("observations").alias("position", "o"),
     )
     return items.select(
@@ -82,9 +137,9 @@ def read_observations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    docs = _documents(spark, paths, schemas.OBJECT_DOC)
+    docs = _documents(spark, paths, "objects").where("reason IS NULL")
     items = docs.select(
-        F.coalesce(F.nullif("room", F.lit("")), room_of_path()).alias("room"),
+        _room().alias("room"),
         F.coalesce("units", F.lit("meters")).alias("units"),
         F.coalesce("scale_verified", F.lit(False)).alias("scale_verified"), "n_frames_labeled",
         F.explode_outer("objects").alias("o"),
@@ -93,7 +148,7 @@ def read_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_level_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    docs = _documents(spark, paths, schemas.LEVEL_DOC)
+    docs = _documents(spark, paths, "level").where("reason IS NULL")
     return docs.select(
         room_of_path().alias("room"), "convention", F.flatten("applied").alias("applied"),
         F.flatten("cumulative").alias("cumulative"), "rotation_deg", "estimate",
@@ -143,6 +198,13 @@ def observation_documents(observations: DataFrame, headers: DataFrame) -> DataFr
     return headers.join(grouped, ["room"], "left").select("room", F.to_json(body, options).alias("document"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder `room=<name>` per room holding its document."""
-    documents.select("room", F.col("document").alias("value")).write.partitionBy("room").mode("overwrite").text(path)
+def level_documents(records: DataFrame) -> DataFrame:
+    """`(room, document)` of level records, with transforms as rows of four; `read_level_records` reads it back."""
+    rows = lambda c: F.array(*[F.slice(c, 4 * i + 1, 4) for i in range(4)])
+    body = F.struct("convention", rows("applied").alias("applied"), rows("cumulative").alias("cumulative"), "rotation_deg", "estimate")
+    return records.select("room", F.to_json(body, {"pretty": "true"}).alias("document"))
+
+
+def write_documents(documents: DataFrame, path: str, file: str = "document.json") -> None:
+    """`<path>/<room>/<file>` for each room."""
+    write_room_files(documents, path, file, [], "document")

@@ -10,6 +10,7 @@ from ..functions import labels as lab
 from ..functions import scores, text
 from ..operators import rooms
 from ..operators.sequences import previous_row
+from ..plans import labelling
 from ..session import durable, lookup_join
 from ..streaming import runlog
 from . import derive as d
@@ -411,3 +412,20 @@ def intrinsics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "vec_id", k[0].alias("fx"), k[4].alias("fy"), k[2].alias("px"), k[5].alias("py"), k[8].alias("corner")
     )
+
+
+@query("""
+WITH replies AS (
+  SELECT event_type AS room, CASE CAST(json_extract(props, '$.k') AS BIGINT) % 5 WHEN 0 THEN NULL WHEN 1 THEN '{"objects": [' WHEN 2 THEN '{"objects": []}'
+         ELSE '{"objects": [{"label": "lamp", "box_2d": [1, 2, 3, 4]}, {"label": "", "box_2d": [1, 2, 3, 4]}]}' END AS reply FROM events)
+SELECT room, count(*) AS frames, count(*) FILTER (json_valid(reply)) AS answered, count(*) FILTER (NOT json_valid(reply)) AS failed,
+       count(*) FILTER (reply IS NULL) AS missing, count(*) FILTER (reply LIKE '%lamp%') AS detections FROM replies GROUP BY room""")
+def reply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by the outcome of their detector reply: answered, no JSON, no reply."""
+    kind = F.pmod(F.get_json_object("props", "$.k").cast("bigint"), F.lit(5))
+    reply = (
+        F.when(kind == 1, '{"objects": [').when(kind == 2, '{"objects": []}')
+        .when(kind > 2, '{"objects": [{"label": "lamp", "box_2d": [1, 2, 3, 4]}, {"label": "", "box_2d": [1, 2, 3, 4]}]}')
+    )
+    replies = d.table(spark, sf_dir, "events").select(F.col("event_type").alias("room"), "event_id", reply.alias("reply"))
+    return labelling.reply_outcomes(replies)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators import frames as fr
 from ..operators import guards, pairs, trajectory
 from ..operators.sampling import decimate
 from ..operators.sequences import row_numbers
+from ..session import scratch_root
+from ..sources import documents
 from . import derive as d
 from .registry import query
 
@@ -289,3 +293,17 @@ def frame_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen frames topped up with every third spare one."""
     chosen = window_sharpest(spark, sf_dir).select("room", "idx")
     return chosen.unionByName(spare_frames(spark, sf_dir).select("room", "idx")).distinct()
+
+
+@query(d.with_tables("cameras") + f"""
+SELECT room, CAST(frame_idx - 1 AS INTEGER) AS idx, CAST(frame_idx AS DOUBLE) AS t, ex AS x, ey AS y, ez AS z,
+       CAST(0 AS DOUBLE) AS qx, CAST(1 AS DOUBLE) AS qw FROM cameras""")
+def trajectory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every room's camera path written as a trajectory file and read back."""
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    documents.write_trajectories(d.cameras(spark, sf_dir), path)
+    back = documents.read_trajectories(spark, f"{path}/*/trajectory.txt")
+    return back.select(
+        F.col("room").cast("bigint").alias("room"), F.col("index").alias("idx"), "t",
+        *[F.col("position")[i].alias(c) for i, c in enumerate("xyz")], F.col("quaternion")[0].alias("qx"), F.col("quaternion")[3].alias("qw"),
+    )

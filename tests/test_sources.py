@@ -96,9 +96,72 @@ def test_trajectory_files(spark, tmp_path):
     poses = documents.trajectory_poses(documents.read_trajectories(spark, str(path)))
     out = str(tmp_path / "out")
     documents.write_trajectories(poses, out)
-    again = documents.read_trajectories(spark, [str(p) for p in (tmp_path / "out").rglob("part-*")])
-    rows = again.orderBy("t").collect()
-    assert [r["position"] for r in rows] == [[1, 2, 3], [2, 2, 3]] and np.allclose(rows[1]["quaternion"], [0, 0, 1, 0])
+    rows = documents.read_trajectories(spark, out + "/*/trajectory.txt").orderBy("t").collect()
+    assert [(r["room"], r["index"], r["position"]) for r in rows] == [("den", 0, [1, 2, 3]), ("den", 1, [2, 2, 3])]
+    assert np.allclose(rows[1]["quaternion"], [0, 0, 1, 0])
+
+
+def test_trajectory_index_survives_file_splits(spark, tmp_path):
+    n = 3_000
+    pose = "array(1D, 0D, 0D, id * 0.25D, 0D, 1D, 0D, -id * 0.5D, 0D, 0D, 1D, 0D, 0D, 0D, 0D, 1D)"
+    cams = spark.range(2 * n).selectExpr("concat('room ', id % 2) AS room", "cast(id div 2 AS int) AS frame_idx", f"{pose} AS pose")
+    out = str(tmp_path / "out")
+    settings = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        documents.write_trajectories(cams.repartition(7), out)
+        got = documents.read_trajectories(spark, out + "/*/trajectory.txt").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"room 0", "room 1"}
+    assert all([f.name for f in p.iterdir()] == ["trajectory.txt"] for p in (tmp_path / "out").iterdir())
+    assert sorted((r["room"], r["index"]) for r in got) == [(f"room {k}", i) for k in (0, 1) for i in range(n)]
+    assert all(r["index"] == r["t"] and r["position"][0] == (2 * r["index"] + int(r["room"][-1])) * 0.25 for r in got)
+
+
+def test_room_files_are_replaced_on_commit_only(spark, tmp_path):
+    from plumbline.sources.roomfiles import write_room_files
+
+    rows = spark.createDataFrame([("a", "1"), ("b", "2")], "room string, value string")
+    write_room_files(rows, str(tmp_path), "t.txt", ["value"])
+    bad = spark.createDataFrame([("a", "9"), ("x/y", "9")], "room string, value string").coalesce(1)
+    with pytest.raises(Exception, match="not a folder name"):
+        write_room_files(bad, str(tmp_path), "t.txt", ["value"])
+    assert {p.name: [f.read_text() for f in p.iterdir()] for p in tmp_path.iterdir()} == {"a": ["1\n"], "b": ["2\n"]}
+    write_room_files(rows.where("room = 'a'").selectExpr("room", "'3' AS value"), str(tmp_path), "t.txt", ["value"])
+    assert (tmp_path / "a" / "t.txt").read_text() == "3\n" and (tmp_path / "b" / "t.txt").read_text() == "2\n"
+
+
+def test_rejected_documents(spark, tmp_path):
+    write_observations(tmp_path / "den")
+    broken = {"cut": '{"room": "x", "observations": [{', "none": " \n", "other": '{"rooms": 3}', "list": "[1, 2]", "typed": '{"observations": [{"frame_idx": "first"}]}'}
+    for name, body in broken.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "observations.json").write_text(body)
+    paths = str(tmp_path / "*" / "observations.json")
+    bad = {r["room"]: r for r in documents.rejected(spark, paths, "observations").collect()}
+    assert set(bad) == set(broken) and bad["none"]["reason"] == "empty file" and bad["other"]["reason"] == "no observations"
+    assert {bad[k]["reason"] for k in ("cut", "list", "typed")} <= {"not a document of this kind", "no observations"}
+    assert all(bad[k]["n_bytes"] == len(body) for k, body in broken.items())
+    assert {r["room"] for r in documents.read_observations(spark, paths).collect()} == {"den"}
+    head, = documents.read_observation_headers(spark, paths).collect()
+    assert head["room"] == "den" and head["frames_labeled"] == [0, 1, 2, 3] and head["image_hw"] == [512, 384]
+
+
+def test_level_documents_come_back(spark, tmp_path):
+    from plumbline.operators import level
+
+    points = spark.range(400).selectExpr("'den' AS room", "cast(id % 20 AS double) AS x", "cast(id div 20 AS double) AS y", "cast(id % 7 AS double) AS z")
+    estimates = level.forced_up(points, "-z")
+    records = level.level_records(estimates, level.levelling_transforms(estimates, points))
+    documents.write_documents(documents.level_documents(records), str(tmp_path), "level.json")
+    back = documents.read_level_records(spark, str(tmp_path / "*" / "level.json")).first().asDict(recursive=True)
+    want = records.first().asDict(recursive=True)
+    assert back["room"] == "den" and back["applied"] == want["applied"] and back["cumulative"] == want["cumulative"]
+    assert back["estimate"] == want["estimate"] and back["rotation_deg"] == want["rotation_deg"]
 
 
 def box(at, extent=0.4):
@@ -134,8 +197,9 @@ def test_documents(spark, tmp_path):
     text = documents.observation_documents(owned, heads)
     back = json.loads(text.first()["document"])
     assert back["frames_labeled"] == [0, 3] and back["observations"][0]["box_px"] is None and len(back["observations"]) == 4
-    documents.write_documents(text, str(tmp_path / "docs"))
-    assert list((tmp_path / "docs" / "room=den").glob("part-*"))
+    documents.write_documents(text, str(tmp_path / "docs"), "observations.json")
+    again = documents.read_observations(spark, str(tmp_path / "docs" / "den" / "observations.json"))
+    assert again.count() == 4 and documents.read_observation_headers(spark, str(tmp_path / "docs" / "*" / "*.json")).first()["frames_labeled"] == [0, 3]
 
 
 def test_room_listing(spark, tmp_path):
