@@ -182,15 +182,6 @@ def turned(pixels: np.ndarray, degrees: int) -> np.ndarray:
     return pixels if quarter is None else np.rot90(pixels, quarter)
 
 
-@F.pandas_udf(T.BinaryType())
-def upright(images: pd.Series, degrees: pd.Series) -> pd.Series:
-    """Re-encode frames turned by their container's rotation."""
-    return pd.Series([
-        bytes(data) if deg % 360 not in (90, 180, 270) else encode_png(turned(decode_image(bytes(data)), int(deg) % 360))
-        for data, deg in zip(images, degrees)
-    ])
-
-
 def correlation(a: Column | str, b: Column | str) -> Column:
     """Dot product of two equal-length arrays, clipped to -1..1."""
     parts = F.zip_with(as_col(a), as_col(b), lambda p, q: p.cast("double") * q.cast("double"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +59,13 @@ def drawable(extent: Column) -> Column:
     return finite(*sides) & (F.greatest(*sides) > 1e-6)
 
 
-def with_owner(observations: DataFrame, membership: DataFrame) -> DataFrame:
-    """Tag observations with their object; null where none claims them."""
-    edges = membership.select("room", "id", "object_id")
-    return observations.join(edges, ["room", "id"], "left")
+def with_owner(observations: DataFrame, membership: DataFrame, keys: Sequence[str] = ("room", "id")) -> DataFrame:
+    """Tag observations with their object; null where none claims them.
+
+    `keys` name what an object claims: single observations, or with `("room",)` all of a room.
+    """
+    edges = membership.select(*keys, "object_id")
+    return observations.join(edges, list(keys), "left")
 
 
 def with_display_position(objects: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import labels as lab
 from ..functions import scores, text
-from ..operators import rooms
+from ..operators import fusion, rooms
 from ..operators.sequences import previous_row
 from ..plans import labelling
 from ..session import durable, lookup_join
@@ -235,19 +235,21 @@ def obs_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = d.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P").select(
         F.col("o_orderkey").alias("room"), F.col("o_orderstatus").alias("object_id")
     )
-    edges = seen.select("room", "id").distinct().join(owners, "room")
-    return rooms.with_owner(seen, edges)
+    return rooms.with_owner(seen, owners, ["room"])
 
 
 @query("""
 SELECT l_suppkey AS object_id, count(*) AS n, list_sort(list(DISTINCT l_linenumber))::VARCHAR AS seen_in
 FROM lineitem GROUP BY l_suppkey""")
 def seen_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = d.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("object_id"), "l_linenumber")
-    per_frame = li.groupBy("object_id", "l_linenumber").agg(F.count(F.lit(1)).alias("k"))
-    frames = F.array_sort(F.collect_list("l_linenumber"))
-    return per_frame.groupBy("object_id").agg(F.sum("k").alias("n"), frames.alias("f")).select(
-        "object_id", "n", F.concat(F.lit("["), F.concat_ws(", ", F.col("f").cast("array<string>")), F.lit("]")).alias("seen_in")
+    li = d.table(spark, sf_dir, "lineitem")
+    members = li.select(
+        F.col("l_suppkey").alias("room"), F.col("l_suppkey").alias("object_id"), F.col("l_linenumber").alias("frame_idx"), F.col("l_orderkey").alias("id")
+    )
+    listed = fusion.with_lists(d.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("room"), F.col("s_suppkey").alias("object_id")), members)
+    return listed.select(
+        "object_id", F.size("observation_ids").cast("bigint").alias("n"),
+        F.concat(F.lit("["), F.concat_ws(", ", F.col("seen_in").cast("array<string>")), F.lit("]")).alias("seen_in"),
     )
 
 

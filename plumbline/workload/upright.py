@@ -403,13 +403,14 @@ def forced_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(d.with_tables("points") + """,
 cut AS (SELECT room, quantile_cont(y, 0.25) AS q FROM points GROUP BY room)
-SELECT p.room, round(any_value(q), 6) AS cut, count(*) AS n, round(max(y), 6) AS top
+SELECT p.room, count(*) AS n, round(min(y), 6) AS bottom, round(max(y), 6) AS top
 FROM points p JOIN cut USING (room) WHERE y <= q GROUP BY p.room""")
 def lowest_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = d.points(spark, sf_dir).select("room", "y")
-    cuts = durable(exact_quantiles(pts, ["room"], {"cut": ("y", 0.25)}))
-    return lookup_join(pts, cuts, ["room"]).where(F.col("y") <= F.col("cut")).groupBy("room").agg(
-        F.round(F.first("cut"), 6).alias("cut"), F.count(F.lit(1)).alias("n"), F.round(F.max("y"), 6).alias("top")
+    pts = d.points(spark, sf_dir)
+    up = F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))
+    low = level.lowest_rows(pts, pts.select("room").distinct().withColumn("up", up), IDENTITY, 0.25, 1)
+    return low.groupBy("room").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("y"), 6).alias("bottom"), F.round(F.max("y"), 6).alias("top")
     )
 
 

@@ -6,6 +6,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.config import LabelConfig
 from plumbline.plans import labelling, viewer
@@ -103,6 +104,19 @@ def test_viewer_queries(spark, room):
     assert viewer.up_report(points.limit(3), cameras)["source"] == "none"
 
 
+def test_plan_of_a_room_that_hangs_down(spark, room):
+    _, cameras = room
+    points = spark.range(800).selectExpr(
+        "'den' AS room", "0 AS frame_idx", "cast(id AS int) AS v", "0 AS u", "cast(id % 20 AS float) AS x", "cast(2.5 * (id div 400) AS float) AS y",
+        "cast(id div 20 % 20 AS float) AS z", "true AS conf", "cast(200 * (1 - id div 400) AS smallint) AS r", "cast(9 AS smallint) AS g", "cast(9 AS smallint) AS b",
+    )
+    flipped = points.withColumn("y", (-F.col("y")).cast("float"))
+    upright = viewer.room_plan(points, cameras, "den", up="y", size=300, drop_ceiling=0.6)
+    assert viewer.room_plan(flipped, cameras, "den", up="-y", size=300, drop_ceiling=0.6) == upright
+    assert viewer.plan_image(flipped, "den", 1, size=300, drop_ceiling=0.6) != upright  # the floor would be cut
+    assert viewer.room_plan(points, cameras, "den", size=300).startswith(b"\x89PNG")
+
+
 def test_run_log_stream_agrees_with_batch(spark, tmp_path):
     events = [
         ("a", 0, "line", "[extract] x"), ("a", 1, "line", " 10%|# "), ("a", 2, "line", "[detect] y"), ("a", 3, "exit", "0"),

@@ -216,6 +216,17 @@ def test_room_listing(spark, tmp_path):
     assert rooms.room_name_ok("den") and not any(map(rooms.room_name_ok, ("", "a/b", "..", "a\\b")))
 
 
+def test_reconstruction_frames_are_numbered_by_name(spark, tmp_path):
+    for name in ("den/b.png", "den/a.jpg", "den/note.txt", "attic/1.png", "attic/0.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = folders.reconstruction_inputs(spark, str(tmp_path)).collect()
+    assert sorted((r["room"], r["idx"], r["name"]) for r in got) == [("attic", 0, "0.png"), ("attic", 1, "1.png"), ("den", 0, "a.jpg"), ("den", 1, "b.png")]
+    (tmp_path / "attic" / "0.png").unlink()
+    with pytest.raises(ValueError, match="attic"):
+        folders.reconstruction_inputs(spark, str(tmp_path))
+
+
 def test_detector_retries(spark):
     frames = spark.createDataFrame([("r", i, bytes([i])) for i in range(4)], "room string, frame_idx int, image binary")
 
