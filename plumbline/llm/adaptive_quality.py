@@ -3,9 +3,11 @@
 Measures are integers. A quantile sketch of a measure is a table of bin counts: values
 keep their seven leading bits, so a bin is at most 1/64 of its value wide. Sketches merge
 by adding counts, in any order and with the same result, so a language's sketch is the sum
-of its sources' sketches. Thresholds are fences around the quartiles; they replace fixed
-cutoffs. Groups too small for quartiles of their own take those of their language, and
-languages too small those of all documents.
+of its sources' sketches. The fences of a language and source are upper (and lower)
+quantiles of its sketch, moved out by a multiple of their distance from the median; no fixed
+cutoff has a part in them. The sketch of a group is mixed with that of its language as if
+PRIOR documents more had the language's distribution, and the language's with that of all
+documents in the same way, so small groups lean on what is around them.
 """
 
 from __future__ import annotations
@@ -18,18 +20,16 @@ from ..session import durable
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
-# Measure -> (formula, has a lower fence, slack below which no distance from the quartiles counts).
-# Rates are per thousand; the slack keeps a single odd mark from rejecting a plain text.
-RULES: dict[str, tuple[str, bool, int]] = {
-    "symbol_rate": ("n_symbols * 1000 div n_words", False, 200),
-    "dup_line_rate": ("n_dup_lines * 1000 div n_lines", False, 500),
-    "repeat_rate": ("n_repeat_words * 1000 div n_words", False, 180),
-    "word_length": ("word_chars * 100 div n_words", True, 200),
+# Measure -> (formula, percent of the documents within the upper quantile, reach beyond it in
+# distances from the median, has a lower fence too). Rates are per cent or per thousand.
+RULES: dict[str, tuple[str, int, int, bool]] = {
+    "symbol_rate": ("n_symbols * 100 div n_words", 85, 3, False),
+    "dup_line_rate": ("n_dup_lines * 1000 div n_lines", 99, 0, False),
+    "repeat_rate": ("n_repeat_words * 1000 div n_words", 99, 0, False),
+    "word_length": ("word_chars * 100 div n_words", 85, 3, True),
 }
-# The groups of each level, finest first.
-LEVELS: dict[str, list[str]] = {"own": ["lang", "source"], "lang": ["lang"], "all": []}
-IQR_FENCE = 3
-LEAST_GROUP = 200
+# Documents of the wider distribution that a sketch is mixed with.
+PRIOR = 50
 
 
 def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -84,14 +84,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def binned(value: str) -> Column:
+    """The least value of the bin that a non-negative bigint lies in."""
+    drop = f"cast(greatest(length(bin({value})) - 7, 0) AS int)"
+    return F.expr(f"shiftleft(shiftright({value}, {drop}), {drop})")
+
+
 def sketch(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Bin counts of a non-negative bigint `value`: groups, `bin` (its least value), `n`."""
-    bits = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
-    binned = F.expr(f"shiftleft(shiftright({value}, drop_bits), drop_bits)")
-    return (
-        rows.withColumn("drop_bits", bits.cast("int")).withColumn("bin", binned)
-        .groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return rows.withColumn("bin", binned(value)).groupBy(*groups, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merged(sketches: DataFrame, groups: list[str]) -> DataFrame:
@@ -99,67 +100,76 @@ def merged(sketches: DataFrame, groups: list[str]) -> DataFrame:
     return sketches.groupBy(*groups, "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
-    """`q1`, `q3` and `total` of each sketch, where the total reaches LEAST_GROUP."""
-    along = Window.partitionBy(*groups).orderBy("bin")
-    ranked = sketches.withColumns({
-        "upto": F.sum("n").over(along), "total": F.sum("n").over(Window.partitionBy(*groups)),
-    })
-    return ranked.where(F.col("total") >= LEAST_GROUP).groupBy(*groups).agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bin"))).alias("q3"),
-    )
+def _same(left: str, right: str, columns: list[str]) -> Column:
+    """Equality of columns of two aliased tables; null equals null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
 
 
-def thresholds(measured: DataFrame) -> dict[str, DataFrame]:
-    """Fences at three levels: by `lang` and `source`, by `lang`, and over all documents.
+def mixed_quantiles(fine: DataFrame) -> DataFrame:
+    """`rule`, `lang`, `source` with the bins of the 10th, 50th, 85th and 99th percentile, `p10` to `p99`.
 
-    One row per group. They are written, so that joins know how small they are.
+    With u documents up to a bin of t (own), v of s (language) and w of r (all), the mixed
+    share is (u + K (v + K w / r) / (s + K)) / (t + K), K = PRIOR. It is compared without
+    division, in decimals. Every group has a row for each bin of its rule.
+    """
+    lang, whole = merged(fine, ["rule", "lang"]), merged(fine, ["rule"])
+    groups = fine.select("rule", "lang", "source").distinct()
+    grid = (
+        groups.alias("g").join(whole.alias("a"), F.col("g.rule") == F.col("a.rule"))
+        .join(lang.alias("l"), _same("g", "l", ["rule", "lang"]) & (F.col("a.bin") == F.col("l.bin")), "left")
+        .join(fine.alias("f"), _same("g", "f", ["rule", "lang", "source"]) & (F.col("a.bin") == F.col("f.bin")), "left")
+        .select("g.*", "a.bin", *[F.coalesce(f"{t}.n", F.lit(0)).cast("decimal(12,0)").alias(n) for t, n in (("f", "n"), ("l", "m"), ("a", "k"))])
+    )
+    group = Window.partitionBy("rule", "lang", "source")
+    along = group.orderBy("bin")
+    upto = grid.select("rule", "lang", "source", "bin", *[
+        F.sum(c).over(w).cast("decimal(12,0)").alias(name) for c, w, name in (
+            ("n", along, "u"), ("m", along, "v"), ("k", along, "w"), ("n", group, "t"), ("m", group, "s"), ("k", group, "r"))
+    ])
+    share = f"u * r * (s + {PRIOR}) + {PRIOR} * (v * r + {PRIOR} * w)"
+    return upto.groupBy("rule", "lang", "source").agg(*[
+        F.min(F.expr(f"CASE WHEN 100 * ({share}) >= {p} * ((t + {PRIOR}) * r * (s + {PRIOR})) THEN bin END")).alias(f"p{p}")
+        for p in (10, 50, 85, 99)
+    ])
+
+
+def thresholds(measured: DataFrame) -> DataFrame:
+    """The fences of each `lang` and `source`, one row per group: `<rule>_high`, and `<rule>_low` where a rule has one.
+
+    They come from the documents that the base rule passes, and are written, so that joins
+    know how small they are.
     """
     usable = measured.where(~F.col("base_failed"))
-    values = ", ".join(f"'{name}', {formula}" for name, (formula, _, _) in RULES.items())
+    values = ", ".join(f"'{name}', {formula}" for name, (formula, *_) in RULES.items())
     long = usable.select("lang", "source", F.expr(f"stack({len(RULES)}, {values}) AS (rule, value)"))
     fine = durable(sketch(long, ["rule", "lang", "source"], "value"))
-    fences = {}
-    for level, by in LEVELS.items():
-        parts = []
-        for name, (_, has_low, slack) in RULES.items():
-            reach = F.greatest(F.lit(IQR_FENCE) * (F.col("q3") - F.col("q1")), F.lit(slack))
-            mine = F.col("rule") == name
-            parts.append(F.max(F.when(mine, F.col("q3") + reach)).alias(f"{level}_{name}_high"))
-            if has_low:
-                parts.append(F.max(F.when(mine, F.col("q1") - reach)).alias(f"{level}_{name}_low"))
-        table = quartiles(fine if level == "own" else merged(fine, ["rule", *by]), ["rule", *by])
-        fences[level] = durable(table.groupBy(*by).agg(*parts) if by else table.agg(*parts))
-    return fences
-
-
-def judge(measured: DataFrame, fences: dict[str, DataFrame]) -> DataFrame:
-    """Add `kept`: not failed by the base rule and within every fence that applies.
+    parts = []
+    for name, (_, upper, reach, has_low) in RULES.items():
+        mine = F.col("rule") == name
+        high = F.col(f"p{upper}")
+        parts.append(F.max(F.when(mine, high + reach * (high - F.col("p50")))).alias(f"{name}_high"))
+        if has_low:
+            low = F.col("p10")
+            parts.append(F.max(F.when(mine, low - reach * (F.col("p50") - low))).alias(f"{name}_low"))
+    return durable(mixed_quantiles(fine).groupBy("lang", "source").agg(*parts))
+
+
+def judge(measured: DataFrame, fences: DataFrame) -> DataFrame:
+    """Add `kept`: not failed by the base rule, and the bin of every measure within its fences.
 
     `measured` has `lang`, `source`, `base_failed` and the measures. Null languages and
-    sources are groups of their own. Where no group reaches LEAST_GROUP documents there is
-    no fence, and the base rule alone decides.
+    sources are groups of their own.
     """
-    own, lang, whole = fences["own"], fences["lang"], fences["all"].first()  # a few numbers for all documents
-    joined = (
-        measured.alias("m")
-        .join(own.withColumnsRenamed({"lang": "_l", "source": "_s"}).alias("o"),
-              F.col("m.lang").eqNullSafe(F.col("_l")) & F.col("m.source").eqNullSafe(F.col("_s")), "left")
-        .join(lang.withColumnsRenamed({"lang": "_k"}).alias("l"), F.col("m.lang").eqNullSafe(F.col("_k")), "left")
-    )
+    joined = measured.alias("m").join(fences.alias("o"), _same("m", "o", ["lang", "source"]), "left")
     passed = ~F.col("base_failed")
-    for name, (formula, has_low, _) in RULES.items():
-        value = F.expr(f"CASE WHEN base_failed THEN 0L ELSE {formula} END")
-
-        def fence(side: str, name: str = name) -> Column:
-            return F.coalesce(
-                F.col(f"own_{name}_{side}"), F.col(f"lang_{name}_{side}"), F.lit(whole[f"all_{name}_{side}"]).cast("long")
-            )
-
-        passed &= F.coalesce(value <= fence("high"), F.lit(True))
+    for name, (formula, _, _, has_low) in RULES.items():
+        value = binned(f"(CASE WHEN base_failed THEN 0L ELSE {formula} END)")
+        passed &= F.coalesce(value <= F.col(f"{name}_high"), F.lit(True))
         if has_low:
-            passed &= F.coalesce(value >= fence("low"), F.lit(True))
+            passed &= F.coalesce(value >= F.col(f"{name}_low"), F.lit(True))
     return joined.select("m.*", passed.alias("kept"))
 
 

@@ -44,43 +44,45 @@ def text_measures(table: str) -> str:
 
 def judged(table: str) -> str:
     """CTE bodies up to `judged`, the measures with `kept`."""
-    formulas = {name: formula.replace(" div ", " // ") for name, (formula, _, _) in aq.RULES.items()}
+    formulas = {name: formula.replace(" div ", " // ") for name, (formula, *_) in aq.RULES.items()}
     long = " UNION ALL ".join(
         f"SELECT lang, source, '{n}' AS rule, ({f})::BIGINT AS v FROM measured WHERE NOT base_failed"
         for n, f in formulas.items()
     )
+    group = "PARTITION BY rule, lang, source"
+    share = f"u * r * (s + {aq.PRIOR}) + {aq.PRIOR} * (v * r + {aq.PRIOR} * w)"
+    points = ", ".join(
+        f"min(bin) FILTER (100 * ({share}) >= {p} * (t + {aq.PRIOR}) * r * (s + {aq.PRIOR})) AS p{p}" for p in (10, 50, 85, 99)
+    )
     ctes = [text_measures(table), f"""
     long AS ({long}),
     fine AS (
-        SELECT rule, lang, source, (v >> d) << d AS bin, count(*) AS n
+        SELECT rule, lang, source, (v >> d) << d AS bin, count(*)::HUGEINT AS n
         FROM (SELECT *, greatest(length(bin(v)) - 7, 0) AS d FROM long) GROUP BY ALL
-    )"""]
-    for level, keys in (("own", "lang, source"), ("lang", "lang"), ("all", "")):
-        by = f"rule, {keys}" if keys else "rule"
-        ctes.append(f"""
-    q_{level} AS (
-        SELECT {by}, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3
-        FROM (SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS upto,
-                     sum(n) OVER (PARTITION BY {by}) AS total
-              FROM (SELECT {by}, bin, sum(n) AS n FROM fine GROUP BY {by}, bin))
-        WHERE total >= {aq.LEAST_GROUP} GROUP BY {by}
-    )""")
+    ), by_lang AS (SELECT rule, lang, bin, sum(n) AS n FROM fine GROUP BY ALL),
+    by_rule AS (SELECT rule, bin, sum(n) AS n FROM fine GROUP BY ALL),
+    grid AS (
+        SELECT g.*, a.bin, coalesce(f.n, 0) AS n, coalesce(l.n, 0) AS m, a.n AS k
+        FROM (SELECT DISTINCT rule, lang, source FROM fine) g JOIN by_rule a USING (rule)
+        LEFT JOIN by_lang l ON l.rule = g.rule AND l.lang IS NOT DISTINCT FROM g.lang AND l.bin = a.bin
+        LEFT JOIN fine f ON f.rule = g.rule AND f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source
+            AND f.bin = a.bin
+    ), upto AS (
+        SELECT *, {", ".join(f"sum({c}) OVER ({group} ORDER BY bin) AS {x}, sum({c}) OVER ({group}) AS {y}"
+                             for c, x, y in (("n", "u", "t"), ("m", "v", "s"), ("k", "w", "r")))} FROM grid
+    ), quantiles AS (SELECT rule, lang, source, {points} FROM upto GROUP BY ALL)"""]
     joins, tests = [], ["NOT base_failed"]
-    for k, (name, (_, has_low, slack)) in enumerate(aq.RULES.items()):
+    for i, (name, (_, upper, reach, has_low)) in enumerate(aq.RULES.items()):
         joins.append(f"""
-        LEFT JOIN q_own o{k} ON o{k}.rule = '{name}' AND o{k}.lang IS NOT DISTINCT FROM m.lang
-             AND o{k}.source IS NOT DISTINCT FROM m.source
-        LEFT JOIN q_lang l{k} ON l{k}.rule = '{name}' AND l{k}.lang IS NOT DISTINCT FROM m.lang
-        LEFT JOIN q_all a{k} ON a{k}.rule = '{name}'""")
-        value = f"CASE WHEN base_failed THEN 0 ELSE {formulas[name]} END"
-
-        def fence(part: str, sign: str, k: int = k, slack: int = slack) -> str:
-            sides = [f"{x}{k}.{part} {sign} greatest({aq.IQR_FENCE} * ({x}{k}.q3 - {x}{k}.q1), {slack})" for x in "ola"]
-            return f"coalesce({', '.join(sides)})"
-
-        tests.append(f"coalesce({value} <= {fence('q3', '+')}, true)")
+        LEFT JOIN quantiles q{i} ON q{i}.rule = '{name}' AND q{i}.lang IS NOT DISTINCT FROM m.lang
+             AND q{i}.source IS NOT DISTINCT FROM m.source""")
+        value = f"(CASE WHEN base_failed THEN 0 ELSE {formulas[name]} END)::BIGINT"
+        drop = f"greatest(length(bin({value})) - 7, 0)"
+        own = f"(({value} >> {drop}) << {drop})"
+        high, low = f"q{i}.p{upper}", f"q{i}.p10"
+        tests.append(f"coalesce({own} <= {high} + {reach} * ({high} - q{i}.p50), true)")
         if has_low:
-            tests.append(f"coalesce({value} >= {fence('q1', '-')}, true)")
+            tests.append(f"coalesce({own} >= {low} - {reach} * (q{i}.p50 - {low}), true)")
     ctes.append(f"""
     judged AS (SELECT m.*, {' AND '.join(tests)} AS kept FROM measured m {''.join(joins)})""")
     return ",".join(ctes)

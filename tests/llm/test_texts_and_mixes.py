@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -40,7 +41,7 @@ def text_rows(rng):
     rows = []
     for i in range(700):
         words = [rng.choice(plain) + str(rng.randrange(400)) for _ in range(rng.randrange(12, 60))]
-        if i % 9 == 0:
+        if i % 15 == 0:  # fewer than lie above the upper quantile
             words = [w + "###" for w in words]
         text = " ".join(words)
         if i % 11 == 0:
@@ -62,8 +63,8 @@ def test_measures_and_verdicts(spark):
         assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
         assert not (r["kept"] and r["base_failed"])
     kept = {r["id"] for r in got if r["kept"]}
-    assert not kept & {i for i in range(700) if i % 9 == 0} and 804 not in kept
-    assert len(kept & {i for i in range(700) if i % 9 and i % 11}) == len([i for i in range(700) if i % 9 and i % 11])
+    assert not kept & {i for i in range(700) if i % 15 == 0} and 804 not in kept
+    assert len(kept & {i for i in range(700) if i % 15 and i % 11}) == len([i for i in range(700) if i % 15 and i % 11])
     good = adaptive_quality.keep_good(docs_of(spark, rows))
     assert good.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert Counter(r["doc_id"] for r in good.collect()) == Counter(r["id"] for r in got if r["kept"])
@@ -78,11 +79,68 @@ def test_sketches_merge_and_bound_their_error(spark):
     whole = adaptive_quality.sketch(frame, [], "v")
     joined = adaptive_quality.merged(parts, [])
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, joined.collect()))
-    row = adaptive_quality.quartiles(whole.withColumn("all", F.lit(1)), ["all"]).first()
     ranked = sorted(values)
-    for name, share in (("q1", 0.25), ("q3", 0.75)):
-        true = ranked[int(np.ceil(share * len(ranked))) - 1]
-        assert row[name] <= true <= row[name] * (1 + 1 / 64) + 1
+    bins = sorted((r["bin"], r["n"]) for r in whole.collect())
+    for share in (0.1, 0.5, 0.9, 0.99):
+        true, upto = ranked[int(np.ceil(share * len(ranked))) - 1], 0
+        for low, n in bins:
+            upto += n
+            if upto >= share * len(ranked):
+                break
+        assert low <= true <= low * (1 + 1 / 64) + 1
+
+
+def test_quantiles_of_mixed_sketches(spark):
+    rng = random.Random(6)
+    sizes = {("en", "a"): 900, ("en", "b"): 40, ("en", None): 3, (None, "a"): 120, ("xx", "lone"): 1}
+    rows = [("r", lang, source, int(rng.lognormvariate(3 + k / 2, 1))) for k, ((lang, source), n) in enumerate(sizes.items()) for _ in range(n)]
+    frame = spark.createDataFrame(rows, "rule string, lang string, source string, v long")
+    fine = adaptive_quality.sketch(frame, ["rule", "lang", "source"], "v")
+    counts = Counter()
+    for r in fine.collect():
+        counts[r["lang"], r["source"], r["bin"]] += r["n"]
+    prior, bins = adaptive_quality.PRIOR, sorted({b for _, _, b in counts})
+    got = {(r["lang"], r["source"]): [r[f"p{p}"] for p in (10, 50, 85, 99)] for r in adaptive_quality.mixed_quantiles(fine).collect()}
+    assert set(got) == set(sizes)
+    for lang, source in sizes:
+        def share(test, top):
+            chosen = {k: n for k, n in counts.items() if test(k)}
+            return sum(n for k, n in chosen.items() if k[2] <= top), sum(chosen.values())
+
+        for p, found in zip((10, 50, 85, 99), got[lang, source]):
+            for top in bins:
+                (w, r), (v, t), (u, own) = (share(f, top) for f in (lambda k: True, lambda k: k[0] == lang, lambda k: k[:2] == (lang, source)))
+                middle = Fraction(v * r + prior * w, r * (t + prior))
+                if (u + prior * middle) / (own + prior) >= Fraction(p, 100):
+                    break
+            assert found == top
+
+
+def test_fences_follow_their_group(spark):
+    rng = random.Random(12)
+
+    def rows(long_words):
+        """Word lengths by source; in each, a few documents have words twice as long as is usual there."""
+        out = []
+        for k, (source, usual) in enumerate((("short", 4), ("long", long_words), ("other", 6))):
+            for i in range(600):
+                size = (2 if i % 40 == 0 else 1) * usual
+                text = " ".join("".join(rng.choice("abcdefghij") for _ in range(max(1, size + rng.choice((-1, 0, 0, 1))))) for _ in range(60))
+                out.append((1000 * k + i, text, "en", source))
+        return out
+
+    def verdicts(table):
+        return {r["id"]: r["kept"] for r in adaptive_quality.quality(docs_of(spark, table)).collect()}
+
+    before = verdicts(rows(8))
+    # What is usual in one source is rejected in another: the fences differ.
+    assert all(kept == (i % 1000 % 40 != 0) for i, kept in before.items())
+    # One source's distribution moves: its verdicts are judged anew by its own fences, the others' stay.
+    table = rows(8)
+    moved = [(i, " ".join(w * 2 for w in t.split()), lang, s) if s == "long" and i % 1000 % 40 else (i, t, lang, s) for i, t, lang, s in table]
+    after = verdicts(moved)
+    assert {i: k for i, k in after.items() if i // 1000 != 1} == {i: k for i, k in before.items() if i // 1000 != 1}
+    assert all(after[1000 + i] for i in range(600) if i % 40) and any(after[1000 + i] != before[1000 + i] for i in range(0, 600, 40))
 
 
 def fill_level(sizes, weights, epochs):
