@@ -9,7 +9,6 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from plumbline.llm import adaptive_quality, chat_prefix, kk_packing, licence_rules, water_filling
 
