@@ -3,7 +3,10 @@
 A target model is trained on the target documents and a background model on all documents.
 Both are matched: the same vocabulary, the same retained bigrams, the same smoothing. A
 document's score is its mean loss per token under the target model minus that under the
-background model; the lower, the more it resembles the target.
+background model; the lower, the more it resembles the target. No document is scored by its
+own counts: they are taken off the models that hold it, so that documents which happen to be
+in the target compare with equally good ones that are not. Copies of it still count. Only
+the vocabulary and the choice of retained bigrams are those of all documents.
 
 Words are what white space separates, with A-Z lower-cased. The vocabulary is every word
 found MIN_COUNT times or more in all documents, the target's among them; other words are
@@ -40,6 +43,9 @@ CONTEXT_PRIOR = 5.0
 WORD_PRIOR = 0.1
 # Bytes of text in a part, unless one text has more.
 HELD = 8_000_000
+# Keys that parts may send to one bucket, and places that are scored at a time unless one text has more.
+BUCKET_KEYS = 1_000_000
+SCORED_PLACES = 250_000
 
 ASKED = "bucket int, part long, count int, keys binary, target binary, background binary"
 ANSWERED = (
@@ -225,6 +231,12 @@ def _ask_pairs(buckets: int, least: int):
     return run
 
 
+def _own(doc: np.ndarray, item: np.ndarray, items: int) -> np.ndarray:
+    """At every place, how often its item is found in its document."""
+    _, place, count = np.unique(doc * items + item, return_inverse=True, return_counts=True)
+    return count[place]
+
+
 def _score(least: int, pair_least: int, size: int, sides: list[tuple[int, int, int]]):
     """`size` counts the known words; `sides` has unknown words, all words and documents of target and background."""
 
@@ -232,14 +244,29 @@ def _score(least: int, pair_least: int, size: int, sides: list[tuple[int, int, i
         part = _Part(parts.to_pylist()[0], answers, least)
         pairs = _sums(answers, 1)
         known = pairs[1] >= pair_least
-        found = []
-        for own, both, (unknown, words, docs) in zip((part.target, part.background), pairs, sides):
-            unigrams = np.concatenate([own, [unknown, 0, docs]])
-            # The start is never predicted: the known words, the unknown one and the end are.
-            word = (unigrams[part.token] + WORD_PRIOR) / (words + docs + WORD_PRIOR * (size + 2))
-            seen = np.where(part.context == part.start, docs, unigrams[part.context])
-            loss = -np.log((np.where(known, both, 0) + CONTEXT_PRIOR * word) / (seen + CONTEXT_PRIOR))
-            found.append(np.add.reduceat(loss[part.pair], part.heads) / part.places)
+        unigrams = [np.concatenate([own, [side[0], 0, side[2]]]) for own, side in zip((part.target, part.background), sides)]
+        found = np.empty((2, len(part.places)))
+        first = 0
+        while first < len(part.places):
+            low = part.heads[first]
+            last = max(first + 1, int(np.searchsorted(part.heads + part.places, low + SCORED_PLACES, "right")))
+            places, heads = part.places[first:last], part.heads[first:last] - low
+            at = slice(low, low + int(places.sum()))
+            pair, chosen = part.pair[at], part.chosen[at]
+            token, context = part.token[pair], part.context[pair]
+            doc = np.repeat(np.arange(last - first), places)
+            own_pair, own_word = _own(doc, pair, len(part.keys)), _own(doc, token, len(unigrams[0]))
+            own_seen = np.concatenate([[1], own_word[:-1]])
+            own_seen[heads] = 1
+            for k, (holds, (_, words, docs)) in enumerate(zip((chosen, np.ones(len(chosen), bool)), sides)):
+                # The start is never predicted: the known words, the unknown one and the end are.
+                others = words + docs - np.where(holds, places[doc], 0)
+                word = (unigrams[k][token] - own_word * holds + WORD_PRIOR) / (others + WORD_PRIOR * (size + 2))
+                seen = np.where(context == part.start, docs, unigrams[k][context]) - own_seen * holds
+                joint = np.where(known[pair], pairs[k][pair] - own_pair * holds, 0)
+                loss = -np.log((joint + CONTEXT_PRIOR * word) / (seen + CONTEXT_PRIOR))
+                found[k, first:last] = np.add.reduceat(loss, heads) / places
+            first = last
         return pa.table({
             "id": parts["ids"].combine_chunks().flatten(), "n_tokens": pa.array(part.places), "target_loss": pa.array(found[0]),
             "background_loss": pa.array(found[1]), "score": pa.array(found[0] - found[1]),
@@ -256,13 +283,14 @@ def scores(
 
     `target_col` is a boolean; null counts as false. Losses are means in nats per token; the
     end of a text is its last token, so a null or empty text has one. Repeated rows count
-    and are scored each. Without target documents the target model is its priors; an empty
+    and are scored each, by the models without that row. Without other target documents the
+    target model is its priors; an empty
     table gives no rows. Other columns are not read. Shares of all words and tokens, where
     given, replace the fixed counts from which words and bigrams are kept.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(F.col(target_col), F.lit(False)).alias("chosen"),
@@ -274,6 +302,9 @@ def scores(
     least = MIN_COUNT if min_share is None else max(1, int(np.ceil(min_share * total)))
     pair_least = PAIR_COUNT if pair_share is None else max(1, int(np.ceil(pair_share * (total + n_docs))))
 
+    # Every place of a part asks for one word and one bigram at most; tasks are as many as buckets.
+    buckets = max(partitions, -(-(total + n_docs) // BUCKET_KEYS))
+
     def answered(asked: DataFrame, least: int) -> DataFrame:
         answers = durable(asked.repartition(buckets, "bucket").mapInArrow(_answer(least), ANSWERED))
         release_shuffles(spark)

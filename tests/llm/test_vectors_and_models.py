@@ -104,9 +104,11 @@ def brute_scores(rows, min_share, pair_share):
     least = max(1, math.ceil(pair_share * (total + len(rows))))
     pairs = {p for p, c in models[1][1].items() if c >= least}
     found = []
-    for run in runs:
+    for run, (_, _, good) in zip(runs, rows):
         losses = []
-        for unigrams, bigrams, docs in models:
+        for (unigrams, bigrams, docs), inside in zip(models, (good, True)):
+            if inside:  # no document counts for its own score
+                unigrams, bigrams, docs = unigrams - Counter(run[1:]), bigrams - Counter(zip(run, run[1:])), docs - 1
             size = sum(unigrams.values()) + lm_difference.WORD_PRIOR * (len(kept) + 2)
             loss = 0.0
             for v, w in zip(run, run[1:]):
@@ -143,15 +145,31 @@ def test_scores_equal_brute_force(spark, monkeypatch, shares):
 
 
 def test_rare_words_of_the_target_are_kept_whatever_the_size_of_the_corpus(spark):
-    # 1.2 million words: by share of all tokens, words and bigrams found once would be unknown.
-    rows = [(1, "rareone raretwo common", True), (2, "raretwo rareone common", False)]
+    # 1.2 million words: by share of all tokens, words and bigrams of two documents would be unknown.
+    rows = [(1, "rareone raretwo common", True), (2, "raretwo rareone common", False), (3, "rareone raretwo", True)]
     rows += [(10 + i, "common " * 20_000, False) for i in range(60)]
     frame = spark.createDataFrame([(*r, 1, "c", 2) for r in rows], SCORED)
     got = {r["id"]: r for r in lm_difference.scores(frame, "doc_id", "text", "good").collect()}
     want = dict(zip((r[0] for r in rows), brute_scores(rows, 0, 0)))
     for i in got:
         assert np.allclose((got[i]["n_tokens"], got[i]["target_loss"], got[i]["background_loss"]), want[i], rtol=1e-9)
-    assert got[1]["score"] < got[2]["score"]
+    assert max(got[1]["score"], got[2]["score"]) < 0 < min(got[10 + i]["score"] for i in range(60))
+
+
+def test_equally_good_documents_score_alike_inside_and_outside_the_target(spark, monkeypatch):
+    monkeypatch.setattr(lm_difference, "SCORED_PLACES", 300)
+    rng = random.Random(9)
+    kinds = {"fine": [f"fine{i}" for i in range(60)], "odd": [f"odd{i}" for i in range(60)]}
+    texts = [(i, "fine" if i % 3 else "odd") for i in range(360)]
+    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(30)), k == "fine" and i % 2 == 0) for i, k in texts]
+    frame = spark.createDataFrame([(*r, 1, "c", 2) for r in rows], SCORED)
+    got = {r["id"]: r["score"] for r in lm_difference.scores(frame, "doc_id", "text", "good").collect()}
+    inside, outside, odd = (
+        np.array([got[i] for i, k in texts if want(i, k)]) for want in (
+            lambda i, k: k == "fine" and i % 2 == 0, lambda i, k: k == "fine" and i % 2, lambda i, k: k == "odd")
+    )
+    noise = np.hypot(*(x.std() / np.sqrt(len(x)) for x in (inside, outside)))
+    assert abs(inside.mean() - outside.mean()) < 4 * noise + 0.02 and max(inside.max(), outside.max()) < odd.min()
 
 
 def test_scores_of_no_rows_no_words_and_no_target(spark):
