@@ -45,7 +45,7 @@ WORD_PRIOR = 0.1
 HELD = 8_000_000
 # Keys that parts may send to one bucket, and places that are scored at a time unless one text has more.
 BUCKET_KEYS = 1_000_000
-SCORED_PLACES = 250_000
+SCORED_PLACES = 100_000
 
 ASKED = "bucket int, part long, count int, keys binary, target binary, background binary"
 ANSWERED = (
@@ -175,13 +175,15 @@ def _answer(least: int):
             yield pa.record_batch(
                 [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in ANSWERED.split(", ")]
             )
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _sums(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts over all parts of one part's keys, in the order of the keys."""
-    rows = sorted((r for r in answers.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
+    mine = answers.filter(pc.equal(answers["kind"], kind)).select(["bucket", "count", "target", "background"])
+    rows = mine.sort_by("bucket").to_pylist()
     return tuple(
         np.concatenate([np.zeros(0, np.int64), *(unplanes(r[c], r["count"]).astype(np.int64) for r in rows)])
         for c in ("target", "background")
@@ -202,21 +204,27 @@ class _Part:
         hashes = np.concatenate([np.cumsum(unplanes(row["words"], row["n_distinct"]), dtype=U), MARKS])
         self.target, self.background = _sums(answers, 0)
         self.unknown, self.start, self.end = np.arange(row["n_distinct"], row["n_distinct"] + 3)
-        ids = np.where(self.background >= least, np.arange(row["n_distinct"]), self.unknown)
+        ids = np.where(self.background >= least, np.arange(row["n_distinct"]), self.unknown).astype(np.int32)
         self.sizes = unplanes(row["sizes"], row["n_docs"]).astype(np.int64)
         self.places = self.sizes + 1
         ends = np.cumsum(self.places) - 1
         self.heads = ends - self.sizes
-        token = np.full(int(self.places.sum()), self.end, np.int64)
+        token = np.full(int(self.places.sum()), self.end, np.int32)
         inner = np.ones(len(token), bool)
         inner[ends] = False
-        token[inner] = ids[unplanes(row["codes"], row["n_words"]).astype(np.int64)]
-        context = np.empty(len(token), np.int64)
+        token[inner] = ids[unplanes(row["codes"], row["n_words"])]
+        context = np.empty(len(token), np.int32)
         context[1:] = token[:-1]
         context[self.heads] = self.start
         keys = _mixed(hashes[context] ^ _mixed(hashes[token] + U(0x9E3779B97F4A7C15)))
         # Distinct bigrams in the order of their keys, one of the places of each, and the bigram at every place.
-        self.keys, at, self.pair = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.argsort(keys).astype(np.int32)
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        self.keys, at = keys[new], order[new]
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        del keys, order, new
         self.context, self.token = context[at], token[at]
         chosen = np.unpackbits(np.frombuffer(row["chosen"], np.uint8), count=row["n_docs"]).astype(bool)
         self.chosen = np.repeat(chosen, self.places)
@@ -233,7 +241,7 @@ def _ask_pairs(buckets: int, least: int):
 
 def _own(doc: np.ndarray, item: np.ndarray, items: int) -> np.ndarray:
     """At every place, how often its item is found in its document."""
-    _, place, count = np.unique(doc * items + item, return_inverse=True, return_counts=True)
+    _, place, count = np.unique(doc * np.int64(items) + item, return_inverse=True, return_counts=True)
     return count[place]
 
 
@@ -267,6 +275,7 @@ def _score(least: int, pair_least: int, size: int, sides: list[tuple[int, int, i
                 loss = -np.log((joint + CONTEXT_PRIOR * word) / (seen + CONTEXT_PRIOR))
                 found[k, first:last] = np.add.reduceat(loss, heads) / places
             first = last
+        pa.default_memory_pool().release_unused()
         return pa.table({
             "id": parts["ids"].combine_chunks().flatten(), "n_tokens": pa.array(part.places), "target_loss": pa.array(found[0]),
             "background_loss": pa.array(found[1]), "score": pa.array(found[0] - found[1]),
