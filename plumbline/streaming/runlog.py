@@ -15,6 +15,8 @@ from ..operators.sequences import row_numbers, running_last
 # Lines of a run that stay readable.
 MAX_LINES = 2000
 CHUNK = 10_000
+# How long the stream keeps a run after its last event once it has ended, and while it runs.
+LINGER_MS, SILENT_MS = 3_600_000, 7 * 24 * 3_600_000
 
 
 def kept_lines(lines: DataFrame) -> DataFrame:
@@ -75,10 +77,13 @@ _STATE = "stage string, status string, total bigint, lines array<string>"
 _OUTPUT = "run_id string, status string, stage string, stage_index int, total_lines bigint, lines array<string>"
 
 
-def _advance(max_lines: int):
+def _advance(max_lines: int, linger_ms: int, silent_ms: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import re
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         marker = re.compile(r"^\s*\[(" + "|".join(text.STAGES) + r")\]")
         bar = re.compile(r"\d+%\|")
         stage, status, total, kept = state.get if state.exists else ("starting", "running", 0, [])
@@ -99,6 +104,8 @@ def _advance(max_lines: int):
                 stage = text.STAGES[-1] if status == "done" else stage
         kept = kept[-max_lines:]
         state.update((stage, status, total, kept))
+        seen = int(rows["_seen_ms"].max())
+        state.setTimeoutTimestamp(seen + (silent_ms if status == "running" else linger_ms))
         index = text.STAGES.index(stage) if stage in text.STAGES else -1
         yield pd.DataFrame({
             "run_id": [key[0]], "status": [status], "stage": [stage], "stage_index": [index],
@@ -108,15 +115,25 @@ def _advance(max_lines: int):
     return step
 
 
-def follow(events: DataFrame, *, max_lines: int = MAX_LINES) -> DataFrame:
+def follow(
+    events: DataFrame, *, max_lines: int = MAX_LINES, linger_ms: int = LINGER_MS, silent_ms: int = SILENT_MS,
+    clock_slack: str = "10 minutes",
+) -> DataFrame:
     """Streaming run states from `(run_id, seq, kind, line)`.
 
     `kind` is `line`, `exit` (the line holds the return code) or `cancel`. Every batch
     emits the new state of the runs it touched; the state of one run is bounded by the
     line buffer.
+
+    Late lines of an ended run are kept and counted and leave its status as it is. A run is
+    forgotten by a batch that comes more than `linger_ms` after the last event of an ended run,
+    or `silent_ms` after that of a running one; events beyond that begin a new run. Times are
+    those of the batches; `clock_slack`, by which removal is later, is how far the clock of a
+    restarted driver may be behind. `events` has no watermark of its own.
     """
-    return events.groupBy("run_id").applyInPandasWithState(
-        _advance(max_lines), _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
+    timed = events.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", clock_slack)
+    return timed.withColumn("_seen_ms", F.unix_millis("_seen")).groupBy("run_id").applyInPandasWithState(
+        _advance(max_lines, linger_ms, silent_ms), _OUTPUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -97,6 +97,41 @@ def object_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PREFERRED = ", ".join(f"'{name}'" for name in lab.PREFERRED)
+
+
+@query(_FUSED + f""",
+seen AS (
+  SELECT m.room, m.seed, n.name, n.cx, n.cy, n.cz, vlm_confidence AS vlm, sqrt(e0 * e0 + e1 * e1 + e2 * e2) AS diag
+  FROM members m JOIN names n ON m.room = n.room AND m.id = n.id),
+middles AS (
+  SELECT room, seed, avg(cx) AS mx, avg(cy) AS my, avg(cz) AS mz, avg(vlm) AS vlm, greatest(CAST(0.3 AS DOUBLE), CAST(0.5 AS DOUBLE) * avg(diag)) AS radius,
+         quantile_cont(cx, 0.5) AS c0, quantile_cont(cy, 0.5) AS c1, quantile_cont(cz, 0.5) AS c2
+  FROM seen GROUP BY room, seed),
+spreads AS (
+  SELECT s.room, s.seed, avg(sqrt((cx - mx) * (cx - mx) + (cy - my) * (cy - my) + (cz - mz) * (cz - mz))) AS spread
+  FROM seen s JOIN middles m ON s.room = m.room AND s.seed = m.seed GROUP BY s.room, s.seed),
+votes AS (SELECT room, seed, name, count(*) AS n FROM seen GROUP BY room, seed, name),
+chosen AS (
+  SELECT room, seed, name AS label FROM votes
+  QUALIFY row_number() OVER (PARTITION BY room, seed ORDER BY n DESC, name NOT IN ({_PREFERRED}), length(name), name) = 1),
+others AS (
+  SELECT c.room, c.seed, label, coalesce(string_agg(name, '|' ORDER BY name) FILTER (name <> label), '') AS aliases
+  FROM chosen c JOIN votes v ON c.room = v.room AND c.seed = v.seed GROUP BY c.room, c.seed, label)
+SELECT b.room, object_id, label, aliases, n AS n_observations, round(c0, 8) AS c0, round(c1, 8) AS c1, round(c2, 8) AS c2,
+       round(least(greatest(pow(1 - exp(-n / CAST(2 AS DOUBLE)), CAST(0.35 AS DOUBLE)) * pow(greatest(vlm, CAST(1e-6 AS DOUBLE)), CAST(0.4 AS DOUBLE))
+             * pow(exp(-spread / radius), CAST(0.25 AS DOUBLE)), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)), 6) AS confidence
+FROM numbered b JOIN middles m ON b.room = m.room AND b.seed = m.seed JOIN spreads s ON b.room = s.room AND b.seed = s.seed
+JOIN others o ON b.room = o.room AND b.seed = o.seed""")
+def object_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, name, aliases, median centre and confidence of every merged object."""
+    objects, _ = fusion.fuse(d.observations(spark, sf_dir))
+    return objects.select(
+        "room", "object_id", "label", F.concat_ws("|", "aliases").alias("aliases"), "n_observations",
+        F.round("confidence", 6).alias("confidence"), *[F.round(F.col("centroid")[i], 8).alias(f"c{i}") for i in range(3)],
+    )
+
+
 @query(
     d.with_tables("observations")
     + """,

@@ -149,3 +149,31 @@ def test_run_log_stream_agrees_with_batch(spark, tmp_path):
     ends = spark.createDataFrame([("a", 0, False), ("b", 0, True), ("c", None, False), ("d", 2, False)], "run_id string, returncode int, cancelled boolean")
     batch = {r["run_id"]: (r["status"], r["stage"]) for r in runlog.statuses(rows.where("kind = 'line'"), ends).collect()}
     assert batch == {"a": ("done", "label"), "b": ("cancelled", "starting"), "c": ("running", "starting"), "d": ("failed", "starting")}
+
+
+def test_run_log_stream_forgets_ended_and_silent_runs(spark, tmp_path):
+    source = tmp_path / "log"
+
+    def held(events, **times):
+        """Runs that the stream remembers after it has seen these events, and what it said of them."""
+        said = []
+        spark.createDataFrame(events, "run_id string, seq bigint, kind string, line string").coalesce(1).write.mode("append").json(str(source))
+        query = (
+            runlog.follow(runlog.line_source(spark, str(source)), clock_slack="0 seconds", **times).writeStream.outputMode("update")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+            .foreachBatch(lambda df, i: said.extend((r["run_id"], r["status"], r["total_lines"]) for r in df.collect())).start()
+        )
+        query.awaitTermination(120)
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"], sorted(said)
+
+    hour = 3_600_000
+    assert held([("a", 0, "line", "x"), ("a", 1, "exit", "0"), ("b", 0, "line", "x"), ("c", 0, "cancel", "")], linger_ms=hour) == (
+        3, [("a", "done", 1), ("b", "running", 1), ("c", "cancelled", 0)])
+    # A late line counts and changes no status; from then on ended runs linger for a millisecond.
+    late = [("a", 2, "line", "[detect] y"), ("c", 1, "line", "y"), ("c", 2, "exit", "0")]
+    assert held(late, linger_ms=1) == (3, [("a", "done", 2), ("c", "cancelled", 1)])
+    held([("d", 0, "line", "x")], silent_ms=1)
+    left, said = held([("b", 1, "line", "x")])
+    assert left == 1 and said == [("b", "running", 2)]
+    # What comes after a run was forgotten begins a new one.
+    assert held([("a", 3, "line", "z")]) == (2, [("a", "running", 1)])
