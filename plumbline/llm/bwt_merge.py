@@ -124,10 +124,10 @@ def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray,
     return order, block, shared
 
 
-def repeated(
+def _intervals(
     texts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, depth: int, shard_bytes: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """(text, offset) of every `depth`-byte string that a text of a smaller owner holds as well.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, offset, least owner) of every `depth`-byte string found at least twice.
 
     `texts` is all texts end to end. They are cut into shards of about `shard_bytes`, each
     shard is transformed by itself, and the transforms are merged.
@@ -147,5 +147,24 @@ def repeated(
     who, where = np.concatenate(who)[order], np.concatenate(where)[order]
     least = np.full(int(block.max(initial=0)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, block, owner[who])
-    later = owner[who] > least[block]
+    return who, where, least[block]
+
+
+def repeated(
+    texts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, depth: int, shard_bytes: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(text, offset) of every `depth`-byte string that a text of a smaller owner holds as well."""
+    who, where, least = _intervals(texts, lengths, owner, depth, shard_bytes)
+    later = owner[who] > least
     return who[later], where[later]
+
+
+def first_owners(
+    texts: np.ndarray, lengths: np.ndarray, owner: np.ndarray, depth: int, shard_bytes: int
+) -> np.ndarray:
+    """Per text of exactly `depth` bytes, the least owner among the equal texts."""
+    found = owner.copy()
+    if len(owner):
+        who, _, least = _intervals(texts, lengths, owner, depth, shard_bytes)
+        found[who] = least
+    return found

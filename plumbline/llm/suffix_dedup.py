@@ -10,18 +10,24 @@ same anchor at the same place, so only strings of equal anchors need comparing.
    before anything is shuffled and again where equal anchors meet. Anchors in one document
    alone are done.
 2. What is left are runs that share an anchor but differ: borders of copies, common lines
-   in changing company. Their texts go to buckets by anchor. An anchor with very many runs
-   goes string by string instead, so it spreads over all buckets.
+   in changing company. Their texts go to buckets by anchor.
 3. In a bucket, runs are cut into short texts, texts without company are set aside by the
    hash of their core, and the rest are transformed shard by shard and merged; intervals of
    the merged transform that share LENGTH bytes give the repeats.
+4. An anchor with very many runs goes string by string. A task first folds equal strings to
+   one row with all their places; partial minima then leave one representative of a string
+   in each of SHARDS shards, and only those are transformed and merged. The document that
+   holds a string first is joined back to the folded places.
 
-Equality of grams and runs in steps 1 and 2 is that of 104-bit hashes; step 3 compares bytes.
+Equality of grams and runs in step 1 is that of 104-bit hashes; steps 3 and 4 compare bytes,
+and the join back in step 4 is on 128-bit digests of the strings.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -33,23 +39,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, release_shuffles, small_batches
-from .bwt_merge import repeated
+from .blocks import per_whole_groups
+from .bwt_merge import first_owners, repeated
 from .packed import planes, unplanes
 
 LENGTH = 50
 GRAM = 16
-# Bytes whose hashes are held at a time, and anchors collapsed at a time.
-SEGMENT = 250_000
-FLUSH = 250_000
 # Buckets of anchors per shuffle partition; one bucket is resolved at a time.
 BUCKETS_PER_PARTITION = 4
-# An anchor with more differing runs than this is compared string by string.
-MANY_RUNS = 5_000
-# Bytes of texts that are merged together, and of one shard.
-MERGE_BYTES, SHARD_BYTES = 400_000, 130_000
+# Bytes of text per shuffle partition at most: about a thirtieth as many anchors per bucket.
+PARTITION_BYTES = 128 << 20
+# Shards that each keep one representative of a string of frequent anchors.
+SHARDS = 4
 # Strings of a run are compared in classes of so many starts.
 STARTS = 9
 
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """What a task holds at a time. No result depends on it."""
+
+    segment: int = 250_000  # bytes whose hashes are held
+    flush: int = 250_000  # anchors collapsed, or places folded
+    many_runs: int = 5_000  # an anchor with more differing runs is compared string by string
+    run_rows: int = 50_000  # run texts compared, besides those of one anchor
+    merge: int = 400_000  # bytes of texts that are merged together
+    shard: int = 130_000  # bytes of one shard of them
+
+
 U = np.uint64
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5)]
 _POSITION = U((1 << 24) - 1)
@@ -116,8 +134,10 @@ def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[An
     return Anchors(mixed[at] >> U(8), at, first, last, run >> U(16)), row
 
 
-def _parts(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Buffers of about SEGMENT bytes: data, string starts and ends, offset in the document, id.
+def _parts(
+    docs: Iterator[tuple[int, bytes]], segment: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Buffers of about `segment` bytes: data, string starts and ends, offset in the document, id.
 
     A long document is cut into parts that overlap by what anchors and runs at their borders need.
     """
@@ -127,14 +147,14 @@ def _parts(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.n
     used = 0
     for doc, text in docs:
         strings = len(text) - LENGTH + 1
-        for at in range(0, strings, SEGMENT):
+        for at in range(0, strings, segment):
             low = max(0, at - margin)
-            upto = min(at + SEGMENT, strings)
-            part = text[low:min(len(text), upto + margin)] if len(text) > SEGMENT else text
+            upto = min(at + segment, strings)
+            part = text[low:min(len(text), upto + margin)] if len(text) > segment else text
             rows.append((used + at - low, used + upto - low, low - used, doc))
             held.append(part)
             used += len(part)
-            if used >= SEGMENT:
+            if used >= segment:
                 yield (np.frombuffer(b"".join(held), np.uint8), *np.array(rows, np.int64).T)
                 held, rows, used = [], [], 0
     if rows:
@@ -169,8 +189,8 @@ ANCHOR_ROWS = "bucket int, count int, base long, keys binary, runs binary, docs
 # (first and last start, the anchor's place, whether it is frequent).
 MARKS = "bucket int, count int, kind int, docs binary, lows binary, highs binary, places binary, flags binary"
 SPAN, OPEN = 0, 1
-# All marks of one document, as uint32 pairs or quadruples.
-GATHERED = "key long, spans binary, open binary"
+# All marks of one document, as uint32 pairs or quadruples; whether a frequent anchor is open.
+GATHERED = "key long, spans binary, open binary, hot int"
 
 
 def _names(schema: str) -> list[str]:
@@ -212,7 +232,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found[r["kind"]].append(tuple(unplanes(r[c], r["count"]).astype(np.int64) for c in columns))
         if found[SPAN]:
             docs, packed = _span_rows(*_joined(found[SPAN]))
-            yield _record(GATHERED, [(d, p, None) for d, p in zip(docs.tolist(), packed)])
+            yield _record(GATHERED, [(d, p, None, 0) for d, p in zip(docs.tolist(), packed)])
         if found[OPEN]:
             doc, *columns = _joined(found[OPEN])
             order = np.argsort(doc, kind="stable")
@@ -220,7 +240,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             quads = np.stack([c[order] for c in columns], 1).astype("<u4")
             cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             yield _record(GATHERED, [
-                (d, None, p.tobytes()) for d, p in zip(doc[cut].tolist(), np.split(quads, cut[1:]))
+                (d, None, p.tobytes(), int(p[:, 3].any())) for d, p in zip(doc[cut].tolist(), np.split(quads, cut[1:]))
             ])
 
 
@@ -241,7 +261,7 @@ def _span_rows(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.n
 _NONE = np.zeros(0, np.int64)
 
 
-def _anchor_rows(buckets: int):
+def _anchor_rows(buckets: int, sizes: Sizes):
     """Step 1 by task: anchors in compact columns per bucket; spans of collapsed runs
     pass through as rows without keys."""
 
@@ -258,9 +278,9 @@ def _anchor_rows(buckets: int):
             docs, packed = _span_rows(doc[later], first[later], first[later] + (shape[later] & 63) + LENGTH)
             for at in range(0, len(docs), 2_000):
                 some = packed[at:at + 2_000]
-                sizes = np.array([len(s) // 8 for s in some])
+                counts = np.array([len(s) // 8 for s in some])
                 spans = np.frombuffer(b"".join(some), "<u4").astype(np.int64).reshape(-1, 2)
-                owner = np.repeat(docs[at:at + 2_000], sizes)
+                owner = np.repeat(docs[at:at + 2_000], counts)
                 # Where these rows go is open; they only pass through.
                 bucket = int(docs[at] % buckets)
                 rows.append((bucket, len(owner), 0, b"", b"", planes(owner), planes(spans[:, 0]), planes(spans[:, 1])))
@@ -281,13 +301,13 @@ def _anchor_rows(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, count = [], 0
-        for data, starts, ends, offset, doc in _parts(_documents(batches)):
+        for data, starts, ends, offset, doc in _parts(_documents(batches), sizes.segment):
             a, row = _anchors(data, starts, ends)
             found.append((
                 a.key, a.run, doc[row], a.first + offset[row], (a.at - a.first) * 64 + (a.last - a.first),
             ))
             count += len(row)
-            if count >= FLUSH:
+            if count >= sizes.flush:
                 yield from pack(found)
                 found, count = [], 0
         if found:
@@ -298,17 +318,17 @@ def _anchor_rows(buckets: int):
     return run
 
 
-def _resolve(buckets: int):
+def _resolve(buckets: int, sizes: Sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Step 1 where equal anchors meet: marks of the anchors of one bucket after the other."""
         rows = (row.as_py() for batch in batches for row in batch.to_struct_array())
         spans, rest, count = [], [], 0
         for _, bucket in groupby(rows, itemgetter("bucket")):
-            gone, opened = _resolve_bucket(bucket)
+            gone, opened = _resolve_bucket(bucket, sizes.many_runs)
             spans.append(gone)
             rest.append(opened)
             count += len(gone[0]) + len(opened[0])
-            if count >= FLUSH:
+            if count >= sizes.flush:
                 yield from _marks(buckets, _joined(spans), _joined(rest))
                 spans, rest, count = [], [], 0
         if count:
@@ -321,7 +341,7 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def _resolve_bucket(rows: Iterator[dict]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+def _resolve_bucket(rows: Iterator[dict], many_runs: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Removed spans (doc, low, high) and open runs (doc, first, last, at, frequent) of a bucket."""
     found: list[list[np.ndarray]] = []
     spans: list[list[np.ndarray]] = []
@@ -351,26 +371,27 @@ def _resolve_bucket(rows: Iterator[dict]) -> tuple[tuple[np.ndarray, ...], tuple
     groups = _group_ids(np.arange(len(key)), key)
     company = _least(groups, doc) != _least(groups, doc, np.maximum)
     sizes = np.bincount(groups)[groups] if len(groups) else groups
-    opened = (doc, first, last, first + (shape >> 6), (sizes > MANY_RUNS).astype(np.int64))
+    opened = (doc, first, last, first + (shape >> 6), (sizes > many_runs).astype(np.int64))
     return gone, tuple(c[company] for c in opened)
 
 
 RUN_TEXTS = "bucket long, doc long, first long, place int, text binary"
 
 
+def _open_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int, int, int]]:
+    """(document, text, first, last, anchor, frequent) of the open runs of a batch."""
+    for key, text, opened in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["open"].to_pylist()):
+        for run in np.frombuffer(opened, "<u4").reshape(-1, 4).tolist():
+            yield key, text, *run
+
+
 def _run_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: the texts of open runs; one row per run, or per string of a frequent anchor."""
+    """Step 2: the texts of open runs of anchors that are not frequent."""
     for batch in batches:
-        rows: list[tuple] = []
-        for key, text, opened in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["open"].to_pylist()):
-            runs = np.frombuffer(opened, "<u4").reshape(-1, 4).tolist()
-            for first, last, at, frequent in runs:
-                if frequent:
-                    for s in range(first, last + 1):
-                        string = text[s:s + LENGTH]
-                        rows.append((_route(string), key, s, at - s, string))
-                else:
-                    rows.append((_route(text[at:at + GRAM]), key, first, at - first, text[first:last + LENGTH]))
+        rows = [
+            (_route(text[at:at + GRAM]), key, first, at - first, text[first:last + LENGTH])
+            for key, text, first, last, at, frequent in _open_runs(batch) if not frequent
+        ]
         if rows:
             yield _record(RUN_TEXTS, rows)
 
@@ -379,13 +400,9 @@ def _route(gram: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(gram, digest_size=8).digest(), "little", signed=True)
 
 
-def _compare(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(buckets: int, limits: Sizes):
+    def run(table: pa.Table) -> pa.Table:
         """Step 3: marks of the strings repeated among the run texts of whole buckets."""
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
         bucket, doc, first, place = (table[c].to_numpy() for c in ("bucket", "doc", "first", "place"))
         texts = table["text"].chunk(0) if table["text"].num_chunks == 1 else table["text"].combine_chunks()
         offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
@@ -414,23 +431,115 @@ def _compare(buckets: int):
             begin = starts[rows] + place[rows] - lead_high[rows]
             length = lead_high[rows] - lead_low[rows] + LENGTH
             # Batches hold whole core groups, which alone can share strings.
-            cut = np.cumsum(length) // MERGE_BYTES
+            cut = np.cumsum(length) // limits.merge
             head = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
             batch = np.repeat(cut[head], np.diff(np.append(head, len(groups))))
             for b in np.unique(batch):
                 some = batch == b
                 n = length[some]
                 spot = np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                text, offset = repeated(data[spot], n, doc[rows[some]], LENGTH, SHARD_BYTES)
+                text, offset = repeated(data[spot], n, doc[rows[some]], LENGTH, limits.shard)
                 row = rows[some][text]
                 low = first[row] + (begin[some][text] - starts[row]) + offset
                 gone.append((doc[row], low, low + LENGTH))
-        if gone:
+        marks = _marks(buckets, _joined(gone), (_NONE,) * 5) if gone else ()
+        return pa.Table.from_batches(marks, _record(MARKS, [(0,) * 3 + (b"",) * 5]).schema)
+
+    return run
+
+
+# A string of frequent anchors: halves of its digest, the bytes, the least and greatest document
+# of its places, and the places as pairs (document, start) of longs.
+FOLDED = "high long, low long, string binary, least long, most long, places binary"
+
+
+def _folded(sizes: Sizes):
+    def rows(places: dict[bytes, array]) -> pa.RecordBatch:
+        return _record(FOLDED, [
+            (*_digest(string), string, min(p[::2]), max(p[::2]), p.tobytes()) for string, p in places.items()
+        ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Step 4 by task: strings of frequent anchors, equal ones folded to one row."""
+        places: dict[bytes, array] = {}
+        count = 0
+        for batch in batches:
+            for key, text, first, last, _, frequent in _open_runs(batch):
+                if not frequent:
+                    continue
+                for start in range(first, last + 1):
+                    places.setdefault(text[start:start + LENGTH], array("q")).extend((key, start))
+                count += last - first + 1
+                if count >= sizes.flush:
+                    yield rows(places)
+                    places, count = {}, 0
+        if places:
+            yield rows(places)
+
+    return run
+
+
+def _digest(string: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", hashlib.blake2b(string, digest_size=16).digest())
+
+
+HOLDERS = "high long, low long, holder long"
+_LEAST = [f"least_{i}" for i in range(SHARDS)]
+
+
+def _holders(sizes: Sizes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Step 4: the first document of every string, from the merged transforms of its representatives."""
+        for batch in batches:
+            strings = batch["string"].to_pylist()
+            owners = np.stack([batch[c].fill_null(-1).to_numpy() for c in _LEAST])
+            present = np.stack([batch[c].is_valid().to_numpy(zero_copy_only=False) for c in _LEAST])
+            # Shard by shard, as the transforms are cut.
+            shard, row = np.nonzero(present)
+            texts = np.frombuffer(b"".join(strings[i] for i in row.tolist()), np.uint8)
+            holder = first_owners(texts, np.full(len(row), LENGTH), owners[shard, row], LENGTH, sizes.shard)
+            _, pick = np.unique(row, return_index=True)
+            if len(pick):
+                yield _record(HOLDERS, [(*_digest(s), h) for s, h in zip(strings, holder[pick].tolist())])
+
+    return run
+
+
+def _later_places(buckets: int, sizes: Sizes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Step 4: marks of the places of strings outside their first document."""
+        gone, count = [], 0
+        for batch in batches:
+            packed = batch["places"].to_pylist()
+            places = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
+            holder = np.repeat(batch["holder"].to_numpy(), [len(p) // 16 for p in packed])
+            doc, low = places[places[:, 0] > holder].T
+            gone.append((doc, low, low + LENGTH))
+            count += len(doc)
+            if count >= sizes.flush:
+                yield from _marks(buckets, _joined(gone), (_NONE,) * 5)
+                gone, count = [], 0
+        if count:
             yield from _marks(buckets, _joined(gone), (_NONE,) * 5)
 
     return run
 
 
+def _frequent_marks(folded: DataFrame, buckets: int, sizes: Sizes) -> DataFrame:
+    """Step 4: MARKS rows of the strings of frequent anchors.
+
+    A string in a third of all documents is one folded row a flush before anything moves,
+    at most one row a task and shard for the minima, SHARDS short texts for the merge, and
+    its folded rows meet its first document in a join that adaptive execution may split.
+    """
+    shard = F.pmod(F.xxhash64("least"), F.lit(SHARDS))
+    least = [F.min(F.when(shard == i, F.col("least"))).alias(name) for i, name in enumerate(_LEAST)]
+    seen = folded.groupBy("string").agg(*least, F.max("most").alias("most"))
+    shared = seen.where(F.least(*_LEAST) < F.col("most")).select("string", *_LEAST).mapInArrow(_holders(sizes), HOLDERS)
+    places = folded.select("high", "low", "places").join(shared, ["high", "low"])
+    return places.mapInArrow(_later_places(buckets, sizes), MARKS)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """`id`, `key`, `text` (bytes), `carry` (the columns to pass on): keys order documents as their ids do and tell unequal rows apart.
 
@@ -457,28 +566,35 @@ def _by_bucket(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
 
-def _settled_by_hash(keyed: DataFrame, parts: int, buckets: int) -> DataFrame:
+def _settled_by_hash(keyed: DataFrame, parts: int, buckets: int, sizes: Sizes) -> DataFrame:
     """Step 1: GATHERED rows of the spans of collapsed runs and of the runs still open."""
-    anchors = keyed.select("key", "text").mapInArrow(_anchor_rows(buckets), ANCHOR_ROWS)
-    marks = _by_bucket(anchors, parts).mapInArrow(_resolve(buckets), MARKS)
+    anchors = keyed.select("key", "text").mapInArrow(_anchor_rows(buckets, sizes), ANCHOR_ROWS)
+    marks = _by_bucket(anchors, parts).mapInArrow(_resolve(buckets, sizes), MARKS)
     return durable(_by_bucket(marks, parts).mapInArrow(_gather, GATHERED))
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_col: str, text_col: str, carry: list[str], sizes: Sizes = Sizes()
+) -> DataFrame:
     """`id`, `text` (bytes), `carry` and `marks` (arrays of span lists) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     buckets = parts * BUCKETS_PER_PARTITION
     keyed = _keyed(docs, id_col, text_col, carry)
-    first = _settled_by_hash(keyed, parts, buckets)
+    first = _settled_by_hash(keyed, parts, buckets, sizes)
     # The anchors' exchange, larger than all others, is not needed beside them.
     release_shuffles(spark)
     # Both uses of the documents read all columns, so that one exchange serves them.
     dealt = keyed.repartition(parts, "key")
-    opened = first.where(F.col("open").isNotNull()).select("key", "open")
-    texts = dealt.join(opened.hint("shuffle_hash"), "key").mapInArrow(_run_texts, RUN_TEXTS)
-    late = texts.repartition(parts, "bucket").mapInArrow(_compare(buckets), MARKS)
+    opened = first.where(F.col("open").isNotNull())
+    texts = dealt.join(opened.select("key", "open").hint("shuffle_hash"), "key").mapInArrow(_run_texts, RUN_TEXTS)
+    late = per_whole_groups(texts, ["bucket"], _compare(buckets, sizes), MARKS, sizes.run_rows)
+    frequent = opened.where("hot = 1").select("key", "open")
+    if not frequent.isEmpty():
+        folded = dealt.join(frequent.hint("shuffle_hash"), "key").mapInArrow(_folded(sizes), FOLDED)
+        late = late.unionByName(_frequent_marks(folded, buckets, sizes))
     spans = first.where(F.col("spans").isNotNull()).select("key", "spans")
     late_spans = _by_bucket(late, parts).mapInArrow(_gather, GATHERED).select("key", F.col("spans").alias("late"))
     return (
@@ -520,7 +636,8 @@ def _whole_characters(text: bytes, runs: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+    sizes: Sizes = Sizes(),
 ) -> DataFrame:
     """`id`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`, `kept_text`, `carry` for every row.
 
@@ -540,14 +657,14 @@ def remove_repeats(
                 digest = hashlib.sha256(_rest(text, runs)).hexdigest()
                 kept = _rest(text, _whole_characters(text, runs)).decode()
                 out.append((len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), digest, kept))
-            sizes, removed, spans, digests, kept = zip(*out) if out else ((),) * 5
+            n_bytes, removed, spans, digests, kept = zip(*out) if out else ((),) * 5
             yield pa.record_batch({
-                "id": batch["id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+                "id": batch["id"], "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
                 "kept_text": pa.array(kept, pa.string()), "carry": batch["carry"],
             })
 
-    found = repeated_spans(docs, id_col, text_col, list(carry))
+    found = repeated_spans(docs, id_col, text_col, list(carry), sizes)
     schema = (
         "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, "
         f"carry {found.schema['carry'].dataType.simpleString()}"

@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import simhash_bk, suffix_dedup
-from plumbline.llm.bwt_merge import merge, repeated, transform
+from plumbline.llm.bwt_merge import first_owners, merge, repeated, transform
+from plumbline.llm.suffix_dedup import Sizes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, _dropped int, key int"
 
@@ -126,30 +129,43 @@ def passages(rng):
 
 
 @pytest.mark.parametrize("many", [1, 5_000])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, many):
-    monkeypatch.setattr(suffix_dedup, "MANY_RUNS", many)
+def test_removed_bytes_equal_brute_force(spark, many):
     rng = random.Random(many)
     rows = passages(rng)
     rng.shuffle(rows)
-    got = suffix_dedup.remove_repeats(docs_of(spark, rows), carry=("lang", "key")).collect()
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows), carry=("lang", "key"), sizes=Sizes(many_runs=many)).collect()
     assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_removal(rows)
     assert all(r["carry"].asDict() == {"lang": "en", "key": 2} for r in got)
     assert next(r["kept_text"] for r in got if r["id"] == 79) is not None
 
 
-def test_parts_of_a_long_text_and_small_flushes(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
-    monkeypatch.setattr(suffix_dedup, "FLUSH", 40)
-    monkeypatch.setattr(suffix_dedup, "MERGE_BYTES", 300)
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 100)
+@pytest.mark.parametrize("many", [1, 5_000])
+def test_parts_of_a_long_text_and_small_flushes(spark, many):
+    small = Sizes(segment=700, flush=40, many_runs=many, run_rows=20, merge=300, shard=100)
     rng = random.Random(2)
     rows = passages(rng)
     long = prose(rng, 900)
     rows += [(90, long), (91, prose(rng, 50) + long[2000:5000] + prose(rng, 200) + long[100:170])]
-    got = suffix_dedup.remove_repeats(docs_of(spark, rows)).collect()
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows), sizes=small).collect()
     assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_removal(rows)
 
 
+def test_hot_line_meets_as_folded_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    line = "All rights reserved; this very common line is in many of the documents."
+    rows = [(i, f"{prose(rng, 8)} {line if i % 3 else ''} {prose(rng, 8)}") for i in range(900)]
+    met = []
+    marks = suffix_dedup._frequent_marks
+    monkeypatch.setattr(suffix_dedup, "_frequent_marks", lambda folded, *rest: met.append(folded) or marks(folded, *rest))
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows), sizes=Sizes(many_runs=50)).collect()
+    assert {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_removal(rows)
+    # 600 places of each string of the line, but at most one row a task.
+    per_string = met[0].groupBy("string").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("places") / 16).alias("places"))
+    held = per_string.where("places > 500").collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert held and all(f" {line} ".encode().find(r["string"]) >= 0 and r["rows"] <= parts for r in held)
+
+
 def test_repeated_and_null_ids_of_texts(spark):
     text, other = "first sentence of forty or more bytes and then some more", "second text that has nothing in common with it, really"
     rows = [(1, text), (1, text), (1, other), (2, text), (None, other), (None, None)]
@@ -161,6 +177,16 @@ def test_repeated_and_null_ids_of_texts(spark):
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_first_owners_of_equal_texts():
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = [bytes(rng.choice(b"ab") for _ in range(4)) for _ in range(rng.randrange(30))]
+        owner = np.array([rng.randrange(50) for _ in texts], np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        got = first_owners(data, np.full(len(texts), 4), owner, 4, rng.choice([8, 500]))
+        assert got.tolist() == [min(o for t, o in zip(texts, owner) if t == text) for text in texts]
+
+
 def test_merge_of_transforms_gives_sorted_intervals_and_prefixes():
     rng = random.Random(1)
     for _ in range(60):
