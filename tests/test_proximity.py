@@ -49,6 +49,22 @@ def test_any_member_equals_all_pairs(spark, cell_rows):
     assert proximity.any_member(probes, members.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("groups", [None, {"lamp": "light", "sofa": "light"}])
+def test_rooms_with_few_members_need_no_grid(spark, monkeypatch, groups):
+    asked, held = boxes(3, 60, 0.4), boxes(4, 80, 0.4)
+    probes = spark.createDataFrame([(r, i, n, (c, e, EYE)) for r, i, n, c, e in asked], f"room string, id long, label string, obb {BOX}")
+    members = spark.createDataFrame([(r, i % 11, n, (c, e, EYE)) for r, i, n, c, e in held], f"room string, cluster int, label string, obb {BOX}")
+    # In a grid, with some groups in a grid, and with none.
+    got = [proximity.any_member(probes, members, groups=groups, whole_rows=n).collect() for n in (0, 12)]
+
+    def no_grid(*_):
+        raise AssertionError("a grid was drawn")
+
+    monkeypatch.setattr(proximity, "_in_cells", no_grid)
+    got.append(proximity.any_member(probes, members, groups=groups).collect())
+    assert set(got[0]) == set(got[1]) == set(got[2]) and len(got[0]) == len(got[1]) == len(got[2]) > 0
+
+
 @pytest.mark.parametrize("cell_centres", [proximity.CELL_CENTRES, 2])
 def test_nearest_equals_all_pairs(spark, cell_centres):
     rng = np.random.default_rng(5)
