@@ -11,6 +11,7 @@ sorted streams, and everything after the assignment is again relational.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -80,71 +81,128 @@ def _with_blocks(flat: DataFrame, floor: float, scale: float, split_above: int)
     return out.unionByName(small).drop("_reach", "_n")
 
 
+# Clusters of a block, and boxes of a cluster, that are looked through as plain numbers. Where there
+# are more, arrays mirror them: for a few rows, calls on arrays cost far more than the sums.
+FEW = 32
+
+
+class _Mirror:
+    """Rows of numbers in one array, which doubles when full."""
+
+    def __init__(self, rows: Sequence[Sequence[float]]):
+        self.size = len(rows)
+        self.data = np.empty((2 * self.size, len(rows[0])))
+        self.data[:self.size] = rows
+
+    def append(self, row: Sequence[float]) -> None:
+        if self.size == len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        self.data[self.size] = row
+        self.size += 1
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.data[:self.size]
+
+
 class _Clusters:
     """Running state of one block: sums per cluster plus the boxes of its members."""
 
-    def __init__(self, floor: float, scale: float, min_iou: float, may_meet):
-        self.floor, self.scale, self.min_iou, self.may_meet = floor, scale, min_iou, may_meet
-        self.size = 0
-        self.total = np.zeros((16, 3))
-        self.count = np.zeros(16)
-        self.diag_sum = np.zeros(16)
-        self.diag_n = np.zeros(16)
+    def __init__(self, floor: float, scale: float, min_iou: float, may_meet, few: int = FEW):
+        self.floor, self.scale, self.min_iou, self.may_meet, self.few = floor, scale, min_iou, may_meet, few
+        self.sums: list[list[float]] = []  # x, y, z, members, sum and number of diagonals above zero
+        self.wide: _Mirror | None = None
         self.seeds: list[int] = []
         self.names: list[set] = []
-        self.boxes: list[np.ndarray] = []  # room for twice the members, doubled when full
-
-    def _grow(self) -> None:
-        if self.size == len(self.count):
-            self.total = np.concatenate([self.total, np.zeros_like(self.total)])
-            self.count, self.diag_sum, self.diag_n = (
-                np.concatenate([a, np.zeros_like(a)]) for a in (self.count, self.diag_sum, self.diag_n)
-            )
-
-    def _overlaps(self, cluster: int, box: np.ndarray) -> bool:
-        members = self.boxes[cluster][:int(self.count[cluster])]
-        side = np.minimum(members[:, 3:], box[3:]) - np.maximum(members[:, :3], box[:3])
-        shared = np.prod(np.clip(side, 0.0, None), axis=1)
-        volume = np.prod(np.clip(members[:, 3:] - members[:, :3], 1e-9, None), axis=1)
-        own = np.prod(np.clip(box[3:] - box[:3], 1e-9, None))
-        union = volume + own - shared
-        iou = np.where((shared > 0) & (union > 0), shared / np.where(union > 0, union, 1.0), 0.0)
-        return bool((iou >= self.min_iou).any())
-
-    def place(self, ident: int, name, center: np.ndarray, diag: float, box: np.ndarray) -> int:
+        self.boxes: list[list[tuple]] = []  # lo, hi, volume
+        self.stacks: dict[int, _Mirror] = {}
+
+    def _near(self, x: float, y: float, z: float, diag: float) -> list[tuple[float, int, float]]:
+        """Distance, cluster and radius where the cluster is in reach, the nearest first."""
+        plus, one = (diag, 1.0) if diag > 0 else (0.0, 0.0)
+        if self.wide is None:
+            near = []
+            for j, (sx, sy, sz, count, sized, n) in enumerate(self.sums):
+                a, b, c = sx / count - x, sy / count - y, sz / count - z
+                distance = math.sqrt(a * a + b * b + c * c)
+                radius = max(self.floor, self.scale * (sized + plus) / max(n + one, 1.0))
+                if distance <= radius:
+                    near.append((distance, j, radius))
+            return sorted(near)
+        rows = self.wide.rows
+        distance = np.linalg.norm(rows[:, :3] / rows[:, 3:4] - (x, y, z), axis=1)
+        radius = np.maximum(self.floor, self.scale * (rows[:, 4] + plus) / np.maximum(rows[:, 5] + one, 1.0))
+        near = np.flatnonzero(distance <= radius)
+        near = near[np.argsort(distance[near], kind="stable")]
+        return list(zip(distance[near].tolist(), near.tolist(), radius[near].tolist()))
+
+    def _overlaps(self, cluster: int, box: tuple | None) -> bool:
+        if self.min_iou <= 0:
+            return True
+        if box is None:
+            return False
+        x0, y0, z0, x1, y1, z1, own = box
+        if cluster in self.stacks:
+            members = self.stacks[cluster].rows
+            side = np.minimum(members[:, 3:6], box[3:6]) - np.maximum(members[:, :3], box[:3])
+            shared = np.prod(np.clip(side, 0.0, None), axis=1)
+            union = members[:, 6] + own - shared
+            iou = np.where((shared > 0) & (union > 0), shared / np.where(union > 0, union, 1.0), 0.0)
+            return bool((iou >= self.min_iou).any())
+        for a0, b0, c0, a1, b1, c1, volume in self.boxes[cluster]:
+            a, b, c = min(a1, x1) - max(a0, x0), min(b1, y1) - max(b0, y0), min(c1, z1) - max(c0, z0)
+            if a > 0 and b > 0 and c > 0:
+                shared = a * b * c
+                union = volume + own - shared
+                if shared > 0 and union > 0 and shared / union >= self.min_iou:
+                    return True
+        return False
+
+    def _add(self, target: int, x: float, y: float, z: float, diag: float, box: tuple | None) -> None:
+        total = self.sums[target]
+        total[0] += x
+        total[1] += y
+        total[2] += z
+        total[3] += 1.0
+        if diag > 0:
+            total[4] += diag
+            total[5] += 1.0
+        if self.wide is not None:
+            if target == self.wide.size:
+                self.wide.append(total)
+            else:
+                self.wide.data[target] = total
+        elif len(self.sums) > self.few:
+            self.wide = _Mirror(self.sums)
+        if box is not None:
+            held = self.boxes[target]
+            held.append(box)
+            if target in self.stacks:
+                self.stacks[target].append(box)
+            elif len(held) > self.few:
+                self.stacks[target] = _Mirror(held)
+
+    def place(self, ident: int, name, x: float, y: float, z: float, diag: float, *corners: float) -> int:
         """Add one sighting; returns the id of the sighting that founded its cluster."""
-        k = self.size
+        x0, y0, z0, x1, y1, z1 = corners
+        volume = max(x1 - x0, 1e-9) * max(y1 - y0, 1e-9) * max(z1 - z0, 1e-9)
+        # A box with a corner that is no number overlaps nothing.
+        box = (*corners, volume) if volume == volume else None
         target = -1
-        if k:
-            distance = np.linalg.norm(self.total[:k] / self.count[:k, None] - center, axis=1)
-            positive = diag if diag > 0 else 0.0
-            n = self.diag_n[:k] + (diag > 0)
-            radius = np.maximum(
-                self.floor, self.scale * (self.diag_sum[:k] + positive) / np.maximum(n, 1.0)
-            )
-            near = np.flatnonzero(distance <= radius)
-            for j in near[np.argsort(distance[near], kind="stable")]:
-                if not any(self.may_meet(name, other) for other in self.names[j]):
-                    continue
-                if distance[j] <= 0.5 * radius[j] or self._overlaps(j, box):
-                    target = int(j)
-                    break
+        for distance, j, radius in self._near(x, y, z, diag):
+            if not any(self.may_meet(name, other) for other in self.names[j]):
+                continue
+            if distance <= 0.5 * radius or self._overlaps(j, box):
+                target = j
+                break
         if target < 0:
-            self._grow()
-            target, self.size = self.size, self.size + 1
+            target = len(self.seeds)
             self.seeds.append(ident)
             self.names.append(set())
-            self.boxes.append(np.empty((4, 6)))
-        self.total[target] += center
-        self.count[target] += 1
-        if diag > 0:
-            self.diag_sum[target] += diag
-            self.diag_n[target] += 1
+            self.boxes.append([])
+            self.sums.append([0.0] * 6)
         self.names[target].add(name)
-        held = int(self.count[target])
-        if held > len(self.boxes[target]):
-            self.boxes[target] = np.concatenate([self.boxes[target], np.empty_like(self.boxes[target])])
-        self.boxes[target][held - 1] = box
+        self._add(target, x, y, z, diag, box)
         return self.seeds[target]
 
 
@@ -167,16 +225,14 @@ def _assigner(floor: float, scale: float, min_iou: float, groups: Mapping[str, s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, state = None, None
         for batch in batches:
-            values = batch[numeric].to_numpy(float)
+            values = batch[numeric].to_numpy(float).tolist()
             ids = batch["id"].to_numpy()
-            names = batch["name"].tolist()
-            blocks = list(zip(*[batch[c] for c in _BLOCK]))
+            blocks = zip(*[batch[c].tolist() for c in _BLOCK])
             seeds = np.empty(len(batch), dtype="int64")
-            for i in range(len(batch)):
-                if blocks[i] != block:
-                    block, state = blocks[i], _Clusters(floor, scale, min_iou, meet)
-                row = values[i]
-                seeds[i] = state.place(int(ids[i]), names[i], row[:3], row[3], row[4:])
+            for i, (at, ident, name, row) in enumerate(zip(blocks, ids.tolist(), batch["name"].tolist(), values)):
+                if at != block:
+                    block, state = at, _Clusters(floor, scale, min_iou, meet)
+                seeds[i] = state.place(int(ident), name, *row)
             yield pd.DataFrame({"room": batch["room"], "id": ids, "seed": seeds})
 
     return run

@@ -161,3 +161,27 @@ def test_radius_summary(spark):
         got = fusion.radius_summary(table(spark, sights), ["room"], floor, scale).first()
         assert got["driven_by"] == ("size" if scale > 1 else "floor")
         assert got["effective_radius"] == pytest.approx(max(floor, scale * mean), abs=1e-3)
+
+
+def test_few_clusters_are_looked_through_without_arrays(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        centre, extent = rng.uniform(0, 2, 3).round(1), rng.uniform(0, 1.2, 3).round(1)
+        row = [*centre.tolist(), float(np.linalg.norm(extent)), *(centre - extent / 2).tolist(), *(centre + extent / 2).tolist()]
+        if i % 29 == 0:
+            row[int(rng.integers(10))] = float("nan")
+        rows.append((i, str(rng.choice(["desk", "table"])), *row))
+
+    def seeds(few, rows):
+        state = fusion._Clusters(0.3, 0.5, 0.1, lambda a, b: a == b, few)
+        return [state.place(*row) for row in rows]
+
+    arrays = seeds(0, rows)
+    assert arrays == seeds(8, rows) == seeds(10_000, rows) and 20 < len(set(arrays)) < 300
+
+    def no_arrays(*_, **__):
+        raise AssertionError("arrays for a few rows")
+
+    monkeypatch.setattr(fusion, "np", type("np", (), {"__getattr__": no_arrays})())
+    assert seeds(fusion.FEW, rows[:20]) == arrays[:20]
